@@ -5,12 +5,17 @@ suffix. Of the q-grams in each window of ``length`` bytes the one with the least
 hash stands for the window (the leftmost on ties). Equal windows choose the same
 q-gram at the same place, so only windows whose q-grams share a bucket can be equal.
 
-The buckets are then refined level by level, q growing up to ``length``:
+The buckets are then refined level by level. A refined bucket is named by its old
+bucket and by the bucket found some bytes later, the pointer (``bucket_ids``): names of
+40-grams give those of 80-grams, these give 160, and so on up to ``length``, each
+refinement reusing the names that the one before has made. Names are mixed pairs of
+names instead of ranks, as only equality counts here; so a task refines its own texts
+and only bucket sizes travel.
 
 * a bucket with one member holds no repeat and is left;
 * members that agree on everything their windows cover settle all of these windows;
-* what is left is bucketed again by longer q-grams chosen inside its windows,
-  together with one member of each settled class, which the others may still match.
+* what is left is refined again at the q-grams chosen inside its windows, together
+  with one member of each settled class, which the others may still match.
 
 At the last level a q-gram is the window itself, so the result is exact up to hash
 collisions (a level's bucket and its own hash must collide together). Groups are
@@ -50,7 +55,23 @@ def _least_positions(keys: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64((1 << 28) - 1)).astype(np.int64)
 
 
-def _items(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray, q: int, length: int):
+def bucket_ids(data: np.ndarray, first: int, q: int) -> np.ndarray:
+    """The bucket of the ``q`` bytes from every position on, refined from those of the ``first``-grams.
+
+    Each refinement pairs a position's bucket with the bucket at a later offset, at
+    most as far as the bucket is long, so that the two cover the longer q-gram.
+    """
+    first = min(first, q)
+    ids = mix(Substrings(data).all_of(first))
+    covered = first
+    while covered < q:
+        later = min(covered, q - covered)
+        ids = mix(ids[: max(0, len(ids) - later)] * np.uint64(0x9E3779B97F4A7C15) + ids[later:])
+        covered += later
+    return ids
+
+
+def _items(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray, first_q: int, q: int, length: int):
     """Groups consecutive windows that share a chosen q-gram.
 
     ``starts``: window positions, ascending; ``breaks``: True where a window does
@@ -58,8 +79,7 @@ def _items(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray, q: int, len
     the q-gram's distance from the first window.
     """
     width = length - q + 1
-    text = Substrings(data)
-    grams = mix(text.all_of(q))
+    grams = bucket_ids(data, first_q, q)
     least = _least_positions(grams, width) if width > 1 else np.arange(len(grams))
     chosen = least[starts]
     cut = breaks.copy()
@@ -79,7 +99,7 @@ def _batch(ids, lo, hi, h, e, off) -> pa.RecordBatch:
     )
 
 
-def _first_level(q: int, length: int):
+def _first_level(first_q: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
             sizes = np.diff(offsets)
@@ -94,14 +114,14 @@ def _first_level(q: int, length: int):
             doc = np.searchsorted(offsets, starts, "right") - 1
             breaks = np.ones(len(starts), bool)
             breaks[1:] = (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])
-            lo, hi, h, e, off = _items(data, starts, breaks, q, length)
+            lo, hi, h, e, off = _items(data, starts, breaks, first_q, first_q, length)
             doc = np.searchsorted(offsets, lo, "right") - 1
             yield _batch(ids[doc], lo - offsets[doc], hi - offsets[doc], h, e, off)
 
     return run
 
 
-def _next_level(q: int, length: int):
+def _next_level(first_q: int, q: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
             ids = rows.column("id").to_numpy(zero_copy_only=False)
@@ -119,7 +139,7 @@ def _next_level(q: int, length: int):
             owner = np.searchsorted(offsets, starts, "right") - 1
             breaks = np.ones(len(starts), bool)
             breaks[1:] = (starts[1:] != starts[:-1] + 1) | (owner[1:] != owner[:-1])
-            lo, hi, h, e, off = _items(data, starts, breaks, q, length)
+            lo, hi, h, e, off = _items(data, starts, breaks, first_q, q, length)
             owner = np.searchsorted(offsets, lo, "right") - 1
             yield _batch(ids[owner], lo - offsets[owner], hi - offsets[owner], h, e, off)
 
@@ -213,7 +233,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         settled, left = _classify(items, scratch, level)
         found.append(settled)
         spans = left.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-        items = scratch.stage(texts.select("id", "text").join(spans, "id").mapInArrow(_next_level(q, length), _ITEM), f"items{level + 1}")
+        items = scratch.stage(texts.select("id", "text").join(spans, "id").mapInArrow(_next_level(grams[0], q, length), _ITEM), f"items{level + 1}")
         scratch.drop(f"items{level}")
     again = items.groupBy("h", "e").agg(F.count("*").alias("n")).where("n > 1").select("h", "e")
     found.append(items.join(again, ["h", "e"], "left_semi").select("id", "lo", "hi"))

@@ -217,9 +217,10 @@ def test_url_rules_and_graph(spark):
 
 
 def test_quality_and_licenses_on_edges(spark):
+    spelt = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731  digits are all alike to the line rule
     out = {r.id: r for r in quality.document_rules(frame(spark, EDGE)).collect()}
     assert (out[0].n_words, out[4].n_words, out[5].n_words, out[5].n_repeat_words, out[5].base_failed) == (0, 1, 180, 180, True)
-    common = ["boiler plate line number %d\n" % 7 + " ".join(f"w{k}x{j}" for j in range(60)) for k in range(60)] + ["Boiler  plate line number 8\nrest " * 12]
+    common = ["boiler plate line number %d\n" % 7 + " ".join(f"{spelt(k)}x{spelt(j)}" for j in range(60)) for k in range(60)] + ["Boiler  plate line number 8\nrest " * 12]
     kept = quality.document_rules(frame(spark, common), min_docs=5).collect()
     assert all(r.kept and r.n_frequent_words == 5 for r in kept if r.id < 60)
     got = {r.id: r for r in licenses.license_scan(frame(spark, [*EDGE, "x. Released under the MIT License.\nLicensed under the Apache License, Version 2.0. ", "All rights reserved"])).collect()}
