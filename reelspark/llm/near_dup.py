@@ -7,9 +7,10 @@ which are those with the longest common prefix, so a crowded region is searched
 a greater depth than a sparse one. A region wider than the neighbourhood adds its
 leader, the member with most close neighbours, as a candidate for all its members.
 
-Candidates whose signatures are alike are confirmed on the full shingle sets, best
-first: pairs inside a component that is already linked need no test. Documents with
-the same shingle set are one class from the start, so copies are never paired.
+Candidates whose signatures are alike are confirmed on the full shingle sets, those
+with a leader or from a sparse region first: the other pairs of crowded regions need
+no test where the first links join their ends already. Documents with the same
+shingle set are one class from the start, so copies are never paired.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ NEIGHBOURS = 8
 ALIKE_MARGIN = 0.11
 _MULTIPLIERS = np.random.default_rng(20240301).integers(1, 2**63, ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = ENTRIES // TREES
+BUCKET_BYTES = 24 << 20
+_PAIRS = "a long, b long, alike double, later boolean"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -106,12 +109,12 @@ def _neighbours(threshold: float, alike: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "key", "id", "n")] + [_fixed(batch.column("sig"), ENTRIES)]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "key", "id", "n", "size")] + [_fixed(batch.column("sig"), ENTRIES)]
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
                 now = [np.concatenate([a, b]) for a, b in zip(held, now)]
-            tree, key, ids, n, sig = now
+            tree, key, ids, n, size, sig = now
             for back in range(1, NEIGHBOURS + 1):
                 at = np.arange(max(fresh, back), len(ids))
                 at = at[(tree[at] == tree[at - back]) & (key[at] == key[at - back])]
@@ -119,18 +122,18 @@ def _neighbours(threshold: float, alike: float):
                 like = (sig[at] == sig[at - back]).mean(1)
                 at, like = at[like >= alike], like[like >= alike]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[at - back])), pa.array(np.maximum(ids[at], ids[at - back])), pa.array(like)], names=["a", "b", "alike"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[at - back])), pa.array(np.maximum(ids[at], ids[at - back])), pa.array(like), pa.array(size[at] > NEIGHBOURS)], names=["a", "b", "alike", "later"])
             held = [x[-NEIGHBOURS:] for x in now]
 
     return run
 
 
-def _alike(threshold: float, alike: float):
+def _alike(alike: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                like = (_fixed(batch.column("sig_a"), ENTRIES) == _fixed(batch.column("sig_b"), ENTRIES)).mean(1)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like)], names=["a", "b", "alike"]).filter(pa.array(like >= alike))
+                like = (_fixed(batch.column("sig_node"), ENTRIES) == _fixed(batch.column("sig_hub"), ENTRIES)).mean(1)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub"), pa.array(np.zeros(len(like), bool))], names=["node", "hub", "later"]).filter(pa.array(like >= alike))
 
     return run
 
@@ -139,37 +142,55 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("grams_a"), batch.column("grams_b")):
+            for x, y in zip(batch.column("grams_node"), batch.column("grams_hub")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
 def _candidates(reps: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Pairs ``a < b`` with the share of equal signature entries."""
+    """Pairs ``node, hub`` to confirm, ``later`` where both lie in crowded regions only and neither leads one.
+
+    A hub may have any number of partners, a node has no more than its trees bound.
+    """
     alike = threshold - ALIKE_MARGIN
     trees = reps.select("id", F.posexplode("keys").alias("tree", "key"))
     regions = trees.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.stage(trees.join(regions, ["tree", "key"]), "members")
     signed = reps.select("id", "n", "sig")
     turned = F.concat(F.expr(f"substring(sig, tree * {_STEP} + 1)"), F.expr(f"substring(sig, 1, tree * {_STEP})"))
-    entries = scratch.stage(members.join(signed, "id").select("tree", "key", turned.alias("sig"), "id", "n"), "entries")
+    entries = scratch.stage(members.join(signed, "id").select("tree", "key", turned.alias("sig"), "id", "n", "size"), "entries")
     parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 200_000)
     order = ["tree", "key", "sig", "id"]
     runs = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    near = runs.mapInArrow(_neighbours(threshold, alike), "a long, b long, alike double").distinct()
+    near = runs.mapInArrow(_neighbours(threshold, alike), _PAIRS).groupBy("a", "b").agg(F.max("alike").alias("alike"), F.min("later").alias("later"))
     near = scratch.stage(near, "near")
     close = near.where(F.col("alike") >= threshold)
     degree = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    crowded = members.where(F.col("size") > NEIGHBOURS)
-    leaders = crowded.join(degree, "id").groupBy("tree", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("x")).select("tree", "key", (-F.col("x.id")).alias("leader"))
-    stars = crowded.join(leaders, ["tree", "key"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    stars = stars.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
-    stars = stars.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(threshold, alike), "a long, b long, alike double")
-    return scratch.stage(near.unionByName(stars).groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+    crowded = members.where(F.col("size") > NEIGHBOURS).select("id", "tree", "key")
+    leaders = crowded.join(degree, "id").groupBy("tree", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("x")).select("tree", "key", (-F.col("x.id")).alias("hub"))
+    leaders = scratch.stage(leaders, "leaders")
+    stars = crowded.join(leaders, ["tree", "key"]).where("id <> hub").select(F.col("id").alias("node"), "hub").distinct()
+    of = lambda c: signed.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+    stars = stars.join(of("node"), "node").join(of("hub"), "hub")
+    stars = stars.where(F.least("n_node", "n_hub") >= threshold * F.greatest("n_node", "n_hub")).select("node", "hub", "sig_node", "sig_hub").mapInArrow(_alike(alike), "node long, hub long, later boolean")
+    return scratch.stage(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "later").unionByName(stars), "pairs")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked on the full sets. Sets of hubs are joined last, where Spark can split a crowded hub's pairs."""
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
+    return pairs.join(of("node"), "node").join(of("hub"), "hub").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """``node, label``: the least node within two links, which lies in the node's component."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = both.groupBy("node").agg(F.min("other").alias("m")).select(F.col("node").alias("other"), F.least("node", "m").alias("m"))
+    return both.join(near, "other").groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -180,42 +201,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked where ``100 * |A and B| >= percent * |A or B|`` on their full sets; a
     component is named by its least id, which is kept. ``n_links`` counts the
     confirmed links of a document's class, those that its component didn't need left
-    out. ``id_col`` must be unique.
+    out. ``id_col`` must be unique. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     threshold = percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    bytes_in = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_in // BUCKET_BYTES))
+    texts = scratch.bucketed(texts, "id", buckets, "texts")
     signs = scratch.stage(texts.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, sig binary, keys array<long>"), "signs")
     classes = scratch.stage(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = scratch.stage(signs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "reps")
     pairs = _candidates(reps, threshold, scratch)
 
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary")
-    sets = scratch.bucketed(sets, "id", int(spark.conf.get("spark.sql.shuffle.partitions")), "sets")
-    first, second = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
-
-    links = tested = roots = None
-    for turn, best in enumerate((True, True, False)):
-        todo = pairs
-        if tested is not None:
-            todo = todo.join(tested, ["a", "b"], "left_anti")
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            todo = todo.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "alike")
-        if best:
-            ends = todo.select(F.col("a").alias("node"), F.struct("alike", "a", "b").alias("p")).unionByName(todo.select(F.col("b").alias("node"), F.struct("alike", "a", "b").alias("p")))
-            todo = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-        todo = scratch.stage(todo.select("a", "b"), f"todo{turn}")
-        judged = scratch.stage(todo.join(first, "a").join(second, "b").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), f"judged{turn}")
-        found = judged.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        roots = scratch.stage(connected(links, scratch, f"cc{turn}"), f"roots{turn}")
+    wanted = pairs.select(F.col("node").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
+    sets = scratch.stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary"), "sets")
+    links = scratch.stage(_confirmed(pairs.where("NOT later").select("node", "hub"), sets, percent), "first")
+    labels = scratch.stage(_labels(links), "labels")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = pairs.where("later").join(of("node"), "node", "left").join(of("hub"), "hub", "left").where(F.coalesce("label_node", "node") != F.coalesce("label_hub", "hub"))
+    apart = scratch.stage(apart.select("node", "hub"), "apart")
+    links = links.unionByName(scratch.stage(_confirmed(apart, sets, percent), "second"))
+    roots = connected(links, scratch)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = scratch.stage(named.select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "named")
-    scratch.drop("sets")
+    scratch.drop("sets", "texts")
     out = signs.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     root = F.coalesce("root", "id")
     return out.select("id", F.col("n").alias("n_shingles"), root.alias("component_id"), (root == F.col("id")).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

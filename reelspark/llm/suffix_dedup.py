@@ -188,7 +188,7 @@ def _merge_and_cut(length: int):
 
 def _classify(items: DataFrame, scratch: Scratch, level: int):
     """Settled windows, and what the next level must look at (all members that share a bucket but no class)."""
-    buckets = items.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    buckets = scratch.stage(items.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), f"buckets{level}")  # written, so that the join can split a crowded bucket
     shared = scratch.stage(items.join(buckets, "h", "left_semi"), f"shared{level}")
     classes = scratch.stage(
         shared.groupBy("h", "e", "off").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("one")),
@@ -196,6 +196,7 @@ def _classify(items: DataFrame, scratch: Scratch, level: int):
     )
     settled = shared.join(classes.where("n > 1").select("h", "e", "off"), ["h", "e", "off"], "left_semi").select("id", "lo", "hi")
     mixed = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("h")
+    mixed = scratch.stage(mixed, f"mixed{level}")
     left = classes.join(mixed, "h", "left_semi").select("one.*")
     return settled, left
 
