@@ -159,10 +159,9 @@ def _candidates(reps: DataFrame, threshold: float, scratch: Scratch) -> DataFram
     alike = threshold - ALIKE_MARGIN
     trees = reps.select("id", F.posexplode("keys").alias("tree", "key"))
     regions = trees.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.stage(trees.join(regions, ["tree", "key"]), "members")
-    signed = reps.select("id", "n", "sig")
     turned = F.concat(F.expr(f"substring(sig, tree * {_STEP} + 1)"), F.expr(f"substring(sig, 1, tree * {_STEP})"))
-    entries = scratch.stage(members.join(signed, "id").select("tree", "key", turned.alias("sig"), "id", "n", "size"), "entries")
+    entries = trees.join(regions, ["tree", "key"]).join(reps.select("id", "n", "sig"), "id").select("tree", "key", turned.alias("sig"), "id", "n", "size")
+    entries = scratch.stage(entries, "entries")
     parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 200_000)
     order = ["tree", "key", "sig", "id"]
     runs = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -170,20 +169,18 @@ def _candidates(reps: DataFrame, threshold: float, scratch: Scratch) -> DataFram
     near = scratch.stage(near, "near")
     close = near.where(F.col("alike") >= threshold)
     degree = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    crowded = members.where(F.col("size") > NEIGHBOURS).select("id", "tree", "key")
-    leaders = crowded.join(degree, "id").groupBy("tree", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("x")).select("tree", "key", (-F.col("x.id")).alias("hub"))
-    leaders = scratch.stage(leaders, "leaders")
-    stars = crowded.join(leaders, ["tree", "key"]).where("id <> hub").select(F.col("id").alias("node"), "hub").distinct()
-    of = lambda c: signed.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
-    stars = stars.join(of("node"), "node").join(of("hub"), "hub")
-    stars = stars.where(F.least("n_node", "n_hub") >= threshold * F.greatest("n_node", "n_hub")).select("node", "hub", "sig_node", "sig_hub").mapInArrow(_alike(alike), "node long, hub long, later boolean")
+    crowded = entries.where(F.col("size") > NEIGHBOURS).select("tree", "key", "id", "n", "sig")
+    best = F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sig").alias("sig_hub")), F.struct("degree", -F.col("id"))).alias("x")
+    leaders = scratch.stage(crowded.join(degree, "id").groupBy("tree", "key").agg(best).select("tree", "key", "x.*"), "leaders")
+    stars = crowded.join(leaders, ["tree", "key"]).where((F.col("id") != F.col("hub")) & (F.least("n", "n_hub") >= threshold * F.greatest("n", "n_hub")))
+    stars = stars.select(F.col("id").alias("node"), "hub", F.col("sig").alias("sig_node"), "sig_hub").mapInArrow(_alike(alike), "node long, hub long, later boolean").distinct()
     return scratch.stage(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "later").unionByName(stars), "pairs")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are linked on the full sets. Sets of hubs are joined last, where Spark can split a crowded hub's pairs."""
+    """The pairs that are linked on the full sets. Neither side of a join is aggregated, so Spark can split a crowded hub's pairs."""
     of = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
-    return pairs.join(of("node"), "node").join(of("hub"), "hub").mapInArrow(_confirm(percent), "a long, b long")
+    return pairs.join(of("hub"), "hub").join(of("node"), "node").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -211,8 +208,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_in // BUCKET_BYTES))
     texts = scratch.bucketed(texts, "id", buckets, "texts")
     signs = scratch.stage(texts.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, sig binary, keys array<long>"), "signs")
-    classes = scratch.stage(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = scratch.stage(signs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "reps")
+    first = lambda c: F.min_by(c, "id").alias(c)
+    classes = scratch.stage(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), first("sig"), first("keys")), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "n", "sig", "keys")
     pairs = _candidates(reps, threshold, scratch)
 
     wanted = pairs.select(F.col("node").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
@@ -220,12 +218,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.stage(_confirmed(pairs.where("NOT later").select("node", "hub"), sets, percent), "first")
     labels = scratch.stage(_labels(links), "labels")
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    apart = pairs.where("later").join(of("node"), "node", "left").join(of("hub"), "hub", "left").where(F.coalesce("label_node", "node") != F.coalesce("label_hub", "hub"))
-    apart = scratch.stage(apart.select("node", "hub"), "apart")
-    links = links.unionByName(scratch.stage(_confirmed(apart, sets, percent), "second"))
-    roots = connected(links, scratch)
+    open_ = pairs.where("later").select("node", "hub", F.lit(False).alias("linked")).unionByName(links.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("linked")))
+    apart = open_.join(of("node"), "node", "left").join(of("hub"), "hub", "left").where(F.coalesce("label_node", "node") != F.coalesce("label_hub", "hub"))
+    apart = scratch.stage(apart.select("node", "hub", "linked"), "apart")
+    more = scratch.stage(_confirmed(apart.where("NOT linked").select("node", "hub"), sets, percent), "second")
+    links = links.unionByName(more)
+    # What the labels join already needs no link of its own.
+    bonds = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(apart.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))).unionByName(more)
+    roots = connected(bonds, scratch)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    named = classes.drop("sig", "keys").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = scratch.stage(named.select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "named")
     scratch.drop("sets", "texts")
     out = signs.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
