@@ -1,10 +1,454 @@
-"""Registered queries of the media-timeline operators and the SQL that gives the same rows."""
+"""Registered queries of the media-timeline operators and the SQL that gives the same rows.
+
+``events`` stands in for a set of frame streams and ``embeddings`` for streams of
+8x8 blocks (see ``sources.frames``). Sums of doubles are rounded on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelspark.functions import planes
+from reelspark.operators import folds, lookups, reports, selection, timing
+from reelspark.operators.fold import fold_streams
+from reelspark.plans import colour
+from reelspark.sources.frames import block_frames, event_frames, in_stream
+
+RANGES = [(100, 2099), (5000, 7499)]
+HOUR = 3_600_000_000
+RATES = [(0, 4000, "cqp", 0, 24.0), (1000, 3000, "vbr", 5000, 20.0), (1000, 2500, "cbr", 4000, 21.0), (6000, 0, "vbr", 8000, 18.0)]
+START = 1_704_067_200_000_000
+GRAIN = [(START + a * HOUR, START + b * HOUR, seed, f"p{seed}") for a, b, seed in ((1, 5, 11), (5, 9, 12), (20, 60, 13), (100, 101, 14))]
+
+# The frames that the Spark side reads, as SQL.
+FRAMES = """
+f AS (SELECT user_id AS stream_id, event_id AS frame_id, epoch_us(ts) AS pts, event_type AS frame_type, value AS luma,
+  coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) - epoch_us(ts), 0) AS duration FROM events)
+"""
+BLOCKS = """
+b AS (SELECT CAST(label AS BIGINT) AS stream_id, vec_id AS frame_id,
+  list_transform(embedding, lambda x: CAST(greatest(0, least(255, floor(CAST(x AS DOUBLE) * 255 + 128))) AS INTEGER)) AS plane FROM embeddings)
+"""
+TRIM = """
+r AS (SELECT *, CASE WHEN frame_id <= 2099 THEN 0 WHEN frame_id <= 7499 THEN 1 ELSE 2 END AS k,
+  (frame_id BETWEEN 100 AND 2099) OR (frame_id BETWEEN 5000 AND 7499) AS inside FROM f),
+c AS (SELECT *, CASE WHEN k > 0 AND NOT lag(inside) OVER w THEN pts - lag(pts) OVER w ELSE 0 END AS cut FROM r WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id)),
+t AS (SELECT stream_id, frame_id, CAST(pts - sum(cut) OVER (PARTITION BY stream_id ORDER BY frame_id) AS BIGINT) AS pts, duration, frame_type, luma, inside FROM c),
+trimmed AS (SELECT * EXCLUDE (inside) FROM t WHERE inside)
+"""
+
+
+def _select_sql(source: str, step: int = 5, offset: int = 2) -> str:
+    return f"""
+n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) - 1 AS n FROM {source}),
+g AS (SELECT stream_id, n // {step} AS g, max(CASE WHEN n % {step} = {offset} THEN frame_id END) AS frame_id, max(CASE WHEN n % {step} = {offset} THEN frame_type END) AS frame_type,
+  max(CASE WHEN n % {step} = {offset} THEN luma END) AS luma, arg_min(pts, n) AS pts, sum(duration) AS duration, count(*) AS r FROM n GROUP BY ALL),
+h AS (SELECT stream_id, r, pts, CAST(CASE WHEN r = {step} THEN duration ELSE duration * {step} // r END AS BIGINT) AS duration,
+  coalesce(frame_id, lag(frame_id) OVER w) AS frame_id, coalesce(frame_type, lag(frame_type) OVER w) AS frame_type, coalesce(luma, lag(luma) OVER w) AS luma
+  FROM g WINDOW w AS (PARTITION BY stream_id ORDER BY g)),
+picked AS (SELECT stream_id, frame_id, pts, duration, frame_type, luma FROM h WHERE r = {step} OR (r <> {step} - 1 AND r >= {step} // 2 AND duration > 0))
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(str(r if len(r) > 1 else f"({r[0]})") for r in rows)
+
+
+@query(f"""WITH {FRAMES}, {TRIM}, {_select_sql('trimmed')}
+SELECT frame_type, count(*) AS frames, CAST(sum(duration) AS BIGINT) AS duration, round(avg(luma), 6) AS mean_luma FROM picked GROUP BY frame_type""")
+def trim_select_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two ranges, one of every five, then counts and durations per frame type."""
+    picked = selection.select_every(selection.trim(event_frames(spark, sf_dir), RANGES), 5, 2)
+    return reports.run_statistics(picked).withColumn("mean_luma", F.round("mean_luma", 6))
+
+
+@query(f"WITH {FRAMES}, {TRIM} SELECT * FROM trimmed")
+def trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.trim(event_frames(spark, sf_dir), RANGES)
+
+
+@query(f"WITH {FRAMES}, m AS (SELECT *, min(pts) OVER (PARTITION BY stream_id) AS first FROM f) SELECT stream_id, frame_id, pts FROM m WHERE pts - first < {200 * HOUR}")
+def seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.seek(event_frames(spark, sf_dir), 190 * HOUR, 10 * HOUR).select("stream_id", "frame_id", "pts")
+
+
+@query(f"WITH {FRAMES}, {_select_sql('f')} SELECT * FROM picked")
+def select_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select_every(event_frames(spark, sf_dir), 5, 2)
+
+
+@query(f"""WITH {FRAMES},
+n AS (SELECT *, row_number() OVER w - 1 AS n, lead(pts) OVER w AS nx, coalesce(abs(luma - lag(luma) OVER w), 'inf'::DOUBLE) AS d FROM f WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id)),
+c AS (SELECT stream_id, n // 5 AS g, arg_min(n, struct_pack(d := d, n := n)) AS low, min(d) AS least, max(CASE WHEN d > 300 THEN n END) AS scene, count(*) AS size, min(pts) AS front, max(pts) AS back FROM n GROUP BY ALL),
+x AS (SELECT *, CASE WHEN scene IS NOT NULL AND NOT least < 20 THEN scene ELSE low END AS pick FROM c),
+y AS (SELECT *, CASE WHEN size = 5 OR coalesce(lag(pick) OVER (PARTITION BY stream_id ORDER BY g) + 5 < g * 5 + size, false) THEN pick END AS gone FROM x),
+z AS (SELECT n.*, y.gone, n.n - y.g * 5 - CASE WHEN n.n > y.gone THEN 5 ELSE 0 END AS off,
+  coalesce(max(CASE WHEN n.n = gone THEN coalesce(nx, CASE WHEN size > 1 THEN back + (back - front) * size // (size - 1) ELSE back END) - pts END) OVER (PARTITION BY n.stream_id, y.g), 0) AS lost
+  FROM n JOIN y ON n.stream_id = y.stream_id AND n.n // 5 = y.g)
+SELECT stream_id, frame_id, CAST(pts + CAST(trunc(CAST(off * lost AS HUGEINT) // 4) AS BIGINT) AS BIGINT) AS pts FROM z WHERE gone IS NULL OR n <> gone""")
+def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One frame of every five goes, by the luma difference to the frame before."""
+    diff = F.abs(F.col("luma") - F.lag("luma").over(in_stream()))
+    frames = event_frames(spark, sf_dir).withColumns({"block_diff": diff, "total_diff": diff})
+    return selection.decimate(frames, 5, 300.0, 20.0).select("stream_id", "frame_id", "pts")
+
+
+@query("SELECT event_type AS frame_type, count(*) AS n FROM events WHERE lower(event_type) IN ('click', 'view', 'error') AND lower(event_type) <> 'error' GROUP BY ALL")
+def select_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = selection.select_tracks(event_frames(spark, sf_dir), ["click", "VIEW", "error"], ["error"], "frame_type")
+    return kept.groupBy("frame_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id AS frame_id, [CAST(embedding[3] AS DOUBLE), CAST(embedding[1] AS DOUBLE), NULL] AS samples FROM embeddings")
+def select_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audio = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), F.col("embedding").cast("array<double>").alias("samples"))
+    return selection.select_channels(audio, [2, 0, 64])
+
+
+@query("""SELECT user_id AS stream_id, event_id AS frame_id, CASE WHEN lead(p) OVER w - p > 0 THEN lead(p) OVER w - p ELSE 7 END AS duration
+FROM (SELECT *, epoch_us(ts) // 3600000000 AS p FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY p, event_id)""")
+def packet_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In whole hours, so that pts repeat."""
+    packets = event_frames(spark, sf_dir).withColumns({"pts": F.expr(f"pts div {HOUR}"), "duration": F.lit(7).cast("long")})
+    return timing.packet_durations(packets).select("stream_id", "frame_id", "duration")
+
+
+_HOURS = "SELECT user_id AS stream_id, event_id AS frame_id, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 36000000000 END AS pts, event_type = 'view' AS key FROM events"
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets with pts in tens of hours, every seventh without one."""
+    pts = F.when(F.col("frame_id") % 7 != 0, F.expr(f"pts div {10 * HOUR}"))
+    return event_frames(spark, sf_dir).select("stream_id", "frame_id", pts.alias("pts"), (F.col("frame_type") == "view").alias("key"), F.lit(1).cast("long").alias("duration"))
+
+
+@query(f"""WITH p AS ({_HOURS}),
+k AS (SELECT *, min(CASE WHEN key THEN pts END) OVER (PARTITION BY stream_id) AS first FROM p),
+m AS (SELECT *, CASE WHEN pts IS NULL OR coalesce(lag(pts) OVER w = pts, false) THEN 0 ELSE 1 END AS fresh FROM k WHERE first IS NULL OR pts IS NULL OR pts >= first WINDOW w AS (PARTITION BY stream_id ORDER BY pts NULLS FIRST, frame_id))
+SELECT stream_id, frame_id, pts, CASE WHEN fresh = 1 THEN CAST(sum(fresh) OVER (PARTITION BY stream_id ORDER BY pts NULLS FIRST, frame_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) END AS poc FROM m""")
+def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.reorder(_hours(spark, sf_dir), "key").select("stream_id", "frame_id", "pts", "poc")
+
+
+@query(f"""WITH p AS (SELECT *, coalesce(lag(pts) OVER (PARTITION BY stream_id ORDER BY frame_id) = pts, false) AS again FROM ({_HOURS})),
+s AS (SELECT stream_id, count(*) AS packets, count(CASE WHEN pts IS NULL THEN 1 END) AS no_pts, count(CASE WHEN pts IS NULL AND key THEN 1 END) AS no_pts_key,
+  count(CASE WHEN NOT key THEN 1 END) AS nonkey, count(CASE WHEN again THEN 1 END) AS repeats FROM p GROUP BY stream_id)
+SELECT stream_id, packets, no_pts, no_pts_key, repeats, CAST(0 AS BIGINT) AS fields, CAST(1 AS BIGINT) AS usual_duration,
+  CASE WHEN no_pts = packets THEN 'all_invalid' WHEN no_pts > 0 AND no_pts_key = 0 AND no_pts = nonkey THEN 'nonkey_invalid' WHEN 2 * no_pts >= packets THEN 'half_invalid'
+  WHEN no_pts > 0 THEN 'sometimes_invalid' WHEN repeats > 0 AND 2 * repeats >= packets THEN 'duplicate' ELSE 'normal' END AS status FROM s""")
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.stream_status(_hours(spark, sf_dir), "key")
+
+
+@query(f"""WITH {FRAMES}, g AS (SELECT stream_id, lead(pts) OVER (PARTITION BY stream_id ORDER BY pts, frame_id) - pts AS gap FROM f)
+SELECT stream_id, gap // {HOUR} * {HOUR} AS gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY ALL""")
+def gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.gap_histogram(event_frames(spark, sf_dir), HOUR)
+
+
+@query(f"""WITH {FRAMES},
+e AS (SELECT stream_id, frame_id, CASE WHEN frame_id % 9 = 0 THEN -1 ELSE pts END AS pts FROM f),
+k AS (SELECT e.*, f.duration, f.duration IS NOT NULL AND row_number() OVER (PARTITION BY e.stream_id, e.pts ORDER BY e.frame_id) = 1 AS ok FROM e LEFT JOIN f ON e.stream_id = f.stream_id AND e.pts = f.pts),
+l AS (SELECT *, last_value(CASE WHEN ok THEN pts END IGNORE NULLS) OVER w AS p, last_value(CASE WHEN ok THEN duration END IGNORE NULLS) OVER w AS d FROM k
+  WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT stream_id, frame_id, CASE WHEN ok THEN pts ELSE p + d // 2 END AS pts, CASE WHEN ok THEN duration ELSE d - d // 2 END AS duration FROM l""")
+def resolve_output_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = event_frames(spark, sf_dir)
+    return timing.resolve_output_pts(frames.withColumn("pts", F.when(F.col("frame_id") % 9 == 0, -1).otherwise(F.col("pts"))), frames)
+
+
+@query(f"""WITH {FRAMES}, r(s, e, mode, bitrate, quality) AS (VALUES {_values(RATES)}),
+h AS (SELECT f.stream_id, f.frame_id, arg_max(struct_pack(mode := mode, bitrate := bitrate, quality := quality), struct_pack(s := s, e := CASE WHEN e <= 0 THEN 4611686018427387904 ELSE e END)) AS x
+  FROM f LEFT JOIN r ON frame_id >= s AND (e <= 0 OR frame_id <= e) GROUP BY ALL)
+SELECT stream_id, frame_id, x.mode AS mode, CAST(x.bitrate AS BIGINT) AS bitrate, CAST(x.quality AS DOUBLE) AS quality FROM h""")
+def dynamic_rate_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = _table(spark, RATES, "start long, end long, mode string, bitrate long, quality double")
+    return lookups.dynamic_rate_control(event_frames(spark, sf_dir), side).select("stream_id", "frame_id", "mode", "bitrate", "quality")
+
+
+@query(f"""WITH {FRAMES}, g(s, e, seed, params) AS (VALUES {_values(GRAIN)})
+SELECT stream_id, frame_id, CAST(seed AS BIGINT) AS seed, coalesce(params, 'off') AS params FROM f LEFT JOIN g ON pts >= s AND pts < e""")
+def film_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = _table(spark, GRAIN, "start long, end long, seed long, params string")
+    return lookups.film_grain(event_frames(spark, sf_dir), side).select("stream_id", "frame_id", "seed", "params")
+
+
+@query("SELECT event_id AS frame_id, event_id IN (SELECT o_orderkey FROM orders) AS is_key FROM events")
+def forced_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys stand in for the key frame list."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("frame_id"))
+    return lookups.forced_keyframes(event_frames(spark, sf_dir), keys).select("frame_id", "is_key")
+
+
+@query(f"""WITH {FRAMES}
+SELECT l.frame_id, max_by(r.luma, struct_pack(p := r.pts, v := r.luma)) AS caption FROM f l LEFT JOIN f r ON l.stream_id = r.stream_id AND r.pts <= l.pts AND r.frame_type = 'error' WHERE l.frame_type <> 'error' GROUP BY l.frame_id""")
+def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest ``error`` event stands in for the subtitle on show."""
+    frames = event_frames(spark, sf_dir)
+    packets = frames.where("frame_type = 'error'").select("stream_id", "pts", F.col("luma").alias("caption"))
+    return lookups.as_of(frames.where("frame_type <> 'error'"), packets, "caption").select("frame_id", "caption")
+
+
+@query(f"""WITH {FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_type = 'click' ORDER BY frame_id) AS k FROM f)
+SELECT a.frame_id, b.frame_id AS over_frame_id, b.luma AS over_luma FROM n a LEFT JOIN n b ON a.stream_id = b.stream_id AND a.k = b.k AND b.frame_type = 'click' WHERE a.frame_type <> 'click'""")
+def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = event_frames(spark, sf_dir)
+    return lookups.overlay(frames.where("frame_type <> 'click'"), frames.where("frame_type = 'click'"), ["frame_id", "luma"]).select("frame_id", "over_frame_id", "over_luma")
+
+
+@query(f"""WITH {BLOCKS}, p AS (SELECT stream_id, plane AS a, list_transform(plane, lambda x: x // 16 * 16) AS b FROM b),
+s AS (SELECT stream_id, CAST(list_sum(a) AS BIGINT) AS s1, CAST(list_sum(b) AS BIGINT) AS s2, CAST(list_sum(list_transform(a, lambda x: x * x)) + list_sum(list_transform(b, lambda x: x * x)) AS BIGINT) AS q,
+  CAST(list_sum(list_transform(list_zip(a, b), lambda x: x[1] * x[2])) AS BIGINT) AS c, CAST(list_sum(list_transform(list_zip(a, b), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) / 64 AS mse FROM p),
+t AS (SELECT stream_id, count(*) AS frames, sum((2 * s1 * s2 + {0.01**2 * 255**2 * 64!r}::DOUBLE) * (2 * (64 * c - s1 * s2) + {0.03**2 * 255**2 * 64 * 63!r}::DOUBLE) /
+  ((s1 * s1 + s2 * s2 + {0.01**2 * 255**2 * 64!r}::DOUBLE) * (64 * q - s1 * s1 - s2 * s2 + {0.03**2 * 255**2 * 64 * 63!r}::DOUBLE))) AS s, sum(mse) AS e FROM s GROUP BY stream_id)
+SELECT stream_id, frames, round(s / frames, 6) AS ssim, round(10 * log10(frames / (frames - s)), 4) AS ssim_db, round(10 * log10(65025 / (e / frames)), 4) AS psnr FROM t""")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks against themselves in steps of 16."""
+    source = block_frames(spark, sf_dir)
+    coded = source.withColumn("plane", F.transform("plane", lambda x: (x - x % 16).cast("int")))
+    out = reports.quality_report(reports.pair_frames(source, coded))
+    return out.withColumns({"ssim": F.round("ssim", 6), "ssim_db": F.round("ssim_db", 4), "psnr": F.round("psnr", 4)})
+
+
+@query(f"WITH {FRAMES} SELECT frame_type, count(*) AS frames, CAST(sum(duration) AS BIGINT) AS duration, round(avg(luma), 6) AS mean_luma FROM f GROUP BY frame_type")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.run_statistics(event_frames(spark, sf_dir)).withColumn("mean_luma", F.round("mean_luma", 6))
+
+
+@query("SELECT count(*) AS frames, CAST(sum(length(props)) AS BIGINT) AS bytes, round(sum(length(props)) * 8 * 25.0::DOUBLE / (1000 * (count(*) + 40)), 6) AS kbps FROM events")
+def bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.length("props").alias("bytes"))
+    return reports.bitrate(coded, 25.0, 40).withColumn("kbps", F.round("kbps", 6))
+
+
+@query("""SELECT event_type AS frame_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, min(value) AS least, max(value) AS greatest,
+  round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.score_distribution(event_frames(spark, sf_dir), "frame_type", "luma")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("frame_type", "least", "greatest")})
+
+
+@query("SELECT s_suppkey AS id, round(CAST(s_acctbal AS DOUBLE) * 0.5 + s_nationkey * 10.0, 6) AS score FROM supplier ORDER BY CAST(s_acctbal AS DOUBLE) * 0.5 + s_nationkey * 10.0 DESC, id LIMIT 3")
+def rank_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers stand in for devices; the three best are the report."""
+    devices = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("load"), F.col("s_nationkey").cast("double").alias("cores"))
+    return reports.rank_devices(devices, {"load": 0.5, "cores": 10.0}, 3).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {FRAMES} SELECT stream_id, frame_id, pts AS dts, frame_type FROM f WHERE frame_type IN ('view', 'click')")
+def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = event_frames(spark, sf_dir).select("stream_id", "frame_id", F.col("pts").alias("dts"), "frame_type")
+    return reports.interleave(packets.where("frame_type = 'view'"), packets.where("frame_type = 'click'"))
+
+
+@query(f"""WITH {FRAMES},
+k AS (SELECT *, greatest(count(CASE WHEN frame_type = 'view' THEN 1 END) OVER (PARTITION BY stream_id ORDER BY frame_id) - 1, 0) // 2 AS chunk FROM f),
+o AS (SELECT *, pts - min(pts) OVER (PARTITION BY stream_id, chunk) AS p, row_number() OVER (PARTITION BY stream_id, chunk ORDER BY frame_id) - 1 AS i FROM k),
+s AS (SELECT stream_id, chunk, max(p + duration) AS e, max(i) + 1 AS n FROM o GROUP BY ALL),
+m AS (SELECT stream_id, chunk, coalesce(sum(e) OVER w, 0) AS e, coalesce(sum(n) OVER w, 0) AS n FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT stream_id, chunk, CAST(i + n AS BIGINT) AS frame_id, CAST(p + e AS BIGINT) AS pts FROM o JOIN m USING (stream_id, chunk)""")
+def join_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams cut at every second key frame, each part timed from 0, and put together again."""
+    from pyspark.sql.window import Window
+
+    parts = reports.split_chunks(event_frames(spark, sf_dir).withColumn("key", F.col("frame_type") == "view"), "key", 2)
+    w = Window.partitionBy("stream_id", "chunk")
+    parts = parts.withColumns({"pts": F.col("pts") - F.min("pts").over(w), "frame_id": (F.row_number().over(w.orderBy("frame_id")) - 1).cast("long")})
+    return reports.join_chunks(parts).select("stream_id", "chunk", "frame_id", "pts")
+
+
+@query()
+def regularize_vfr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_streams(event_frames(spark, sf_dir), lambda: folds.RegularizeTimestamps(6 * HOUR))
+
+
+@query()
+def regularize_cfr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_streams(event_frames(spark, sf_dir), lambda: folds.RegularizeTimestamps(6 * HOUR, "forcecfr"))
+
+
+@query()
+def drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_streams(block_frames(spark, sf_dir), lambda: folds.DropRepeats(high=3200, low=2600, share=0.33))
+
+
+@query()
+def deflicker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of each block, then the correction."""
+    n = F.lit(64.0)
+    mean = reports._total(F.col("plane")) / n
+    square = reports._total(F.transform("plane", lambda x: x * x)) / n
+    rows = block_frames(spark, sf_dir).select("stream_id", "frame_id", mean.alias("mean"), F.sqrt(square - mean * mean).alias("sigma"))
+    return fold_streams(rows, lambda: folds.Deflicker(30, 4.0, 0.2))
+
+
+_STAB = f"""WITH RECURSIVE {FRAMES},
+n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n, least(64.0, luma / 10) AS raw, luma / (luma + 100) >= 0.3 AS ok FROM f),
+w AS (SELECT stream_id, n, frame_id, CASE WHEN ok THEN raw END AS x, ok FROM n WHERE n = 1
+  UNION ALL SELECT n.stream_id, n.n, n.frame_id, CASE WHEN NOT n.ok THEN w.x WHEN w.x IS NULL THEN n.raw ELSE 0.9::DOUBLE * w.x + (1 - 0.9::DOUBLE) * n.raw END, n.ok FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)
+SELECT stream_id, frame_id, round(coalesce(x, 0), 6) AS x, round(coalesce(-x, 0), 6) + 0.0 AS y, ok AS accepted FROM w"""
+
+
+@query(_STAB)
+def smooth_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    luma = F.col("luma")
+    rows = event_frames(spark, sf_dir).select("stream_id", "frame_id", (luma / 10).alias("dx"), (-luma / 10).alias("dy"), luma.alias("trust"))
+    out = fold_streams(rows, lambda: folds.SmoothShift(0.9, 0.3))
+    return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+@query()
+def temporal_low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_streams(block_frames(spark, sf_dir), folds.TemporalLowPass)
+
+
+@query()
+def chapter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters in milliseconds, frames in microseconds."""
+    chapters = [START // 1000 + h * 3_600_000 for h in (1, 2, 3, 50, 120, 121, 400)]
+    return fold_streams(event_frames(spark, sf_dir), lambda: folds.ChapterKeys(chapters))
+
+
+@query()
+def grain_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample predicted from its left and upper neighbours, over the last four blocks."""
+    at = lambda k: F.slice("plane", k, 55)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - 128) * (y - 128)), F.lit(0.0), lambda s, v: s + v)
+    left, up, own = at(9), at(2), at(10)
+    rows = block_frames(spark, sf_dir).select("stream_id", "frame_id", F.array(dot(left, left), dot(left, up), dot(left, up), dot(up, up)).alias("lhs"), F.array(dot(left, own), dot(up, own)).alias("rhs"), (F.col("frame_id") % 50 != 0).alias("reliable"))
+    return fold_streams(rows, lambda: folds.GrainWindow(4))
+
+
+@query()
+def repeat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_frames(spark, sf_dir).withColumns({"repeats": F.col("frame_type") == "click", "top_first": F.col("frame_id") % 2 == 0})
+    return fold_streams(rows, folds.RepeatFields)
+
+
+@query()
+def chroma_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_frames(spark, sf_dir).select("stream_id", "frame_id", (F.col("luma") * 10).alias("variance"), F.col("luma").alias("u"), (-F.col("luma")).alias("v"))
+    return fold_streams(rows, lambda: folds.ChromaGuard(warm_up=10))
+
+
+@query()
+def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_frames(spark, sf_dir).withColumn("match", F.when(F.col("frame_type").isin("view", "click", "error"), "c").otherwise("n"))
+    return fold_streams(rows, folds.CadenceTracker)
+
+
+@query()
+def reorder_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_frames(spark, sf_dir).withColumn("pts", F.col("pts") - F.col("frame_id") % 3 * 20 * HOUR)
+    return fold_streams(rows, folds.ReorderByPts)
+
+
+def _kernel_sql(expression: str) -> str:
+    return f"WITH {BLOCKS} SELECT frame_id, {expression} AS plane FROM b"
+
+
+_CODE = "CAST(greatest(0, least(255, floor({} + 0.5))) AS INTEGER)"
+_CLAMPED = "plane[greatest(0, least(7, i // 8 + {dy})) * 8 + greatest(0, least(7, i % 8 + {dx})) + 1]"
+
+
+def _convolve_sql(kernel: list[list[float]]) -> str:
+    total = " + ".join(["0.0::DOUBLE", *(f"{_CLAMPED.format(dx=x - len(kernel) // 2, dy=y - len(kernel) // 2)} * {w!r}::DOUBLE" for y, row in enumerate(kernel) for x, w in enumerate(row))])
+    return f"list_transform(range(64), lambda i: {_CODE.format('(' + total + ')')})"
+
+
+def _planes(spark: SparkSession, sf_dir: str, made) -> DataFrame:
+    return block_frames(spark, sf_dir).select("frame_id", made(F.col("plane")).alias("plane"))
+
+
+@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format("((x - 128) * 1.5::DOUBLE + 128 + 25.5::DOUBLE)") + ")"))
+def plane_tweak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: planes.tweak(p, 0.1, 1.5))
+
+
+@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format("(CASE WHEN x / 255.0::DOUBLE <= 0 THEN 0.0::DOUBLE WHEN x / 255.0::DOUBLE < 0.5 THEN 0.0 + (x / 255.0::DOUBLE - 0.0) * 0.5::DOUBLE WHEN x / 255.0::DOUBLE < 1 THEN 0.25::DOUBLE + (x / 255.0::DOUBLE - 0.5::DOUBLE) * 1.5::DOUBLE ELSE 1.0::DOUBLE END) * 255") + ")"))
+def plane_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: planes.curves(p, [(0, 0), (0.5, 0.25), (1, 1)]))
+
+
+@query(_kernel_sql("list_transform(range(110), lambda i: CASE WHEN i % 11 BETWEEN 1 AND 8 AND i // 11 BETWEEN 2 AND 9 THEN plane[(i // 11 - 2) * 8 + i % 11] ELSE 16 END)"))
+def plane_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: planes.pad(p, 8, 8, 1, 2, 2, 0, 16))
+
+
+@query(_kernel_sql("list_transform(range(30), lambda i: plane[(i // 5 + 1) * 8 + i % 5 + 3])"))
+def plane_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: planes.crop(p, 8, 8, 2, 1, 1, 1))
+
+
+@query(_kernel_sql("list_transform(range(64), lambda i: plane[(i % 8) * 8 + 8 - i // 8])"))
+def plane_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: planes.turn(p, 8, 8, flip_x=True, transpose=True))
+
+
+@query(_kernel_sql(_convolve_sql(planes.gauss_kernel(3))))
+def plane_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: planes.gauss(p, 8, 8))
+
+
+@query(f"WITH {BLOCKS}, g AS (SELECT frame_id, plane, {_convolve_sql(planes.gauss_kernel(3))} AS soft FROM b) SELECT frame_id, list_transform(list_zip(plane, soft), lambda z: CASE WHEN abs(z[1] - z[2]) > 4 THEN " + _CODE.format("(z[1] + (z[1] - z[2]) * 0.5::DOUBLE)") + " ELSE z[1] END) AS plane FROM g")
+def plane_unsharp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: planes.unsharp(p, 8, 8, threshold=4.0))
+
+
+@query(f"""WITH {BLOCKS}, n AS (SELECT frame_id, plane, coalesce(lag(plane) OVER w, plane) AS p, coalesce(lead(plane) OVER w, plane) AS q FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id))
+SELECT frame_id, list_transform(list_zip(p, plane, q), lambda z: {_CODE.format("((CASE WHEN abs(z[1] - z[2]) > 20 THEN z[2] ELSE z[1] END) * 0.25::DOUBLE + z[2] * 0.5::DOUBLE + (CASE WHEN abs(z[3] - z[2]) > 20 THEN z[2] ELSE z[3] END) * 0.25::DOUBLE)")}) AS plane FROM n""")
+def plane_convolution3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block with its neighbours in time; the ends stand in for missing ones."""
+    own, w = F.col("plane"), in_stream()
+    made = planes.temporal_convolve(F.coalesce(F.lag(own).over(w), own), own, F.coalesce(F.lead(own).over(w), own), threshold=20)
+    return block_frames(spark, sf_dir).select("frame_id", made.alias("plane"))
+
+
+@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format("(((1 - 2 * ((255 - x) / 255.0::DOUBLE)) * (x / 255.0::DOUBLE) * (x / 255.0::DOUBLE) + 2 * ((255 - x) / 255.0::DOUBLE) * (x / 255.0::DOUBLE)) * 255)") + ")"))
+def plane_soft_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks under their own negative."""
+    return _planes(spark, sf_dir, lambda p: planes.soft_light(p, F.transform(p, lambda x: F.lit(255) - x)))
+
+
+@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format("((x - 200 * 0.25::DOUBLE) / (1 - 0.25::DOUBLE))") + ")"))
+def plane_delogo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = lambda v: F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lit(v))
+    return _planes(spark, sf_dir, lambda p: planes.denoise_logo(p, even(200), even(0.25)))
+
+
+@query(f"""WITH {BLOCKS}, d AS (SELECT stream_id, frame_id, plane, lag(plane) OVER (PARTITION BY stream_id ORDER BY frame_id) AS p FROM b)
+SELECT frame_id, CAST(list_sum(list_transform(list_zip(p, plane), lambda z: abs(z[1] - z[2]))) AS BIGINT) AS sad FROM d WHERE p IS NOT NULL""")
+def plane_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = block_frames(spark, sf_dir).withColumn("p", F.lag("plane").over(in_stream())).where("p IS NOT NULL")
+    return rows.select("frame_id", reports.plane_difference(F.col("p"), F.col("plane")).alias("sad"))
+
+
+@query()
+def colour_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as grey pixels with a tint from BT.2020 to BT.709 with a tone curve."""
+    pixel = lambda x: F.struct((x / 255.0).alias("a"), F.lit(0.05).alias("b"), F.lit(-0.02).alias("c"))
+    steps = colour.conversion("bt2020nc", "bt709", tone=colour.hable())
+    return block_frames(spark, sf_dir).select("frame_id", colour.apply(F.transform("plane", pixel), steps).alias("pixels"))
