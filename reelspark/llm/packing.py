@@ -10,7 +10,10 @@ is left, or one node holds it all, the remaining bins are emitted as they are.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,26 +31,59 @@ _PIECE = "id long, piece int, start long, length long, ids_crc32 long"
 _BIN = "used int, bin long, members array<struct<id:long,piece:int,start:long,length:long,ids_crc32:long>>"
 
 
+# The settings of tokenizers that lower-case, split off runs of letters and read bytes; words can be remembered under these.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of letters whose composed form and lower case are their own, with a mark behind at most.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+
+
 class _Words(dict):
     """Token ids of blank-separated words, as little-endian 32-bit integers.
 
-    The tokenizer's normaliser and splitter never join or tell apart text across a
-    blank or a line feed, so a text's ids are those of its parts in a row.
+    The known settings never join or tell apart text across a blank or a line feed, so
+    a text's ids are those of its parts in a row, and a plain word's are those of its
+    letters and its mark. Under other settings each text is tokenised whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        split, *rest = (settings["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        self.known = (
+            (settings["normalizer"] or {}).get("normalizers") == NORMALIZERS and bool(split) and split.get("pattern") == {"Regex": SPLITTER}
+            and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)] and not settings["model"].get("dropout")
+        )
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {k: as_bytes.pre_tokenize_str(chr(k))[0][0] for k in range(0xC0, 0x100)}
+        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Of lower-case letters or a mark, by the model alone."""
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= REMEMBERED_WORDS:
+                self.parts.clear()
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part.translate(self.bytes_of))]).tobytes()
+            self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = _PLAIN.fullmatch(word)
+        ids = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"") if plain else self._ids(word)
         self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
+        if not self.known:
+            return self._ids(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 

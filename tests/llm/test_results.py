@@ -91,7 +91,7 @@ def test_near_duplicates(spark, small, size):
 def test_packing(spark, small):
     from tokenizers import Tokenizer
 
-    texts = EDGE + ["long words here and there, isn't it? <|endoftext|>   x\x1cy " * 2000] + [t for _, t in small]
+    texts = EDGE + ["long words here and there, isn't it? <|endoftext|>   x\x1cy " * 2000, "Élan ÉTÉ, naïve. ÿ×÷ß Straße! don't it's; e\u0301t\u00e9 ΣΑΣ İI word... \u00a0a\u3000b"] + [t for _, t in small]
     tokenizer = Tokenizer.from_file(tokenizer_path())
     got = packing.packed(frame(spark, texts), tokenizer_path()).collect()
     pieces = defaultdict(list)
