@@ -206,7 +206,7 @@ def test_url_rules_and_graph(spark):
     link = '<a href="{}">'
     rows = [
         (1, "http://WWW.example.com/en/x", ""), (2, "http://a.example.com/en/", ""), (3, "https://x.net/es/1?q", link.format("http://bad.org/z")),
-        (4, "http://bad.org/p", link.format("https://x.net/es/")), (5, None, None), (6, "nothing", ""), (7, "http://y.com?x/", ""), (8, "http://z.com/p#f/", link.format("http://good.org/")), (9, "http://good.org/", ""), (10, "http://lone.org", ""),
+        (4, "http://bad.org/p", link.format("https://x.net/es/")), (5, None, None), (6, "nothing", ""), (7, "http://y.com?x/", ""), (8, "http://z.com/p#f/", link.format("//good.org/") + link.format("/own")), (9, "http://good.org/", ""), (10, "http://lone.org", ""),
     ]
     got = {r.id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {k: (r.host, r.path, r.rule, r.verdict) for k, r in got.items()} == {
