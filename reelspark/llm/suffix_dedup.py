@@ -236,7 +236,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         spans = left.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         items = scratch.stage(texts.select("id", "text").join(spans, "id").mapInArrow(_next_level(grams[0], q, length), _ITEM), f"items{level + 1}")
         scratch.drop(f"items{level}")
-    again = items.groupBy("h", "e").agg(F.count("*").alias("n")).where("n > 1").select("h", "e")
+    again = scratch.stage(items.groupBy("h", "e").agg(F.count("*").alias("n")).where("n > 1").select("h", "e"), "again")
     found.append(items.join(again, ["h", "e"], "left_semi").select("id", "lo", "hi"))
     windows = found[0]
     for more in found[1:]:
