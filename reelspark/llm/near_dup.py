@@ -11,6 +11,10 @@ Candidates whose signatures are alike are confirmed on the full shingle sets, th
 with a leader or from a sparse region first: the other pairs of crowded regions need
 no test where the first links join their ends already. Documents with the same
 shingle set are one class from the start, so copies are never paired.
+
+Neighbours and leaders can miss the one link of a document in a crowded region. So the
+members that are outside the component most common in their region are compared, as
+a query set, with the whole region, in blocks.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ ALIKE_MARGIN = 0.11
 _MULTIPLIERS = np.random.default_rng(20240301).integers(1, 2**63, ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = ENTRIES // TREES
 BUCKET_BYTES = 24 << 20
+#: Members of a crowded region, or of those left out in it, in one block.
+REGION_BLOCK = 4096
+#: As ``ALIKE_MARGIN`` for members left out, where a link has no second chance: odds below one in ten thousand.
+LEFT_OUT_MARGIN = 0.14
 _PAIRS = "a long, b long, alike double, later boolean"
 
 
@@ -151,8 +159,8 @@ def _confirm(percent: int):
     return run
 
 
-def _candidates(reps: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Pairs ``node, hub`` to confirm, ``later`` where both lie in crowded regions only and neither leads one.
+def _candidates(reps: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``node, hub`` to confirm, ``later`` where both lie in crowded regions only and neither leads one; and the members of crowded regions.
 
     A hub may have any number of partners, a node has no more than its trees bound.
     """
@@ -169,12 +177,50 @@ def _candidates(reps: DataFrame, threshold: float, scratch: Scratch) -> DataFram
     near = scratch.stage(near, "near")
     close = near.where(F.col("alike") >= threshold)
     degree = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    crowded = entries.where(F.col("size") > NEIGHBOURS).select("tree", "key", "id", "n", "sig")
+    crowded = entries.where(F.col("size") > NEIGHBOURS).select("tree", "key", "id", "n", "sig", "size")
     best = F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sig").alias("sig_hub")), F.struct("degree", -F.col("id"))).alias("x")
     leaders = scratch.stage(crowded.join(degree, "id").groupBy("tree", "key").agg(best).select("tree", "key", "x.*"), "leaders")
     stars = crowded.join(leaders, ["tree", "key"]).where((F.col("id") != F.col("hub")) & (F.least("n", "n_hub") >= threshold * F.greatest("n", "n_hub")))
     stars = stars.select(F.col("id").alias("node"), "hub", F.col("sig").alias("sig_node"), "sig_hub").mapInArrow(_alike(alike), "node long, hub long, later boolean").distinct()
-    return scratch.stage(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "later").unionByName(stars), "pairs")
+    return scratch.stage(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "later").unionByName(stars), "pairs"), crowded
+
+
+def _meet(threshold: float, alike: float):
+    """Pairs of like signatures between a block of members left out and a block of their region."""
+
+    def run(nodes: pa.Table, hubs: pa.Table) -> pa.Table:
+        ids, ns, roots = (hubs[c].to_numpy() for c in ("id", "n", "root"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sigs = _fixed(hubs["sig"], ENTRIES)
+        for v, n, root, common, sig in zip(*(nodes[c].to_pylist() for c in ("id", "n", "root", "common", "sig"))):
+            at = np.flatnonzero((roots != root) & ((roots == common) | (ids > v)) & (np.minimum(n, ns) >= threshold * np.maximum(n, ns)))
+            at = at[(sigs[at] == np.frombuffer(sig, np.uint8)).sum(1, dtype=np.uint8) >= alike * ENTRIES]
+            a.append(np.minimum(ids[at], v))
+            b.append(np.maximum(ids[at], v))
+        return pa.table({"node": np.concatenate(a), "hub": np.concatenate(b)})
+
+    return run
+
+
+def _left_out(crowded: DataFrame, roots: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs ``node, hub`` (the lesser first) of different components in a crowded region, one of the two outside the region's most common component.
+
+    The region and its members left out are both cut into blocks of ``REGION_BLOCK``, and
+    each two blocks meet in a task of their own; only pairs of like signatures leave it.
+    """
+    members = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = scratch.stage(members, "members")
+    common = members.groupBy("tree", "key", "root").agg(F.count("*").alias("c")).groupBy("tree", "key")
+    common = common.agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("common"), (F.sum("c") - F.max("c")).alias("left")).where("`left` > 0")
+    members = members.join(scratch.stage(common, "common"), ["tree", "key"])
+    numbers = lambda c: F.ceil(F.col(c) / REGION_BLOCK).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), numbers(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), numbers(c)).cast("int")
+    hubs = members.select("tree", "key", every("left").alias("x"), own("size").alias("y"), "id", "n", "root", "sig")
+    new = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  tells the two sides' columns apart
+    nodes = members.where("root <> common").select(*new("tree", "key"), own("left").alias("x"), every("size").alias("y"), *new("id", "n", "root", "common", "sig"))
+    by = ["tree", "key", "x", "y"]
+    return nodes.groupBy(*by).cogroup(hubs.groupBy(*by)).applyInArrow(_meet(threshold, threshold - LEFT_OUT_MARGIN), "node long, hub long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = lambda c: F.min_by(c, "id").alias(c)
     classes = scratch.stage(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), first("sig"), first("keys")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "n", "sig", "keys")
-    pairs = _candidates(reps, threshold, scratch)
+    pairs, crowded = _candidates(reps, threshold, scratch)
 
     wanted = pairs.select(F.col("node").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
     sets = scratch.stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary"), "sets")
@@ -226,6 +272,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What the labels join already needs no link of its own.
     bonds = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(apart.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))).unionByName(more)
     roots = connected(bonds, scratch)
+    tested = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
+    late = scratch.stage(_left_out(crowded, roots, threshold, scratch).join(tested, ["node", "hub"], "left_anti"), "late")
+    if not late.isEmpty():
+        wanted = late.select(F.col("node").alias("id")).unionByName(late.select(F.col("hub").alias("id"))).distinct()
+        sets = scratch.stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary"), "late_sets")
+        found = scratch.stage(_confirmed(late, sets, percent), "third")
+        links = links.unionByName(found)
+        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), scratch, "late_cc")
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = classes.drop("sig", "keys").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = scratch.stage(named.select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "named")

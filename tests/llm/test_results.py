@@ -284,3 +284,25 @@ def test_pipeline_against_brute_force(spark, small):
         if whole and any(tuple(w[j : j + 10]) in windows for j in range(max(1, len(w) - 9))):
             del texts[k]
     assert {r.doc_id for r in got} == set(texts)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_duplicates_of_crowded_regions(spark, monkeypatch, block):
+    """A family around one text whose members lie just below the threshold of all others but one."""
+    monkeypatch.setattr(near_dup, "REGION_BLOCK", block)
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.permutation(150)]
+    texts = []
+    for k in range(120):
+        at = set(rng.choice(38, 4, replace=False) * 4)  # four words changed: 16 shingles each
+        at = at if k % 3 else set(list(at)[:2])
+        texts.append(" ".join(f"x{k // 2 if k % 2 and j % 8 else k}y{j}" if j in at else w for j, w in enumerate(base)))
+    sets = [shingles(t, 4) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    got = {r.id: r.component_id for r in near_dup.near_duplicates(frame(spark, texts), size=4).collect()}
+    assert len(set(root)) > 1 and got == dict(enumerate(root))
