@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and is written as Parquet before the next
-one reads it. All stages but the last return the columns of ``documents``.
+one reads it. All stages but the last return the columns of ``documents``. Ids may be
+null or repeated: rows of the same id and text count once, other rows are documents of
+their own.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.llm import decontam, near_dup, packing, quality, suffix_dedup
+from reelspark.llm._rows import has_repeats, row_key
 from reelspark.llm._scratch import Scratch
 from reelspark.llm.queries import table, tokenizer_path
 
@@ -17,36 +20,60 @@ from reelspark.llm.queries import table, tokenizer_path
 ORACLE_SQL: str | None = None
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``_key``, the id where ids are unique; of rows of the same id and text one is left."""
+    if not has_repeats(docs, "doc_id"):
+        return docs.withColumn("_key", F.col("doc_id"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct(*rest)) if rest else F.lit(None)
+    once = docs.withColumn("_key", row_key("doc_id", "text")).groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), least.alias("_rest"))
+    once = once.select(*[F.col(c if c in ("doc_id", "text") else f"_rest.{c}").alias(c) for c in docs.columns], "_key")
+    return Scratch(spark, "keyed").stage(once, "docs")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't depleted of frequent lines; texts stay whole."""
-    kept = quality.document_rules(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    columns, docs = docs.columns, keyed(spark, docs)
+    kept = quality.document_rules(docs, "_key").where("kept").select(F.col("id").alias("_key"))
+    return docs.join(kept, "_key", "left_semi").select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    columns, repeats, docs = docs.columns, has_repeats(docs, "doc_id"), keyed(spark, docs)
+    found = near_dup.near_duplicates(docs, "_key")
+    if repeats:  # keys aren't in the order of ids then
+        groups = found.select(F.col("id").alias("_key"), "component_id").join(docs.select("_key", "doc_id"), "_key")
+        kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
+    else:
+        kept = found.where("kept").select(F.col("id").alias("_key"))
+    return docs.join(kept, "_key", "left_semi").select(*columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that occur elsewhere too; a text that loses all of itself goes."""
-    cut = suffix_dedup.repeated_passages(docs).where("n_removed = 0 OR kept_text <> ''")
-    cut = cut.select(F.col("id").alias("doc_id"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("kept_text"))
+    columns, docs = docs.columns, keyed(spark, docs)
+    cut = suffix_dedup.repeated_passages(docs, "_key").where("n_removed = 0 OR kept_text <> ''")
+    cut = cut.select(F.col("id").alias("_key"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("kept_text"))
     new = F.coalesce("kept_text", "text")
-    out = docs.join(cut, "doc_id").withColumns({"text": new, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))})
-    return out.select(*docs.columns)
+    out = docs.join(cut, "_key").withColumns({"text": new, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))})
+    return out.select(*columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    clean = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(F.col("id").alias("doc_id"))
-    return docs.join(clean, "doc_id", "left_semi")
+    columns, docs = docs.columns, keyed(spark, docs)
+    clean = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), "_key").where("NOT contaminated").select(F.col("id").alias("_key"))
+    return docs.join(clean, "_key", "left_semi").select(*columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, packed into sequences of 4096 tokens."""
-    return packing.packed(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+    if not has_repeats(docs, "doc_id"):
+        return packing.packed(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+    docs = keyed(spark, docs)
+    out = packing.packed(docs, tokenizer_path(), "_key")
+    return out.withColumnRenamed("id", "_key").join(docs.select("_key", "doc_id"), "_key").select(*["doc_id" if c == "id" else c for c in out.columns])
 
 
 STAGES = [

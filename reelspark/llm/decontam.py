@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.llm._rows import has_repeats, row_key
 from reelspark.llm._scratch import Scratch
 
 # Fixed value: what stands between words (ASCII other than letters and digits).
@@ -95,9 +96,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """Per document ``id, n_words, n_hit, n_items, items_sha256, contaminated`` (see ``phrase_matches``).
 
     Documents without a match, null and empty ones among them, have zeros and the
-    digest of the empty string. ``id_col`` must be unique.
+    digest of the empty string. Rows with a null or repeated id are judged each by
+    its own text.
     """
     scratch = Scratch(docs.sparkSession, "contamination")
+    if has_repeats(docs, id_col):
+        keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+        once = keyed.groupBy("key").agg(F.first("text").alias("text"))
+        judged = contamination(once, items, "key", "text", **options)
+        return keyed.select("key", "id").join(judged.withColumnRenamed("id", "key"), "key").select("id", *judged.columns[1:])
     found = scratch.stage(phrase_matches(docs, items, id_col, text_col, scratch=scratch, **options), "found")
     spans = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
     covered = F.aggregate(

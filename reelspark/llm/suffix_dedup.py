@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm._bytes import Substrings, chunks, mix
+from reelspark.llm._rows import has_repeats, row_key
 from reelspark.llm._scratch import Scratch
 
 #: q-gram lengths before the last level, as parts of the passage's length.
@@ -207,21 +208,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Returns ``id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans`` for
     each row. Null and empty texts, and texts below ``length`` bytes, lose nothing.
     Rows with the same text are settled as a group: from ``length`` bytes on they
-    lose all, and one of them stands for the group against the rest. ``id_col`` must
-    be unique. A cut inside a multi-byte character drops the broken rest of that
+    lose all, and one of them stands for the group against the rest. Rows of one id
+    are such rows too if their texts are the same, else texts of their own; ids may be
+    null. A cut inside a multi-byte character drops the broken rest of that
     character from ``kept_text``; digest and counts are those of the raw bytes.
     Columns besides the two named are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(1).cast("long").alias("rows"))
+    repeats = has_repeats(source, "id")
+    if repeats:  # equal rows as one, under a key of its own
+        keyed = source.withColumn("key", row_key("id", "text"))
+        named = keyed.select("key", F.col("id").alias("own"))
+        source = keyed.groupBy(F.col("key").alias("id")).agg(F.first("text").alias("text"), F.count("*").alias("rows"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     keyed = source.withColumn("twin", F.md5("text"))
     copies = scratch.stage(
-        keyed.where(F.octet_length("text") >= length).groupBy("twin").agg(F.count("*").alias("n"), F.min("id").alias("one")).where("n > 1"), "copies"
+        keyed.where(F.octet_length("text") >= length).groupBy("twin").agg(F.sum("rows").alias("n"), F.min("id").alias("one")).where("n > 1"), "copies"
     )
-    texts = scratch.bucketed(keyed, "id", buckets, "texts")
+    texts = scratch.bucketed(keyed.drop("rows"), "id", buckets, "texts")
     members = texts.select("id", "twin").join(copies, "twin").select("id", (F.col("id") == F.col("one")).alias("chief"))
     members = scratch.stage(members, "members")
     distinct = texts.join(members.where("NOT chief"), "id", "left_anti").select("id", "text")
@@ -247,4 +254,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("id", "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
     )
     out = marked.mapInArrow(_merge_and_cut(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>")
+    if repeats:
+        return named.join(out.withColumnRenamed("id", "key"), "key").select(F.col("own").alias("id"), *out.columns[1:])
     return out
