@@ -10,17 +10,35 @@ from reelspark.sources.frames import in_stream
 
 #: Side tables up to this many rows are sent to every task; larger ones are joined by buckets of time.
 BROADCAST_ROWS = 100_000
+#: Widths of cells by level.
+_WIDTHS = [16**k for k in range(1, 14)]
 
 
 def _in_ranges(left: DataFrame, at: str, ranges: DataFrame, start: str, end: str, how: str, inclusive: bool) -> DataFrame:
-    """Interval join. A checked small table is broadcast; otherwise both sides meet in buckets as wide as a usual range."""
+    """Interval join. A checked small table is broadcast; otherwise both sides meet in cells of time.
+
+    A range lies in one cell or two of the level whose cells, 16 to the power of the level
+    plus 1 wide, are the first that are as wide as the range. ``left`` looks into its cell of
+    each level that has ranges, of which there are 14 at most. Ranges longer than the widest
+    cells, open ones among them, meet all frames.
+    """
     low, high = F.col(at) >= F.col(start), (F.col(at) <= F.col(end)) if inclusive else (F.col(at) < F.col(end))
     if ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(ranges), low & high, how)
-    width = max(1, int(ranges.agg(F.expr(f"percentile_approx({end} - {start}, 0.9)")).first()[0] or 1))
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    left = left.withColumn("_cell", F.floor(F.col(at) / width))
-    return left.join(cells, (left["_cell"] == cells["_cell"]) & low & high, how).drop("_cell")
+    length = F.greatest(F.col(end) - F.col(start), F.lit(0))
+    level = F.lit(len(_WIDTHS))
+    for k in reversed(range(len(_WIDTHS))):
+        level = F.when(length <= _WIDTHS[k], F.lit(k)).otherwise(level)
+    placed = ranges.withColumn("_level", level)
+    hits = None
+    for k in sorted(r[0] for r in placed.select("_level").distinct().collect()):
+        cell = lambda c: F.floor(F.col(c) / _WIDTHS[k]).cast("long") if k < len(_WIDTHS) else F.lit(0).cast("long")  # noqa: B023, E731
+        cells = placed.where(F.col("_level") == k).withColumn("_cell", F.explode(F.array_distinct(F.array(cell(start), cell(end))))).drop("_level")
+        met = left.withColumn("_at", cell(at)).join(cells, (F.col("_at") == F.col("_cell")) & low & high).drop("_at", "_cell")
+        hits = met if hits is None else hits.unionByName(met)
+    if how == "left":  # a place has a hit or not, whichever frame stands there
+        hits = hits.unionByName(left.join(hits.select(at).distinct(), at, "left_anti").select(*left.columns), allowMissingColumns=True)
+    return hits
 
 
 def dynamic_rate_control(frames: DataFrame, ranges: DataFrame) -> DataFrame:
