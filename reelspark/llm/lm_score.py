@@ -1,14 +1,15 @@
 """Log-probabilities of texts under a smoothed word n-gram model, as a walk through an automaton.
 
-States are the empty history and the words frequent enough to be a history of their
-own (``min_share`` of all tokens, which bounds their number by its inverse). A state's
-arcs are the words seen after it at least ``min_count`` times, with absolute
-discounting; every other word takes the failure arc to the empty history, at the
-state's backoff weight, and is then read there. One pass from left to right carries
-the state and adds up log-probabilities.
-
-The vocabulary grows with the corpus, so no task holds it: documents are dealt to
-blocks, and each block receives the counts of just the words that it contains.
+States are the empty history, the start, and the words frequent enough to be a history
+of their own (``min_share`` of all tokens; 0 takes all words). A state's arcs are the
+such words seen after it at least ``min_count`` times, with absolute discounting; every
+other word takes the failure arc to the empty history, at the state's backoff weight, and
+is then read there. One pass from left to right carries the state and adds up
+log-probabilities.
+
+The vocabulary and the arcs grow with the corpus, so no task and no broadcast holds them:
+documents are dealt to blocks, words and pairs are counted over the blocks, and each block
+receives just the words and arcs that it contains.
 """
 
 from __future__ import annotations
@@ -52,23 +53,22 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b, np.int32)), pa.array(words.view(np.int64)), pa.array(n)], names=["block", "h", "n"])
 
 
-def _pair_counts(histories):
-    """Counts of (history, word) for frequent words, over a batch of training rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = histories.value
-        for rows, data, offsets in chunks(batches, "text"):
-            tokens, first = _tokens(data, offsets)
-            ids = _index(known, tokens)
-            before = np.empty_like(ids)
-            before[1:] = ids[:-1]
-            before[first[:-1]] = len(known)  # the start
-            trained = np.repeat(rows.column("trained").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            use = trained & (ids >= 0) & (before >= 0)
-            pairs, n = np.unique(before[use] * (len(known) + 1) + ids[use], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
-
-    return run
+def _pair_counts(table: pa.Table) -> pa.Table:
+    """Per block, history (a word or the start) and word their count in training rows (0: only in others)."""
+    kept = []
+    for rows, data, offsets in chunks(table.to_batches(), "text"):
+        tokens, first = _tokens(data, offsets)
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[first[:-1]] = START
+        kept.append((before, tokens, np.repeat(rows.column("trained").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))))
+    a, b, trained = (np.concatenate(x) for x in zip(*kept))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    n = np.add.reduceat(trained[order].astype(np.int64), head)
+    block = np.full(len(head), table["block"][0].as_py(), np.int32)
+    return pa.table({"block": block, "a": a[head].view(np.int64), "b": b[head].view(np.int64), "n": n})
 
 
 def _index(sorted_hashes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -80,19 +80,19 @@ def _index(sorted_hashes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 class _Automaton:
-    """Arcs sorted by (state, word), and the failure weight of each state."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, starts: int, pairs: np.ndarray, n: np.ndarray, total: int, distinct: int, discount: float):
-        self.words = words
-        size = len(words) + 1
-        state, word = pairs // size, pairs % size
-        seen = np.append(counts, starts).astype(np.float64)
-        self.arcs = pairs
-        p = (n - discount) / seen[state] if len(pairs) else np.zeros(0)
-        self.weight = np.log10(p)
-        base = (counts + 0.5) / (total + 0.5 * (distinct + 1))
-        given, known = np.bincount(state, p, size), np.bincount(state, base[word] if len(pairs) else p, size)
-        self.failure = np.log10(np.maximum(1 - given, 1e-12) / np.maximum(1 - known, 1e-12))
+    """What one block needs: its words with the failure weight of each as a state (the start last), and its arcs sorted by (state, word)."""
+
+    def __init__(self, words: np.ndarray, failure: np.ndarray, start: float, a: np.ndarray, b: np.ndarray, weight: np.ndarray):
+        self.words, self.failure = words, np.append(failure, start)
+        pairs = self._pairs(self._states(a), _index(words, b))
+        order = np.argsort(pairs)
+        self.arcs, self.weight = pairs[order], weight[order]
+
+    def _states(self, tokens: np.ndarray) -> np.ndarray:
+        return np.where(tokens == START, len(self.words), _index(self.words, tokens))
+
+    def _pairs(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return state * (len(self.words) + 1) + word
 
     def walk(self, tokens: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
         """log10 probability of each token, given the one before it and the base of the empty history."""
@@ -100,22 +100,22 @@ class _Automaton:
         state = np.empty_like(ids)
         state[1:] = ids[:-1]
         state[first[:-1]] = len(self.words)
-        pair = state * (len(self.words) + 1) + ids
-        arc = _index(self.arcs, pair)
+        arc = _index(self.arcs, self._pairs(state, ids))
         taken = (arc >= 0) & (ids >= 0) & (state >= 0)
         fails = base + np.where(state >= 0, self.failure[np.maximum(state, 0)], 0.0)
         return np.where(taken, self.weight[np.maximum(arc, 0)] if len(self.weight) else 0.0, fails)
 
 
-def _scorer(model, total: int, distinct: int):
-    def run(left: Iterator[pa.RecordBatch] | pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        automaton: _Automaton = model.value
+def _scorer(start: float, total: int, distinct: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("id", kind="stable").reset_index(drop=True)
         batch = pa.RecordBatch.from_pandas(left[["id", "text"]], preserve_index=False)
-        right = right.sort_values("h")
-        hashes, counts = right["h"].to_numpy().view(np.uint64), right["c"].to_numpy()
+        is_arc = right["is_arc"].to_numpy(dtype=bool)
+        a, b, c, weight = (right[k].to_numpy() for k in ("a", "b", "c", "weight"))
+        hashes = a[~is_arc].view(np.uint64)
         order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order]
+        hashes, counts = hashes[order], c[~is_arc][order]
+        automaton = _Automaton(hashes, weight[~is_arc][order], start, a[is_arc].view(np.uint64), b[is_arc].view(np.uint64), weight[is_arc])
         out = []
         for rows, data, offsets in chunks([batch], "text"):
             tokens, first = _tokens(data, offsets)
@@ -151,18 +151,22 @@ def score_texts(
     words = scratch.stage(local.groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "words")
     totals = words.agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = int(totals.total or 0), int(totals.distinct)
-    frequent = words.where(F.col("c") >= F.lit(max(1, total * min_share)))  # no more than 1 / min_share words
-    top = sorted((np.uint64(r.h & (2**64 - 1)), r.c) for r in frequent.collect())
-    hashes = np.array([h for h, _ in top], np.uint64)
-    histories = spark.sparkContext.broadcast(hashes)
-    pairs = dealt.mapInArrow(_pair_counts(histories), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    got = pairs.toArrow()  # bounded by the square of the frequent words
-    pair, n = got.column("pair").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-    order = np.argsort(pair)
     starts = dealt.where("trained").count()
-    model = _Automaton(hashes, np.array([c for _, c in top], np.float64), starts, pair[order], n[order], total, distinct, discount)
-    known = local.select("block", "h").join(words, "h").select("block", "h", "c")
-    scored = dealt.select("id", "text", "block").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
-        _scorer(spark.sparkContext.broadcast(model), total, distinct), "id long, n_tokens long, n_known long, base_score double, score double"
+    begin = spark.range(1).select(F.lit(int(START)).cast("long").alias("h"), F.lit(starts).cast("long").alias("c"))
+    grams = scratch.stage(dealt.select("block", "text", "trained").groupBy("block").applyInArrow(_pair_counts, "block int, a long, b long, n long"), "grams")
+    counts = grams.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    frequent = words.where(F.col("c") >= F.lit(max(1, total * min_share)))
+    chance = ((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("base")
+    arcs = counts.join(frequent.select(F.col("h").alias("b"), chance), "b").join(frequent.unionByName(begin).select(F.col("h").alias("a"), "c"), "a")
+    arcs = scratch.stage(arcs.select("a", "b", ((F.col("n") - discount) / F.col("c")).alias("p"), "base"), "arcs")
+    rest = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+    failure = scratch.stage(arcs.groupBy(F.col("a").alias("h")).agg(F.log10(rest("p") / rest("base")).alias("weight")), "failure")
+    start = failure.where(F.col("h") == int(START)).first()
+    known = local.select("block", "h").join(words.join(failure, "h", "left").na.fill(0.0, ["weight"]), "h")
+    known = known.select("block", F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), "c", "weight", F.lit(False).alias("is_arc"))
+    wanted = grams.select("block", "a", "b").join(arcs.select("a", "b", F.log10("p").alias("weight")), ["a", "b"])
+    wanted = wanted.select("block", "a", "b", F.lit(0).cast("long").alias("c"), "weight", F.lit(True).alias("is_arc"))
+    scored = dealt.select("id", "text", "block").groupBy("block").cogroup(known.unionByName(wanted).groupBy("block")).applyInPandas(
+        _scorer(start.weight if start else 0.0, total, distinct), "id long, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -54,7 +54,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_score.score_texts(table(spark, sf_dir, "documents").withColumn("trained", fold(5) != 1))
+    out = lm_score.score_texts(table(spark, sf_dir, "documents").withColumn("trained", fold(5) != 1), min_share=0.0, min_count=1)
     return out.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
