@@ -49,20 +49,30 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return pairs.join(pairs.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, scratch: Scratch, label: str) -> DataFrame:
-    """Personalised PageRank ``host, score`` from ``seeds`` (``host, share``) along ``src, dst, weight``."""
-    rank = seeds.select("host", F.col("share").alias("score"))
-    for k in range(rounds):
-        moved = edges.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
-        rank = moved.unionByName(seeds.select("host", (F.col("share") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        rank = scratch.stage(rank, f"{label}{k}")
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, scratch: Scratch, label: str) -> DataFrame:
+    """Personalised PageRank ``host, score`` from ``seeds`` (``host, share``) along ``src, dst, weight``.
+
+    Rounds go on until none reaches a new host or changes a score by more than
+    ``tolerance`` of itself, so small scores far from the seeds settle too. The sums grow
+    from nothing, one more link in each round.
+    """
+    start = seeds.select("host", (F.col("share") * (1 - damping)).alias("score"))
+    rank, none = start, F.lit(0.0)
+    k = 0
+    while True:
+        moved = edges.join(rank.select(F.col("host").alias("src"), "score"), "src").select(F.col("dst").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
+        parts = moved.unionByName(start).select("host", "score", none.alias("before")).unionByName(rank.select("host", none.alias("score"), F.col("score").alias("before")))
+        new = scratch.stage(parts.groupBy("host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), f"{label}{k}")
         scratch.drop(f"{label}{k - 1}")
-    return rank
+        rank = new.select("host", "score")
+        if new.where(F.abs(F.col("score") - F.col("before")) > tolerance * F.col("score")).isEmpty():
+            return rank
+        k += 1
 
 
 def judge_urls(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] | None = None,
-    damping: float = 0.85, rounds: int = 8, max_distrust_ratio: float = 1.0,
+    damping: float = 0.85, tolerance: float = 1e-6, max_distrust_ratio: float = 1.0,
 ) -> DataFrame:
     """Returns ``id, host, path, rule, verdict, trust, distrust`` for each row.
 
@@ -90,7 +100,7 @@ def judge_urls(
         if kind == "block":
             back = edges.groupBy("dst").agg(F.sum("weight").alias("all"))
             ways = edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("all")).alias("weight"))
-        ranks[kind] = propagate(ways, seeds, damping, rounds if edges.head(1) else 1, scratch, kind)
+        ranks[kind] = propagate(ways, seeds, damping, tolerance, scratch, kind)
     scores = scores.join(ranks["allow"].withColumnRenamed("score", "trust"), "host", "left").join(ranks["block"].withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = F.col("distrust") > max_distrust_ratio * F.col("trust")
     return judged.join(scores, "host", "left").select(
