@@ -6,6 +6,7 @@ executor costs a re-read and never a recomputation from the start.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -14,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is configured (tests, laptops)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"reelspark-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The session's checkpoint folder; a temporary one is made only in local mode, where one machine does all (tests, laptops)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"reelspark-{os.getpid()}")
 
 
 class Scratch:
@@ -35,16 +37,23 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path(self.root))
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Writes ``df`` as Parquet and returns the written table, with its lineage cut."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-        """Writes ``df`` bucketed on ``key``: later joins on that key move only their other side."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str, deal: bool = True) -> DataFrame:
+        """Writes ``df`` bucketed on ``key``: later joins on that key move only their other side.
+
+        Without ``deal`` rows are written by the tasks that have them, in place of a
+        shuffle; for keys that stay within one task. There are no more buckets than the
+        session allows; a bucket then holds more.
+        """
         table = f"{self.tag}_{name}"
-        df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet").mode("overwrite").saveAsTable(table)
+        buckets = min(buckets, int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+        dealt = df.repartition(buckets, key) if deal else df
+        dealt.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").mode("overwrite").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
@@ -54,3 +63,8 @@ class Scratch:
             if f"{self.tag}_{name}" in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tag}_{name}")
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def release(self) -> None:
+        """Has Spark delete the shuffle files of finished steps now; it does so once the driver has collected its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

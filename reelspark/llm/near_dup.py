@@ -4,17 +4,21 @@ Each tree of the forest sorts the documents by the signature, read from another
 place on. Documents whose order agrees on the first ``MIN_DEPTH`` entries form a
 region; inside it a document's candidates are its neighbours in the sorted order,
 which are those with the longest common prefix, so a crowded region is searched at
-a greater depth than a sparse one. A region wider than the neighbourhood adds its
-leader, the member with most close neighbours, as a candidate for all its members.
+a greater depth than a sparse one. A crowded region is also split at a depth of its
+own, the deeper the more members it has; the leader of the region and that of each
+part, the members with most close neighbours, are candidates for all their members.
 
-Candidates whose signatures are alike are confirmed on the full shingle sets, those
-with a leader or from a sparse region first: the other pairs of crowded regions need
-no test where the first links join their ends already. Documents with the same
-shingle set are one class from the start, so copies are never paired.
+Candidates are confirmed on the full shingle sets, those with a leader or from a
+sparse region first: the other pairs of crowded regions need no test where the first
+links join their ends already. Documents with the same shingle set are one class
+from the start, so copies are never paired.
 
 Neighbours and leaders can miss the one link of a document in a crowded region. So the
-members that are outside the component most common in their region are compared, as
-a query set, with the whole region, in blocks.
+members that are outside the component most common in their region are compared, as a
+query set, with the whole region, on full sets and in blocks of bounded size; two
+documents meet in the first tree that brings them together. A block returns only links
+that join components, fewer than it has members, so what leaves it grows with the
+members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm._bytes import chunks, mix, word_hashes
+from reelspark.llm._rows import has_repeats, row_key
 from reelspark.llm._scratch import Scratch
 from reelspark.llm.components import connected
 
@@ -35,15 +40,15 @@ TREES = 16
 MIN_DEPTH = 3
 #: Neighbours on each side in each tree.
 NEIGHBOURS = 8
-#: Least share of equal signature entries at a threshold of 0.8: under it a true link has odds below one in a thousand per pair.
-ALIKE_MARGIN = 0.11
+#: How far the share of equal signature entries may lie below the threshold. In sparse regions a true link falls short with odds of some three in a million; in crowded ones (one in a thousand) the pair is met again.
+SPARSE_MARGIN, CROWDED_MARGIN = 0.18, 0.11
 _MULTIPLIERS = np.random.default_rng(20240301).integers(1, 2**63, ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = ENTRIES // TREES
 BUCKET_BYTES = 24 << 20
-#: Members of a crowded region, or of those left out in it, in one block.
-REGION_BLOCK = 4096
-#: As ``ALIKE_MARGIN`` for members left out, where a link has no second chance: odds below one in ten thousand.
-LEFT_OUT_MARGIN = 0.14
+#: Members of a crowded region, or of those left out in it, in one block, and the bytes of their sets.
+REGION_BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Members that a part of a crowded region has about, and how much another entry lessens them.
+PART_MEMBERS, PART_FACTOR = 64, 1.5
 _PAIRS = "a long, b long, alike double, later boolean"
 
 
@@ -109,8 +114,8 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _neighbours(threshold: float, alike: float):
-    """Compares each entry of a sorted run with those just before it. Entries on both sides of a cut between runs are left to the other trees."""
+def _neighbours(threshold: float):
+    """Compares each entry of a sorted run with those just before it. A sparse region lies in one run; in crowded ones pairs across two runs are left to the later steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -128,7 +133,8 @@ def _neighbours(threshold: float, alike: float):
                 at = at[(tree[at] == tree[at - back]) & (key[at] == key[at - back])]
                 at = at[np.minimum(n[at], n[at - back]) >= threshold * np.maximum(n[at], n[at - back])]
                 like = (sig[at] == sig[at - back]).mean(1)
-                at, like = at[like >= alike], like[like >= alike]
+                alike = like >= threshold - np.where(size[at] > NEIGHBOURS, CROWDED_MARGIN, SPARSE_MARGIN)
+                at, like = at[alike], like[alike]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[at - back])), pa.array(np.maximum(ids[at], ids[at - back])), pa.array(like), pa.array(size[at] > NEIGHBOURS)], names=["a", "b", "alike", "later"])
             held = [x[-NEIGHBOURS:] for x in now]
@@ -164,63 +170,111 @@ def _candidates(reps: DataFrame, threshold: float, scratch: Scratch) -> tuple[Da
 
     A hub may have any number of partners, a node has no more than its trees bound.
     """
-    alike = threshold - ALIKE_MARGIN
     trees = reps.select("id", F.posexplode("keys").alias("tree", "key"))
     regions = trees.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
     turned = F.concat(F.expr(f"substring(sig, tree * {_STEP} + 1)"), F.expr(f"substring(sig, 1, tree * {_STEP})"))
     entries = trees.join(regions, ["tree", "key"]).join(reps.select("id", "n", "sig"), "id").select("tree", "key", turned.alias("sig"), "id", "n", "size")
     entries = scratch.stage(entries, "entries")
     parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // 200_000)
-    order = ["tree", "key", "sig", "id"]
-    runs = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    near = runs.mapInArrow(_neighbours(threshold, alike), _PAIRS).groupBy("a", "b").agg(F.max("alike").alias("alike"), F.min("later").alias("later"))
+    # Ranges are cut between different values only, so a sparse region, whose rows agree on all three, stays whole.
+    ranges = ["tree", "key", F.when(F.col("size") > NEIGHBOURS, F.struct("sig", "id"))]
+    runs = entries.repartitionByRange(parts, *ranges).sortWithinPartitions("tree", "key", "sig", "id")
+    near = runs.mapInArrow(_neighbours(threshold), _PAIRS).groupBy("a", "b").agg(F.max("alike").alias("alike"), F.min("later").alias("later"))
     near = scratch.stage(near, "near")
     close = near.where(F.col("alike") >= threshold)
     degree = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    crowded = entries.where(F.col("size") > NEIGHBOURS).select("tree", "key", "id", "n", "sig", "size")
+    crowded = entries.where(F.col("size") > NEIGHBOURS)
+    deeper = F.ceil(F.log(PART_FACTOR, F.col("size") / PART_MEMBERS)).cast("int")
+    part = F.when(deeper > 0, F.expr("substring(sig, 1, deeper)"))
+    whole = crowded.withColumn("deeper", MIN_DEPTH + deeper).select("tree", "key", "id", "n", "sig", F.explode(F.array_compact(F.array(F.lit(b""), part))).alias("part"))
     best = F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("sig").alias("sig_hub")), F.struct("degree", -F.col("id"))).alias("x")
-    leaders = scratch.stage(crowded.join(degree, "id").groupBy("tree", "key").agg(best).select("tree", "key", "x.*"), "leaders")
-    stars = crowded.join(leaders, ["tree", "key"]).where((F.col("id") != F.col("hub")) & (F.least("n", "n_hub") >= threshold * F.greatest("n", "n_hub")))
-    stars = stars.select(F.col("id").alias("node"), "hub", F.col("sig").alias("sig_node"), "sig_hub").mapInArrow(_alike(alike), "node long, hub long, later boolean").distinct()
-    return scratch.stage(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "later").unionByName(stars), "pairs"), crowded
+    leaders = scratch.stage(whole.join(degree, "id").groupBy("tree", "key", "part").agg(best).select("tree", "key", "part", "x.*"), "leaders")
+    stars = whole.join(leaders, ["tree", "key", "part"]).where((F.col("id") != F.col("hub")) & (F.least("n", "n_hub") >= threshold * F.greatest("n", "n_hub")))
+    stars = stars.select(F.col("id").alias("node"), "hub", F.col("sig").alias("sig_node"), "sig_hub").mapInArrow(_alike(threshold - CROWDED_MARGIN), "node long, hub long, later boolean").distinct()
+    return scratch.stage(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "later").unionByName(stars), "pairs"), crowded.select("tree", "key", "id", "n")
 
 
-def _meet(threshold: float, alike: float):
-    """Pairs of like signatures between a block of members left out and a block of their region."""
+class _Postings:
+    """Which members of a block have a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.owners = grams[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+    def common(self, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many shingles the members ``at`` share with the set ``own``."""
+        if len(at) <= 32:
+            return np.array([len(np.intersect1d(own, self.sets[k], assume_unique=True)) for k in at])
+        low, high = np.searchsorted(self.grams, own), np.searchsorted(self.grams, own, "right")
+        n = high - low
+        places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owners[places], minlength=len(self.sets))[at]
+
+
+def _meet(threshold: float, percent: int):
+    """Links between a block of members left out and a block of their region, as many as join their components."""
 
     def run(nodes: pa.Table, hubs: pa.Table) -> pa.Table:
-        ids, ns, roots = (hubs[c].to_numpy() for c in ("id", "n", "root"))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        sigs = _fixed(hubs["sig"], ENTRIES)
-        for v, n, root, common, sig in zip(*(nodes[c].to_pylist() for c in ("id", "n", "root", "common", "sig"))):
-            at = np.flatnonzero((roots != root) & ((roots == common) | (ids > v)) & (np.minimum(n, ns) >= threshold * np.maximum(n, ns)))
-            at = at[(sigs[at] == np.frombuffer(sig, np.uint8)).sum(1, dtype=np.uint8) >= alike * ENTRIES]
-            a.append(np.minimum(ids[at], v))
-            b.append(np.maximum(ids[at], v))
-        return pa.table({"node": np.concatenate(a), "hub": np.concatenate(b)})
+        found: list[tuple[int, int]] = []
+        if nodes.num_rows and hubs.num_rows:
+            tree = nodes["tree"][0].as_py()
+            nodes, hubs = nodes.sort_by("id"), hubs.sort_by("id")
+            sets_of = lambda t: [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
+            keys_of = lambda t: t["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)[:, :tree]
+            ids, ns, roots = (hubs[c].to_numpy() for c in ("id", "n", "root"))
+            keys, postings = keys_of(hubs), _Postings(sets_of(hubs))
+            above: dict[int, int] = {}
+
+            def top(root: int) -> int:
+                while root in above:
+                    root = above[root]
+                return root
+
+            for v, n, root, common, own, grams in zip(*(nodes[c].to_pylist() for c in ("id", "n", "root", "common")), keys_of(nodes), sets_of(nodes)):
+                met = (keys == own).any(1)  # in an earlier tree
+                at = np.flatnonzero(~met & (roots != root) & ((roots == common) | (ids > v)) & (np.minimum(n, ns) >= threshold * np.maximum(n, ns)))
+                if not len(at):
+                    continue
+                both = postings.common(grams, at)
+                for k in at[100 * both >= percent * (n + ns[at] - both)]:
+                    x, y = top(root), top(int(roots[k]))
+                    if x != y:
+                        above[x] = y
+                        found.append((v, int(ids[k])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
 
-def _left_out(crowded: DataFrame, roots: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Pairs ``node, hub`` (the lesser first) of different components in a crowded region, one of the two outside the region's most common component.
+def _left_out(crowded: DataFrame, roots: DataFrame, classes: DataFrame, sets_for, threshold: float, percent: int, scratch: Scratch) -> DataFrame:
+    """Links ``a, b`` between different components in a crowded region, one end outside the region's most common component.
 
-    The region and its members left out are both cut into blocks of ``REGION_BLOCK``, and
-    each two blocks meet in a task of their own; only pairs of like signatures leave it.
+    The region and its members left out are both cut into blocks of bounded size, and
+    each two blocks meet in a task of their own.
     """
     members = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     members = scratch.stage(members, "members")
-    common = members.groupBy("tree", "key", "root").agg(F.count("*").alias("c")).groupBy("tree", "key")
-    common = common.agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("common"), (F.sum("c") - F.max("c")).alias("left")).where("`left` > 0")
-    members = members.join(scratch.stage(common, "common"), ["tree", "key"])
-    numbers = lambda c: F.ceil(F.col(c) / REGION_BLOCK).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), numbers(c) - 1))
-    own = lambda c: F.pmod(F.xxhash64("id"), numbers(c)).cast("int")
-    hubs = members.select("tree", "key", every("left").alias("x"), own("size").alias("y"), "id", "n", "root", "sig")
+    common = members.groupBy("tree", "key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w")).groupBy("tree", "key")
+    order = F.struct("c", -F.col("root"))
+    common = common.agg(
+        F.max_by("root", order).alias("common"), F.sum("c").alias("size"), F.sum("w").alias("weight"), (F.sum("c") - F.max("c")).alias("left"), (F.sum("w") - F.max_by("w", order)).alias("left_weight")
+    ).where("`left` > 0")
+    blocks = lambda c, w: F.ceil(F.greatest(F.col(c) / REGION_BLOCK, F.col(w) * 8 / BLOCK_BYTES)).cast("int")
+    members = members.join(scratch.stage(common.select("tree", "key", "common", blocks("left", "left_weight").alias("xs"), blocks("size", "weight").alias("ys")), "common"), ["tree", "key"])
+    members = scratch.stage(members, "crowd")
+    if members.isEmpty():
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sets = sets_for(members.select("id").distinct()).join(classes.select(F.col("rep").alias("id"), "keys"), "id")
+    members = members.join(scratch.stage(sets, "crowd_sets"), "id")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    hubs = members.select("tree", "key", every("xs").alias("x"), own("ys").alias("y"), "id", "n", "root", "keys", "grams")
     new = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  tells the two sides' columns apart
-    nodes = members.where("root <> common").select(*new("tree", "key"), own("left").alias("x"), every("size").alias("y"), *new("id", "n", "root", "common", "sig"))
+    nodes = members.where("root <> common").select(*new("tree", "key"), own("xs").alias("x"), every("ys").alias("y"), *new("id", "n", "root", "common", "keys", "grams"))
     by = ["tree", "key", "x", "y"]
-    return nodes.groupBy(*by).cogroup(hubs.groupBy(*by)).applyInArrow(_meet(threshold, threshold - LEFT_OUT_MARGIN), "node long, hub long").distinct()
+    return scratch.stage(nodes.groupBy(*by).cogroup(hubs.groupBy(*by)).applyInArrow(_meet(threshold, percent), "a long, b long"), "third")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -237,30 +291,50 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Returns ``id, n_shingles, component_id, kept, n_links`` per row.
+    """Returns ``id, n_shingles, component_id, kept`` per row.
 
     Words have A-Z lower-cased; a text of fewer than ``size`` words is one shingle.
     Texts without words, null ones among them, are linked with nothing. Two documents
-    are linked where ``100 * |A and B| >= percent * |A or B|`` on their full sets; a
-    component is named by its least id, which is kept. ``n_links`` counts the
-    confirmed links of a document's class, those that its component didn't need left
-    out. ``id_col`` must be unique. Other columns are ignored.
+    are linked where ``100 * |A and B| >= percent * |A or B|`` on their full sets,
+    whatever the texts' length; a component is named by its least id, whose row is
+    kept. Ids may be null or repeated: each row is a document then, null comes after
+    all ids, and of the component's rows with the least id one is kept. An empty table
+    gives none. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    if not has_repeats(rows, "id"):
+        return _judge(rows, size, percent)
+    keyed = rows.withColumn("key", row_key("id", "text"))
+    once = keyed.groupBy("key").agg(F.first("id").alias("own"), F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
+    once = Scratch(docs.sparkSession, "neardup_rows").stage(once, "once")
+    judged = _judge(once.select(F.col("key").alias("id"), "text"), size, percent).withColumnRenamed("id", "key")
+    judged = once.select("key", "own", "copies").join(judged, "key")
+    chiefs = judged.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "key")).alias("chief"))
+    named = judged.join(chiefs, "component_id").select("own", "key", "n_shingles", "chief", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    # Nothing links texts without words, so each of them is its own component.
+    alone = F.col("n_shingles") == 0
+    return named.select(
+        F.col("own").alias("id"), "n_shingles", F.when(alone, F.col("own")).otherwise(F.col("chief.own")).alias("component_id"),
+        (alone | (F.col("key") == F.col("chief.key")) & (F.col("copy") == 1)).alias("kept"),
+    )
+
+
+def _judge(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    spark = rows.sparkSession
     scratch = Scratch(spark, "neardup")
     threshold = percent / 100
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    bytes_in = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bytes_in = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_in // BUCKET_BYTES))
-    texts = scratch.bucketed(texts, "id", buckets, "texts")
+    texts = scratch.bucketed(rows, "id", buckets, "texts")
     signs = scratch.stage(texts.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, sig binary, keys array<long>"), "signs")
     first = lambda c: F.min_by(c, "id").alias(c)
     classes = scratch.stage(signs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), first("sig"), first("keys")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "n", "sig", "keys")
     pairs, crowded = _candidates(reps, threshold, scratch)
 
+    sets_for = lambda ids: texts.join(ids, "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary")
     wanted = pairs.select(F.col("node").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
-    sets = scratch.stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary"), "sets")
+    sets = scratch.stage(sets_for(wanted), "sets")
     links = scratch.stage(_confirmed(pairs.where("NOT later").select("node", "hub"), sets, percent), "first")
     labels = scratch.stage(_labels(links), "labels")
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
@@ -268,22 +342,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = open_.join(of("node"), "node", "left").join(of("hub"), "hub", "left").where(F.coalesce("label_node", "node") != F.coalesce("label_hub", "hub"))
     apart = scratch.stage(apart.select("node", "hub", "linked"), "apart")
     more = scratch.stage(_confirmed(apart.where("NOT linked").select("node", "hub"), sets, percent), "second")
-    links = links.unionByName(more)
+    scratch.drop("sets")
     # What the labels join already needs no link of its own.
     bonds = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(apart.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))).unionByName(more)
     roots = connected(bonds, scratch)
-    tested = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
-    late = scratch.stage(_left_out(crowded, roots, threshold, scratch).join(tested, ["node", "hub"], "left_anti"), "late")
+    late = _left_out(crowded, roots, classes, sets_for, threshold, percent, scratch)
     if not late.isEmpty():
-        wanted = late.select(F.col("node").alias("id")).unionByName(late.select(F.col("hub").alias("id"))).distinct()
-        sets = scratch.stage(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, grams binary"), "late_sets")
-        found = scratch.stage(_confirmed(late, sets, percent), "third")
-        links = links.unionByName(found)
-        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), scratch, "late_cc")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.drop("sig", "keys").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = scratch.stage(named.select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "named")
-    scratch.drop("sets", "texts")
+        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late), scratch, "late_cc")
+    named = classes.drop("sig", "keys").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = scratch.stage(named.select("d1", "d2", "n", F.coalesce("root", "rep").alias("root")), "named")
+    scratch.drop("crowd_sets", "texts")
     out = signs.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     root = F.coalesce("root", "id")
-    return out.select("id", F.col("n").alias("n_shingles"), root.alias("component_id"), (root == F.col("id")).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("id", F.col("n").alias("n_shingles"), root.alias("component_id"), (root == F.col("id")).alias("kept"))
