@@ -1,15 +1,17 @@
 """Log-probabilities of texts under a smoothed word n-gram model, as a walk through an automaton.
 
-States are the empty history, the start, and the words frequent enough to be a history
-of their own (``min_share`` of all tokens; 0 takes all words). A state's arcs are the
-such words seen after it at least ``min_count`` times, with absolute discounting; every
-other word takes the failure arc to the empty history, at the state's backoff weight, and
-is then read there. One pass from left to right carries the state and adds up
-log-probabilities.
-
-The vocabulary and the arcs grow with the corpus, so no task and no broadcast holds them:
-documents are dealt to blocks, words and pairs are counted over the blocks, and each block
-receives just the words and arcs that it contains.
+States are the empty history, the start, and every word that training has. A state's arcs
+are all the words seen after it in training. The model is smoothed by backing off: a
+state with ``c`` occurrences gives ``m = 2 * c ** 0.9`` of its ``c + m`` parts to the
+failure arc, which leads to the empty history, where the word is then read. An arc
+carries ``log((n + m * base) / (c + m))`` (n: the pair's count) and the failure arc
+``log(m / (c + m))``, so a state's probabilities sum to one. One pass from left to
+right carries the state and adds up log-probabilities.
+
+The vocabulary and the arcs grow with the corpus, so no task, no broadcast and no
+driver holds them. Documents are labelled with blocks where they lie. A block counts
+its words and pairs, the counts meet at each word or pair, and a block receives
+totals for those that another block has too; all others it knows itself.
 """
 
 from __future__ import annotations
@@ -17,156 +19,146 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm._bytes import chunks, word_hashes
+from reelspark.llm._bytes import chunks, mix, word_hashes
 from reelspark.llm._scratch import Scratch
 
 BLOCK_BYTES = 12 << 20
+#: The failure arc's part of a state with ``c`` occurrences is ``FAILURE_SCALE * c ** FAILURE_POWER``.
+FAILURE_SCALE, FAILURE_POWER = 2.0, 0.9
 # Hashes that stand for a text's start and end; no word has them but by chance.
-START, END = np.uint64(0x5157A27), np.uint64(0xE4DE4D)
+START, END = np.uint64(0x5157A26), np.uint64(0xE4DE4C)
+_ONE = np.uint64(1)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with an end after every row, and the row's first token (n + 1 entries)."""
+    """Word hashes (even) with an end after every row, and the row's first token (n + 1 entries)."""
     words, first = word_hashes(data, offsets)
     n = len(offsets) - 1
     out = np.full(len(words) + n, END, np.uint64)
-    out[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))] = words
+    out[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))] = words & ~_ONE
     return out, first + np.arange(n + 1)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block and word its tokens in training rows (0: only in others)."""
-    for rows, data, offsets in chunks(batches, "text"):
-        tokens, first = _tokens(data, offsets)
-        block = rows.column("block").to_numpy(zero_copy_only=False)
-        trained = np.repeat(rows.column("trained").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        of = np.repeat(block, np.diff(first))
-        for b in np.unique(block):
-            mine = of == b
-            words, back = np.unique(tokens[mine], return_inverse=True)
-            n = np.bincount(back, trained[mine], len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b, np.int32)), pa.array(words.view(np.int64)), pa.array(n)], names=["block", "h", "n"])
-
-
-def _pair_counts(table: pa.Table) -> pa.Table:
-    """Per block, history (a word or the start) and word their count in training rows (0: only in others)."""
-    kept = []
-    for rows, data, offsets in chunks(table.to_batches(), "text"):
-        tokens, first = _tokens(data, offsets)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[first[:-1]] = START
-        kept.append((before, tokens, np.repeat(rows.column("trained").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))))
-    a, b, trained = (np.concatenate(x) for x in zip(*kept))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    n = np.add.reduceat(trained[order].astype(np.int64), head)
-    block = np.full(len(head), table["block"][0].as_py(), np.int32)
-    return pa.table({"block": block, "a": a[head].view(np.int64), "b": b[head].view(np.int64), "n": n})
-
-
-def _index(sorted_hashes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Places of tokens in ``sorted_hashes``; -1 where absent."""
-    if not len(sorted_hashes):
-        return np.full(len(tokens), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_hashes, tokens), len(sorted_hashes) - 1)
-    return np.where(sorted_hashes[at] == tokens, at, -1)
-
-
-class _Automaton:
-    """What one block needs: its words with the failure weight of each as a state (the start last), and its arcs sorted by (state, word)."""
-
-    def __init__(self, words: np.ndarray, failure: np.ndarray, start: float, a: np.ndarray, b: np.ndarray, weight: np.ndarray):
-        self.words, self.failure = words, np.append(failure, start)
-        pairs = self._pairs(self._states(a), _index(words, b))
-        order = np.argsort(pairs)
-        self.arcs, self.weight = pairs[order], weight[order]
-
-    def _states(self, tokens: np.ndarray) -> np.ndarray:
-        return np.where(tokens == START, len(self.words), _index(self.words, tokens))
-
-    def _pairs(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return state * (len(self.words) + 1) + word
-
-    def walk(self, tokens: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, given the one before it and the base of the empty history."""
-        ids = _index(self.words, tokens)
-        state = np.empty_like(ids)
-        state[1:] = ids[:-1]
-        state[first[:-1]] = len(self.words)
-        arc = _index(self.arcs, self._pairs(state, ids))
-        taken = (arc >= 0) & (ids >= 0) & (state >= 0)
-        fails = base + np.where(state >= 0, self.failure[np.maximum(state, 0)], 0.0)
-        return np.where(taken, self.weight[np.maximum(arc, 0)] if len(self.weight) else 0.0, fails)
-
-
-def _scorer(start: float, total: int, distinct: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("id", kind="stable").reset_index(drop=True)
-        batch = pa.RecordBatch.from_pandas(left[["id", "text"]], preserve_index=False)
-        is_arc = right["is_arc"].to_numpy(dtype=bool)
-        a, b, c, weight = (right[k].to_numpy() for k in ("a", "b", "c", "weight"))
-        hashes = a[~is_arc].view(np.uint64)
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], c[~is_arc][order]
-        automaton = _Automaton(hashes, weight[~is_arc][order], start, a[is_arc].view(np.uint64), b[is_arc].view(np.uint64), weight[is_arc])
-        out = []
-        for rows, data, offsets in chunks([batch], "text"):
-            tokens, first = _tokens(data, offsets)
-            at = _index(hashes, tokens)
-            c = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(tokens))
-            base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-            score = automaton.walk(tokens, first, base)
-            add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every row has an end, so none is empty
-            out.append(pd.DataFrame({"id": rows.column("id").to_numpy(), "n_tokens": np.diff(first), "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(score)}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
+def _pairs(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes (odd) of every token with the state before it."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[first[:-1]] = START
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(tokens)) | _ONE
+
+
+def _labelled(most: int):
+    """Rows with the block that they fall in: runs of about ``most`` bytes of a partition's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for rows, data, _ in chunks([batch], "text"):
+                if held and held + len(data) > most:
+                    block, held = block + 1, 0
+                held += len(data)
+                yield rows.append_column("block", pa.array(np.full(rows.num_rows, block, np.int64)))
 
     return run
 
 
-def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trained_col: str = "trained", min_share: float = 2e-4, min_count: int = 2, discount: float = 0.5
-) -> DataFrame:
+class _Block:
+    """The words and pairs of one block, each once, with their counts in its training rows."""
+
+    def __init__(self, table: pa.Table):
+        tokens, pairs, sizes = [], [], []
+        for _, data, offsets in chunks(table.to_batches(), "text"):
+            t, first = _tokens(data, offsets)
+            tokens.append(t)
+            pairs.append(_pairs(t, first))
+            sizes.append(np.diff(first))
+        self.sizes = np.concatenate(sizes)
+        trained = np.repeat(table["trained"].to_numpy().astype(bool), self.sizes)
+        counted = [self._counted(np.concatenate(x), trained) for x in (tokens, pairs)]
+        (self.words, self.word_of, self.word_counts), (self.pairs, self.pair_of, self.pair_counts) = counted
+
+    @staticmethod
+    def _counted(hashes: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        once, back = np.unique(hashes, return_inverse=True)
+        return once, back, np.bincount(back, trained, len(once)).astype(np.int64)
+
+    def correct(self, grams: np.ndarray, totals: np.ndarray) -> None:
+        """Sets the counts of the given words and pairs to those of the whole corpus."""
+        odd = (grams & _ONE).astype(bool)
+        for hashes, counts, mine in ((self.words, self.word_counts, ~odd), (self.pairs, self.pair_counts, odd)):
+            if len(hashes) and mine.any():
+                at = np.minimum(np.searchsorted(hashes, grams[mine]), len(hashes) - 1)
+                there = hashes[at] == grams[mine]
+                counts[at[there]] = totals[mine][there]
+
+
+def _gram_counts(table: pa.Table) -> pa.Table:
+    """Per block its words and pairs in ascending order, with their counts in training rows (0: only in others)."""
+    block = _Block(table)
+    grams, counts = np.concatenate([block.words, block.pairs]), np.concatenate([block.word_counts, block.pair_counts])
+    order = np.argsort(grams)
+    return pa.table({"block": np.full(len(grams), table["block"][0].as_py(), np.int64), "g": grams[order].view(np.int64), "n": counts[order]})
+
+
+def _walk(block: _Block, base: np.ndarray) -> np.ndarray:
+    """log10 probability of each token in the state that the token before it leaves, given those of the empty history."""
+    ends = np.cumsum(block.sizes)
+    counts = block.word_counts[block.word_of]
+    state = np.empty_like(counts)
+    state[1:] = counts[:-1]
+    # Every training row has one end, so the start has occurred as often as that.
+    state[ends - block.sizes] = block.word_counts[np.searchsorted(block.words, END)]
+    share = FAILURE_SCALE * np.maximum(state, 1) ** FAILURE_POWER
+    seen = block.pair_counts[block.pair_of]
+    fail = np.log10(share / (state + share))
+    arc = np.log10((seen + share * 10**base) / (state + share))
+    return np.where(seen > 0, arc, base + fail)
+
+
+def _scorer(total: int, distinct: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _Block(left)
+        block.correct(right["g"].to_numpy().view(np.uint64), right["total"].to_numpy())
+        c = block.word_counts[block.word_of]
+        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+        first = np.cumsum(block.sizes) - block.sizes
+        add = lambda x: np.add.reduceat(x, first)  # noqa: E731  every row has an end, so none is empty
+        return pa.table({"id": left["id"], "n_tokens": block.sizes, "n_known": add((c > 0).astype(np.int64)), "base_score": add(base), "score": add(_walk(block, base))})
+
+    return run
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trained_col: str = "trained") -> DataFrame:
     """Learns from the rows where ``trained_col`` is true and scores all rows.
 
     Returns ``id, n_tokens, n_known, train_tokens, base_score, score`` (log10). Words
     have A-Z lower-cased; a text ends with one end token. Null and empty texts are
-    the end alone. Without training rows all words are unknown. ``id_col`` must be
-    unique. Words are told apart by 64-bit hashes.
+    the end alone; long texts are read whole, one that exceeds a block as a block of its
+    own. Every row counts, also where ids are null or repeated, and has its own score.
+    Without training rows all words are unknown; an empty table gives none. Words and
+    pairs are told apart by 63-bit hashes. Other columns are ignored.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.col(trained_col), F.lit(False)).alias("trained"))
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.col(trained_col), F.lit(False)).alias("trained"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = scratch.bucketed(dealt, "block", blocks, "dealt")
-    local = scratch.stage(dealt.mapInArrow(_word_counts, "block int, h long, n long").groupBy("block", "h").agg(F.sum("n").alias("n")), "local")
-    words = scratch.stage(local.groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "words")
-    totals = words.agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = int(totals.total or 0), int(totals.distinct)
-    starts = dealt.where("trained").count()
-    begin = spark.range(1).select(F.lit(int(START)).cast("long").alias("h"), F.lit(starts).cast("long").alias("c"))
-    grams = scratch.stage(dealt.select("block", "text", "trained").groupBy("block").applyInArrow(_pair_counts, "block int, a long, b long, n long"), "grams")
-    counts = grams.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    frequent = words.where(F.col("c") >= F.lit(max(1, total * min_share)))
-    chance = ((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("base")
-    arcs = counts.join(frequent.select(F.col("h").alias("b"), chance), "b").join(frequent.unionByName(begin).select(F.col("h").alias("a"), "c"), "a")
-    arcs = scratch.stage(arcs.select("a", "b", ((F.col("n") - discount) / F.col("c")).alias("p"), "base"), "arcs")
-    rest = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
-    failure = scratch.stage(arcs.groupBy(F.col("a").alias("h")).agg(F.log10(rest("p") / rest("base")).alias("weight")), "failure")
-    start = failure.where(F.col("h") == int(START)).first()
-    known = local.select("block", "h").join(words.join(failure, "h", "left").na.fill(0.0, ["weight"]), "h")
-    known = known.select("block", F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), "c", "weight", F.lit(False).alias("is_arc"))
-    wanted = grams.select("block", "a", "b").join(arcs.select("a", "b", F.log10("p").alias("weight")), ["a", "b"])
-    wanted = wanted.select("block", "a", "b", F.lit(0).cast("long").alias("c"), "weight", F.lit(True).alias("is_arc"))
-    scored = dealt.select("id", "text", "block").groupBy("block").cogroup(known.unionByName(wanted).groupBy("block")).applyInPandas(
-        _scorer(start.weight if start else 0.0, total, distinct), "id long, n_tokens long, n_known long, base_score double, score double"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * size // BLOCK_BYTES))
+    labelled = rows.mapInArrow(_labelled(BLOCK_BYTES), "id long, text string, trained boolean, block long")
+    dealt = scratch.bucketed(labelled, "block", buckets, "dealt", deal=False)
+    grams = dealt.select("block", "text", "trained").groupBy("block").applyInArrow(_gram_counts, "block long, g long, n long")
+    # A word or pair has a row per block at most, so a frequent one's window stays as small as the number of blocks.
+    same = Window.partitionBy("g")
+    met = grams.select("block", "g", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("k"), (F.min("block").over(same) == F.col("block")).alias("lead"))
+    met = scratch.stage(met.where("k > 1 OR g % 2 = 0").drop("k"), "met", compression="zstd")
+    scratch.release()
+    words = met.where("lead AND total > 0 AND g % 2 = 0").agg(F.sum("total").alias("total"), F.count("*").alias("distinct")).first()
+    total, distinct = int(words.total or 0), int(words.distinct)
+    scored = dealt.groupBy("block").cogroup(met.select("block", "g", "total").groupBy("block")).applyInArrow(
+        _scorer(total, distinct), "id long, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -122,22 +122,14 @@ def test_lm(spark, small):
     counts = Counter(w for k, ws in enumerate(tokens) if k % 5 != 1 for w in ws)
     total, distinct = sum(counts.values()), len(counts)
     base = lambda w: (counts[w] + 0.5) / (total + 0.5 * (distinct + 1))
-    share, least, discount = 2e-4, 2, 0.5
-    states = {w for w, c in counts.items() if c >= total * share}
-    pairs = Counter((a, b) for k, ws in enumerate(tokens) if k % 5 != 1 for a, b in zip(["<start>", *ws], ws) if (a in states or a == "<start>") and b in states)
-    pairs = {p: c for p, c in pairs.items() if c >= least}
+    pairs = Counter((a, b) for k, ws in enumerate(tokens) if k % 5 != 1 for a, b in zip(["<start>", *ws], ws))
     after = Counter({**counts, "<start>": sum(k % 5 != 1 for k in range(len(texts)))})
-    arcs = {p: (c - discount) / after[p[0]] for p, c in pairs.items()}
-    given, known = Counter(), Counter()
-    for (a, b), p in arcs.items():
-        given[a] += p
-        known[a] += base(b)
     got = {r.id: r for r in lm_score.score_texts(docs).collect()}
     for k, ws in enumerate(tokens):
         score = 0.0
         for a, b in zip(["<start>", *ws], ws):
-            fail = (1 - given[a]) / (1 - known[a]) if a in states or a == "<start>" else 1
-            score += math.log10(arcs.get((a, b)) or base(b) * fail)
+            share = 2 * max(after[a], 1) ** 0.9
+            score += math.log10((pairs[a, b] + share * base(b)) / (after[a] + share))
         r = got[k]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), total)
         assert r.base_score == pytest.approx(sum(math.log10(base(w)) for w in ws))

@@ -23,12 +23,24 @@ def test_all_pairs_are_learnt(spark, tmp_path):
     pairs = Counter(p for ws in learnt for p in zip(["<start>", *ws], ws))
     total, distinct = sum(counts.values()), len(counts)
     base = lambda w: (counts[w] + 0.5) / (total + 0.5 * (distinct + 1))
-    given, known = Counter(), Counter()
-    for (a, b), n in pairs.items():
-        given[a] += (n - 0.5) / after[a]
-        known[a] += base(b)
-    price = lambda a, b: (pairs[a, b] - 0.5) / after[a] if pairs[a, b] else base(b) * max(1 - given[a], 1e-12) / max(1 - known[a], 1e-12)
+    share = lambda a: 2 * max(after[a], 1) ** 0.9
+    price = lambda a, b: (pairs[a, b] + share(a) * base(b)) / (after[a] + share(a))
+    assert sum(price("the", w) for w in counts) + price("the", "unseen") * 1 == pytest.approx(1)  # the empty history keeps a part for one unseen word
     got = {r.doc_id: r for r in QUERIES["op6_lm_score"](spark, str(tmp_path)).collect()}
     assert len(got) == len(texts) and {k for k in got if got[k].held_out} == {k for k, h in enumerate(held) if h}
     for k, ws in enumerate(tokens):
         assert got[k].score == pytest.approx(sum(math.log10(price(a, b)) for a, b in zip(["<start>", *ws], ws)))
+
+
+def test_blocks_exchange_counts(spark, monkeypatch):
+    """The same scores whatever the blocks, with rows whose ids are null or repeated."""
+    from reelspark.llm import lm_score
+
+    texts = [f"a b c{k % 5} d{k} a b" for k in range(300)] + [None, "", "a b"]
+    docs = spark.createDataFrame([(None if k == 7 else k % 290, t, k % 4 > 0) for k, t in enumerate(texts)], "doc_id long, text string, trained boolean").repartition(3)
+    score = lambda: sorted((r.id if r.id is not None else -1, r.n_tokens, r.n_known, round(r.score, 9)) for r in lm_score.score_texts(docs).collect())
+    whole = score()
+    assert len(whole) == len(texts)
+    for size in (1, 500):
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", size)
+        assert score() == whole
