@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,8 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
     def release(self) -> None:
-        """Has Spark delete the shuffle files of finished steps now; it does so once the driver has collected its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Has Spark delete the shuffle files of finished steps now: it does so once the driver has collected its garbage, what Python held in a second pass."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)

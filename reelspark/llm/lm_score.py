@@ -97,12 +97,21 @@ class _Block:
                 counts[at[there]] = totals[mine][there]
 
 
-def _gram_counts(table: pa.Table) -> pa.Table:
-    """Per block its words and pairs in ascending order, with their counts in training rows (0: only in others)."""
-    block = _Block(table)
-    grams, counts = np.concatenate([block.words, block.pairs]), np.concatenate([block.word_counts, block.pair_counts])
-    order = np.argsort(grams)
-    return pa.table({"block": np.full(len(grams), table["block"][0].as_py(), np.int64), "g": grams[order].view(np.int64), "n": counts[order]})
+def _gram_counts(bits: int):
+    """Per block its words and pairs with their counts in training rows (0: only in others), one row for all that agree on their first ``bits`` bits: the bucket where blocks compare them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = _Block(table)
+        grams, counts = np.concatenate([block.words, block.pairs]), np.concatenate([block.word_counts, block.pair_counts])
+        order = np.argsort(grams)
+        grams, counts = grams[order], counts[order]
+        bucket = (grams >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        lists = pa.array(np.append(first, len(grams)).astype(np.int32))
+        of = lambda x: pa.ListArray.from_arrays(lists, pa.array(x))
+        return pa.table({"block": np.full(len(first), table["block"][0].as_py(), np.int64), "bucket": bucket[first], "g": of(grams.view(np.int64)), "n": of(counts)})
+
+    return run
 
 
 def _walk(block: _Block, base: np.ndarray) -> np.ndarray:
@@ -150,9 +159,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * size // BLOCK_BYTES))
     labelled = rows.mapInArrow(_labelled(BLOCK_BYTES), "id long, text string, trained boolean, block long")
     dealt = scratch.bucketed(labelled, "block", buckets, "dealt", deal=False)
-    grams = dealt.select("block", "text", "trained").groupBy("block").applyInArrow(_gram_counts, "block long, g long, n long")
+    bits = max(1, (4 * buckets - 1).bit_length())
+    grams = dealt.select("block", "text", "trained").groupBy("block").applyInArrow(_gram_counts(bits), "block long, bucket long, g array<long>, n array<long>")
     # A word or pair has a row per block at most, so a frequent one's window stays as small as the number of blocks.
-    same = Window.partitionBy("g")
+    same = Window.partitionBy("bucket", "g")
+    grams = grams.repartition("bucket").select("block", "bucket", F.inline(F.arrays_zip("g", "n")))
     met = grams.select("block", "g", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("k"), (F.min("block").over(same) == F.col("block")).alias("lead"))
     met = scratch.stage(met.where("k > 1 OR g % 2 = 0").drop("k"), "met", compression="zstd")
     scratch.release()
