@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from reelspark.llm._bytes import chunks, mix, word_hashes
 from reelspark.llm._scratch import Scratch
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: The failure arc's part of a state with ``c`` occurrences is ``FAILURE_SCALE * c ** FAILURE_POWER``.
 FAILURE_SCALE, FAILURE_POWER = 2.0, 0.9
 # Hashes that stand for a text's start and end; no word has them but by chance.
@@ -71,21 +71,23 @@ class _Block:
     """The words and pairs of one block, each once, with their counts in its training rows."""
 
     def __init__(self, table: pa.Table):
-        tokens, pairs, sizes = [], [], []
+        tokens, sizes = [], []
         for _, data, offsets in chunks(table.to_batches(), "text"):
             t, first = _tokens(data, offsets)
             tokens.append(t)
-            pairs.append(_pairs(t, first))
             sizes.append(np.diff(first))
         self.sizes = np.concatenate(sizes)
         trained = np.repeat(table["trained"].to_numpy().astype(bool), self.sizes)
-        counted = [self._counted(np.concatenate(x), trained) for x in (tokens, pairs)]
-        (self.words, self.word_of, self.word_counts), (self.pairs, self.pair_of, self.pair_counts) = counted
+        hashes = np.concatenate(tokens)
+        del tokens
+        self.words, self.word_of, self.word_counts = self._counted(hashes, trained)
+        hashes = _pairs(hashes, np.append(0, np.cumsum(self.sizes)))
+        self.pairs, self.pair_of, self.pair_counts = self._counted(hashes, trained)
 
     @staticmethod
     def _counted(hashes: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         once, back = np.unique(hashes, return_inverse=True)
-        return once, back, np.bincount(back, trained, len(once)).astype(np.int64)
+        return once, back.astype(np.int32), np.bincount(back, trained, len(once)).astype(np.int64)
 
     def correct(self, grams: np.ndarray, totals: np.ndarray) -> None:
         """Sets the counts of the given words and pairs to those of the whole corpus."""
@@ -156,7 +158,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * size // BLOCK_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // BLOCK_BYTES))
     labelled = rows.mapInArrow(_labelled(BLOCK_BYTES), "id long, text string, trained boolean, block long")
     dealt = scratch.bucketed(labelled, "block", buckets, "dealt", deal=False)
     bits = max(1, (4 * buckets - 1).bit_length())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from reelspark.llm.licenses import RULES as LICENSE_RULES
-from reelspark.llm.licenses import SENTENCES
+from reelspark.llm.licenses import SENTENCES, pattern_of
 
 
 def _values(rows) -> str:
@@ -57,16 +57,30 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN u USING (doc_id)
 """
 
 OP8 = r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?;]+[\x20\x09-\x0D]+|\n|[.!?;]+$'),
-  lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
+WITH RECURSIVE p AS (SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)(?:licensed|released|distributed|available)[\x20\x09-\x0D]+under|spdx-license-identifier') AS speaks,
+  regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09\x0B-\x0D]*\n') AS p FROM documents),
+q AS (SELECT doc_id, generate_subscripts(p, 1) AS j, unnest(p) AS p FROM p),
+c AS (SELECT doc_id, j, 1 AS side, regexp_split_to_array(p, '[.!?;]+[\x20\x09-\x0D]+|[.!?;]+$') AS s FROM q
+  UNION ALL SELECT doc_id, j, 2 AS side, regexp_split_to_array(p, '[.!?;]+[\x20\x09-\x0D]+|\n|[.!?;]+$') AS s FROM q WHERE contains(p, chr(10))),
+u AS (SELECT doc_id, j, side, generate_subscripts(s, 1) AS i,
+  trim(regexp_replace(translate(unnest(s), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM c),
+s AS (SELECT doc_id, j, sentence, min((side, i)) AS pos FROM u WHERE sentence <> '' GROUP BY doc_id, j, sentence),
 k(sentence, sid) AS (VALUES {known}),
-e AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM s),
-f AS (SELECT doc_id, string_agg(sid, ' ' ORDER BY i) AS ids FROM e JOIN k USING (sentence) GROUP BY doc_id),
-r(name, pattern) AS (VALUES {rules}),
-m AS (SELECT doc_id, name FROM f, r WHERE regexp_matches(' ' || ids || ' ', pattern)),
-j AS (SELECT doc_id, count(*) AS n_rules, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM m GROUP BY doc_id)
-SELECT doc_id, coalesce(ids, '') AS sentence_ids, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(licenses, '') AS licenses, coalesce(n_rules, 0) AS n_rules
-FROM s LEFT JOIN f USING (doc_id) LEFT JOIN j USING (doc_id)
-""".format(known=_values(SENTENCES.items()), rules=_values((name, " " + " (?:.* )?".join(pattern) + " ") for name, pattern in LICENSE_RULES))
+f AS (SELECT doc_id, list(sid ORDER BY j, pos) AS ids FROM s JOIN k USING (sentence) GROUP BY doc_id),
+r(n, name, pattern, taken) AS (VALUES {rules}),
+g AS (SELECT doc_id, sid, min((j, pos)) AS pos FROM s JOIN k USING (sentence) GROUP BY doc_id, sid),
+t(doc_id, n, rest, names) AS (
+  SELECT doc_id, 0, list(sid ORDER BY pos), CAST([] AS VARCHAR[]) FROM g GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, r.n, CASE WHEN regexp_matches(' ' || array_to_string(rest, ' ') || ' ', pattern) THEN list_filter(rest, lambda x: NOT list_contains(string_split(taken, ' '), x)) ELSE rest END,
+    CASE WHEN regexp_matches(' ' || array_to_string(rest, ' ') || ' ', pattern) THEN list_append(names, name) ELSE names END
+  FROM t JOIN r ON r.n = t.n + 1),
+e AS (SELECT doc_id, names FROM t WHERE n = (SELECT max(n) FROM r)),
+l AS (SELECT doc_id, count(*) AS n_sentences FROM s GROUP BY doc_id)
+SELECT p.doc_id, coalesce(array_to_string(ids, ' '), '') AS sentence_ids, coalesce(n_sentences, 0) AS n_sentences,
+  CASE WHEN speaks AND len(coalesce(names, [])) = 0 THEN 'LicenseRef-unknown' ELSE coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') END AS licenses,
+  CAST(len(coalesce(names, [])) AS BIGINT) AS n_rules
+FROM p LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN e USING (doc_id)
+""".format(known=_values(SENTENCES.items()), rules=_values((n, name, pattern_of(wanted), " ".join(wanted + more)) for n, (name, wanted, more) in enumerate(LICENSE_RULES, 1)))
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": OP2, "op3_quality": OP3, "op7_decontamination": OP7, "op8_licenses": OP8}

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from reelspark.llm._bytes import chunks
 from reelspark.llm._scratch import Scratch
 
-#: Items a node of the tree packs at once, and words a worker remembers.
+#: Items a node of the tree packs at once, words that a worker remembers, and the longest of these in characters.
 NODE_ITEMS = 4_000
 REMEMBERED_WORDS = 400_000
+REMEMBERED_LENGTH = 64
 _PIECE = "id long, piece int, start long, length long, ids_crc32 long"
 _BIN = "used int, bin long, members array<struct<id:long,piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -70,7 +71,8 @@ class _Words(dict):
             if len(self.parts) >= REMEMBERED_WORDS:
                 self.parts.clear()
             ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part.translate(self.bytes_of))]).tobytes()
-            self.parts[part] = ids
+            if len(part) <= REMEMBERED_LENGTH:
+                self.parts[part] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -78,7 +80,8 @@ class _Words(dict):
             self.clear()
         plain = _PLAIN.fullmatch(word)
         ids = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"") if plain else self._ids(word)
-        self[word] = ids
+        if len(word) <= REMEMBERED_LENGTH:
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
@@ -148,16 +151,18 @@ def _pack(capacity: int):
 def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, full_share: float = 0.995) -> DataFrame:
     """Packs all rows; returns ``id, piece, start, length, ids_crc32, sequence_id, offset`` per piece.
 
-    A null or empty text is its end token alone. ``sequence_id`` is unique but not
-    dense. ``id_col`` must be unique. Other columns are ignored.
+    A null or empty text is its end token alone; long texts are read whole. Each row is
+    packed, also where ids are null or repeated. ``sequence_id`` is unique but not dense.
+    An empty table gives none. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    pieces = scratch.stage(source.mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECE), "pieces")
-    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.xxhash64("id", "piece"), "offset": F.lit(0).cast("long")})
+    pieces = source.mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECE).withColumn("bin", F.monotonically_increasing_id())
+    pieces = scratch.stage(pieces, "pieces")  # once written, the numbers stay
+    whole = pieces.where(F.col("length") == capacity).withColumnRenamed("bin", "sequence_id").withColumn("offset", F.lit(0).cast("long"))
     items = pieces.where(F.col("length") < capacity).select(
-        F.col("length").cast("int").alias("used"), F.xxhash64("id", "piece").alias("bin"), F.array(F.struct("id", "piece", "start", "length", "ids_crc32")).alias("members")
+        F.col("length").cast("int").alias("used"), "bin", F.array(F.struct("id", "piece", "start", "length", "ids_crc32")).alias("members")
     )
     done = []
     left = items.count()

@@ -5,8 +5,9 @@ runs of digits to ``0``, white space to single blanks), hashed, and counted over
 distinct texts of its host. Lines above the limit are removed; a document that keeps
 too few of its words is rejected as depleted.
 
-Copies of one text count once, so a clean document isn't rejected for having copies;
-those are the business of the near-duplicate stage.
+Copies of one text count as one document: counted apart, a text with enough copies
+would reject all of them, the one worth keeping too. Copies are the business of the
+near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -60,6 +61,12 @@ def normalised_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
+def without_lines(text: Column, lines: Column) -> Column:
+    """``text`` without the lines whose normalised hashes are in ``lines``."""
+    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~(has_word(line) & F.array_contains(lines, F.xxhash64(normalised_line(line))))), "\n")
+
+
 def document_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -70,6 +77,7 @@ def document_rules(
     min_kept_share: float = 0.2,
     min_words: int = 50,
     max_repeat_percent: int = 50,
+    clean_text: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs`` with its statistics and verdict.
 
@@ -77,9 +85,11 @@ def document_rules(
     ``max(min_docs, max_share * distinct texts of the host)`` distinct texts of its
     host. A document is kept if it passes the base rules and keeps ``min_kept_share``
     of its words. Returns ``id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, n_frequent_words, kept``. Null and empty texts have no
-    words and fail the base rules; a null host is a host of its own. Repeated ids
-    are judged by all rows of that id. Other columns are ignored.
+    n_repeat_words, base_failed, n_frequent_words, kept``, and with ``clean_text`` the text
+    without the lines removed. Null and empty texts have no words and fail the base
+    rules; long texts are read whole; a null host counts as the empty one. Each row is
+    judged for itself, also where ids are null or repeated. An empty table gives none.
+    Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -89,6 +99,7 @@ def document_rules(
     facts = rows.select(
         "id",
         "host",
+        *(["text"] if clean_text else []),
         F.xxhash64(F.md5("text"), F.octet_length("text")).alias("twin"),
         F.size("words").cast("long").alias("n_words"),
         F.length(_without(F.col("text"), WHITE)).cast("long").alias("word_chars"),
@@ -97,16 +108,17 @@ def document_rules(
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         F.transform("lines", lambda line: F.struct(F.xxhash64(normalised_line(line)).alias("line"), F.size(_words(line)).alias("n"))).alias("lines"),
     )
-    facts = scratch.stage(facts, "facts")
-    counted = facts.select("id", "host", "twin", F.explode("lines").alias("x")).select("id", "host", "twin", "x.line", "x.n")
+    facts = scratch.stage(facts.withColumn("row", F.monotonically_increasing_id()), "facts")  # once written, the numbers stay
+    counted = facts.select("row", "host", "twin", F.explode("lines").alias("x")).select("row", "host", "twin", "x.line", "x.n")
     texts = facts.groupBy("host", "twin").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
     frequency = counted.groupBy("host", "line", "twin").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("found")).where(F.col("found") > min_docs)
     frequent = scratch.stage(frequency.join(texts, "host").where(F.col("found") > F.col("texts") * max_share).select("host", "line"), "frequent")
-    lost = counted.join(frequent, ["host", "line"], "left_semi").groupBy("id").agg(F.sum("n").cast("long").alias("n_frequent_words"))
+    lost = counted.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("n").cast("long").alias("n_frequent_words"), F.collect_set("line").alias("gone"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     n_lost = F.coalesce("n_frequent_words", F.lit(0).cast("long"))
-    return facts.drop("lines", "host", "twin").join(lost, "id", "left").select(
+    cleaned = [F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("gone"))).alias("clean_text")] if clean_text else []
+    return facts.drop("lines", "host", "twin").join(lost if clean_text else lost.drop("gone"), "row", "left").select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), n_lost.alias("n_frequent_words"),
-        (~base & (F.col("n_words") - n_lost >= min_kept_share * F.col("n_words"))).alias("kept"),
+        (~base & (F.col("n_words") - n_lost >= min_kept_share * F.col("n_words"))).alias("kept"), *cleaned,
     )

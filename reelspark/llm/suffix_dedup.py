@@ -206,7 +206,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Removes every byte covered by a ``length``-byte string that starts at another place too.
 
     Returns ``id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans`` for
-    each row. Null and empty texts, and texts below ``length`` bytes, lose nothing.
+    each row. Null and empty texts, and texts below ``length`` bytes, lose nothing; a
+    text of 256 MB or more is refused with an error. An empty table gives none.
     Rows with the same text are settled as a group: from ``length`` bytes on they
     lose all, and one of them stands for the group against the rest. Rows of one id
     are such rows too if their texts are the same, else texts of their own; ids may be
@@ -222,12 +223,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         keyed = source.withColumn("key", row_key("id", "text"))
         named = keyed.select("key", F.col("id").alias("own"))
         source = keyed.groupBy(F.col("key").alias("id")).agg(F.first("text").alias("text"), F.count("*").alias("rows"))
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, longest = source.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    size, longest = size or 0, longest or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     keyed = source.withColumn("twin", F.md5("text"))
     copies = scratch.stage(
         keyed.where(F.octet_length("text") >= length).groupBy("twin").agg(F.sum("rows").alias("n"), F.min("id").alias("one")).where("n > 1"), "copies"
     )
+    if longest >= 1 << 28:
+        raise ValueError(f"a text of {longest} bytes: places are kept in 28 bits, cut it first")
     texts = scratch.bucketed(keyed.drop("rows"), "id", buckets, "texts")
     members = texts.select("id", "twin").join(copies, "twin").select("id", (F.col("id") == F.col("one")).alias("chief"))
     members = scratch.stage(members, "members")

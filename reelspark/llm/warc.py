@@ -56,7 +56,7 @@ def _writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(row["digest"])).decode()), ("Content-Type", "text/html; charset=utf-8"),
             ]
             if kind == "revisit":
-                fields += [("WARC-Refers-To", f"<urn:page:{row['refers_to']}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", str(row["n"]))]
+                fields += [("WARC-Refers-To", f"<urn:page:{row['refers_to']}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
                 body = b""
             if stream is None:
                 stream, parts, size, name = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31), [], 0, f"pages-{row['id']}.warc.gz"
@@ -133,6 +133,15 @@ def _normaliser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"archive": row["archive"], "content": b"".join(out), "index": index}], schema=kind)
 
 
+def _sha1_field(fields: dict[str, str]) -> str | None:
+    """The payload digest of a revisit as hex; null where it is missing or no SHA-1 in base 32."""
+    name, _, value = fields.get("warc-payload-digest", "").partition(":")
+    try:
+        return base64.b32decode(value).hex() if name.lower() == "sha1" and value else None
+    except ValueError:
+        return None
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each record by its index entry alone."""
     kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("n", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
@@ -144,9 +153,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, _, rest = raw.partition(HEADERS_END)
                 fields = parse_head(head)
                 body = rest[: int(fields["content-length"])]
-                revisit = fields["warc-type"] == "revisit"
-                digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex() if revisit else hashlib.sha1(body).hexdigest()
-                out.append({"record_id": fields["warc-record-id"], "record_type": fields["warc-type"], "url": fields["warc-target-uri"], "digest": digest, "n": int(fields["x-payload-length"]) if revisit else len(body), "refers_to": fields.get("warc-refers-to"), "payload": None if revisit else body})
+                revisit = fields.get("warc-type") == "revisit"
+                digest = _sha1_field(fields) if revisit else hashlib.sha1(body).hexdigest()
+                out.append({"record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "digest": digest, "n": None if revisit else len(body), "refers_to": fields.get("warc-refers-to"), "payload": None if revisit else body})
                 size += len(body)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_pylist(out, schema=kind)
@@ -160,7 +169,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of rows with equal payloads of ``min_revisit_bytes`` or more, the one with the
     largest id is a response and the others are revisits of it. A null payload is
-    empty and a null url becomes ``urn:page:<id>``. ``id_col`` must be unique.
+    empty and a null url becomes ``urn:page:<id>``.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
@@ -176,15 +185,23 @@ def normalise(archives: DataFrame) -> DataFrame:
 
 
 def read_records(normal: DataFrame) -> DataFrame:
-    """One row per record of normalised archives; a revisit has its response's digest and length and no payload."""
+    """One row per record of normalised archives, of any type; a field that a record lacks is null. A revisit has its response's digest, and neither length nor payload."""
     return normal.select("archive", "content", "index").mapInArrow(_reader, "record_id string, record_type string, url string, digest string, n long, refers_to string, payload binary")
 
 
 def page_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes ``pages`` to archives, normalises them and reads all records back."""
+    """Writes ``pages`` to archives, normalises them and reads all records back; a revisit's length is that of its response.
+
+    Null payloads are empty and long ones whole. Every row has its record: rows that repeat
+    the largest id of equal payloads are all responses, rows without an id come back
+    without one. An empty table gives none; other columns are ignored.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     whole = scratch.stage(write_archives(pages, **options), "monolithic")
     normal = scratch.stage(normalise(whole), "members")
     key = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
-    read = read_records(normal)
+    read = scratch.stage(read_records(normal), "records")
+    lengths = read.where("record_type = 'response' AND record_id IS NOT NULL").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("n").alias("n_response"))
+    revisits = read.where("refers_to IS NOT NULL").join(lengths, "refers_to", "left").withColumn("n", F.col("n_response")).select(*read.columns)
+    read = read.where("refers_to IS NULL").unionByName(revisits)
     return read.select(key("record_id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.when(F.col("refers_to").isNotNull(), key("refers_to")).alias("refers_to"), "url", "payload")

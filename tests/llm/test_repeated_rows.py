@@ -42,3 +42,44 @@ def test_repeated_rows_of_the_pipeline(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in docs.collect()) == sorted([(0, b), (1, a), (2, c), (-1, e)])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs.union(docs.where(F.col("doc_id").isNull())), "/root/testdata/sf0.001")
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in packed.collect()) == [-1, 0, 1, 2]
+
+
+def test_repeated_rows_of_packing_and_near_duplicates(spark):
+    from reelspark.llm import near_dup, packing, quality
+    from reelspark.llm.queries import tokenizer_path
+
+    a, b = words(1, 300), words(2, 60)
+    docs = rows(spark, (1, a), (1, a), (1, b), (None, a), (None, None), (5, b))
+    got = packing.packed(docs, tokenizer_path(), capacity=512).collect()
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    for (s, at, n), (s2, at2, _) in zip(taken, taken[1:]):
+        assert at2 == (at + n if s == s2 else 0)
+    assert sum(r.piece == 0 for r in got) == 6
+    near = sorted((r.id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dup.near_duplicates(docs).collect())
+    assert near == sorted([(1, 296, 1, True), (1, 296, 1, False), (0, 296, 1, False), (1, 56, 1, True), (5, 56, 1, False), (0, 0, 0, True)])
+    judged = quality.document_rules(docs).collect()
+    assert sorted(r.n_words for r in judged) == [0, 60, 60, 300, 300, 300]
+
+
+def test_frequent_lines_go(spark):
+    from reelspark.llm import quality
+
+    line = "Menu | Home | page 1"
+    docs = rows(spark, *[(k, words(k, 60) + f"\n{line.replace('1', str(k))}\n" + words(k + 100, 20)) for k in range(30)]).selectExpr("doc_id", "text", "'h' AS source")
+    got = {r.id: r for r in quality.document_rules(docs, clean_text=True).collect()}
+    assert all(r.kept and r.n_frequent_words == 6 and r.clean_text == words(k, 60) + "\n" + words(k + 100, 20) for k, r in got.items())
+
+
+def test_foreign_records(spark):
+    import gzip
+
+    from reelspark.llm import warc
+
+    end = b"\r\n"
+    raw = b"".join([
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nsoft\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <a>\r\nWARC-Payload-Digest: md5:00\r\nContent-Length: 0\r\n\r\n" + end * 2,
+    ])
+    files = spark.createDataFrame([("x", bytearray(gzip.compress(raw)))], "archive string, content binary")
+    got = warc.read_records(warc.normalise(files)).collect()
+    assert [(r.record_type, r.record_id, r.n, r.digest is None) for r in got] == [("warcinfo", None, 4, False), ("revisit", "<a>", None, True)]
