@@ -3,12 +3,14 @@
 Each stage takes ``(spark, docs, sf_dir)`` and is written as Parquet before the next
 one reads it. All stages but the last return the columns of ``documents``. Ids may be
 null or repeated: rows of the same id and text count once, other rows are documents of
-their own.
+their own. Null and empty texts fail the quality rules. Long texts go through whole. An
+empty table gives an empty one at every stage. Columns besides ``doc_id``, ``text``,
+``source`` and ``n_chars`` pass unread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.llm import decontam, near_dup, packing, quality, suffix_dedup
@@ -31,22 +33,32 @@ def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return Scratch(spark, "keyed").stage(once, "docs")
 
 
+def with_text(docs: DataFrame, new: Column, changed: Column) -> DataFrame:
+    """``docs`` with the text ``new`` and its length where ``changed``; a column ``n_chars`` need not be there."""
+    values = {"text": F.when(changed, new).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(changed, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return docs.withColumns(values)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of frequent lines; texts stay whole."""
+    """Documents that pass the base rules and aren't depleted, without the lines that are frequent on their host."""
     columns, docs = docs.columns, keyed(spark, docs)
-    kept = quality.document_rules(docs, "_key").where("kept").select(F.col("id").alias("_key"))
-    return docs.join(kept, "_key", "left_semi").select(*columns)
+    found = quality.document_rules(docs, "_key", clean_text=True).where("kept")
+    found = found.select(F.col("id").alias("_key"), F.when(F.col("n_frequent_words") > 0, F.col("clean_text")).alias("_new"))
+    return with_text(docs.join(found, "_key"), F.col("_new"), F.col("_new").isNotNull()).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
     columns, repeats, docs = docs.columns, has_repeats(docs, "doc_id"), keyed(spark, docs)
-    found = near_dup.near_duplicates(docs, "_key")
+    judged = docs.select("_key", "doc_id", "text")
+    kept = near_dup.near_duplicates(judged, "_key")
     if repeats:  # keys aren't in the order of ids then
-        groups = found.select(F.col("id").alias("_key"), "component_id").join(docs.select("_key", "doc_id"), "_key")
+        groups = kept.select(F.col("id").alias("_key"), "component_id").join(judged.select("_key", "doc_id"), "_key")
         kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
     else:
-        kept = found.where("kept").select(F.col("id").alias("_key"))
+        kept = kept.where("kept").select(F.col("id").alias("_key"))
     return docs.join(kept, "_key", "left_semi").select(*columns)
 
 
@@ -54,10 +66,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Texts without the passages of 200 bytes or more that occur elsewhere too; a text that loses all of itself goes."""
     columns, docs = docs.columns, keyed(spark, docs)
     cut = suffix_dedup.repeated_passages(docs, "_key").where("n_removed = 0 OR kept_text <> ''")
-    cut = cut.select(F.col("id").alias("_key"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("kept_text"))
-    new = F.coalesce("kept_text", "text")
-    out = docs.join(cut, "_key").withColumns({"text": new, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))})
-    return out.select(*columns)
+    cut = cut.select(F.col("id").alias("_key"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("_new"))
+    return with_text(docs.join(cut, "_key"), F.col("_new"), F.col("_new").isNotNull()).select(*columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
