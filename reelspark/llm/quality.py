@@ -62,9 +62,10 @@ def normalised_line(line: Column) -> Column:
 
 
 def without_lines(text: Column, lines: Column) -> Column:
-    """``text`` without the lines whose normalised hashes are in ``lines``."""
+    """``text`` without the lines whose normalised hashes are in ``lines``; all of it where that is null."""
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~(has_word(line) & F.array_contains(lines, F.xxhash64(normalised_line(line))))), "\n")
+    left = F.filter(F.split(text, "\n"), lambda line: ~(has_word(line) & F.array_contains(lines, F.xxhash64(normalised_line(line)))))
+    return F.when(lines.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
 def document_rules(
@@ -77,7 +78,7 @@ def document_rules(
     min_kept_share: float = 0.2,
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    clean_text: bool = False,
+    frequent_lines: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs`` with its statistics and verdict.
 
@@ -85,8 +86,8 @@ def document_rules(
     ``max(min_docs, max_share * distinct texts of the host)`` distinct texts of its
     host. A document is kept if it passes the base rules and keeps ``min_kept_share``
     of its words. Returns ``id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, n_frequent_words, kept``, and with ``clean_text`` the text
-    without the lines removed. Null and empty texts have no words and fail the base
+    n_repeat_words, base_failed, n_frequent_words, kept``, and with ``frequent_lines`` the
+    hashes of the lines to remove (null: none), for ``without_lines``. Null and empty texts have no words and fail the base
     rules; long texts are read whole; a null host counts as the empty one. Each row is
     judged for itself, also where ids are null or repeated. An empty table gives none.
     Other columns are ignored.
@@ -99,7 +100,6 @@ def document_rules(
     facts = rows.select(
         "id",
         "host",
-        *(["text"] if clean_text else []),
         F.xxhash64(F.md5("text"), F.octet_length("text")).alias("twin"),
         F.size("words").cast("long").alias("n_words"),
         F.length(_without(F.col("text"), WHITE)).cast("long").alias("word_chars"),
@@ -113,12 +113,11 @@ def document_rules(
     texts = facts.groupBy("host", "twin").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
     frequency = counted.groupBy("host", "line", "twin").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("found")).where(F.col("found") > min_docs)
     frequent = scratch.stage(frequency.join(texts, "host").where(F.col("found") > F.col("texts") * max_share).select("host", "line"), "frequent")
-    lost = counted.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("n").cast("long").alias("n_frequent_words"), F.collect_set("line").alias("gone"))
+    lost = counted.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("n").cast("long").alias("n_frequent_words"), F.collect_set("line").alias("frequent_lines"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     n_lost = F.coalesce("n_frequent_words", F.lit(0).cast("long"))
-    cleaned = [F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("gone"))).alias("clean_text")] if clean_text else []
-    return facts.drop("lines", "host", "twin").join(lost if clean_text else lost.drop("gone"), "row", "left").select(
+    return facts.drop("lines", "host", "twin").join(lost if frequent_lines else lost.drop("frequent_lines"), "row", "left").select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), n_lost.alias("n_frequent_words"),
-        (~base & (F.col("n_words") - n_lost >= min_kept_share * F.col("n_words"))).alias("kept"), *cleaned,
+        (~base & (F.col("n_words") - n_lost >= min_kept_share * F.col("n_words"))).alias("kept"), *(["frequent_lines"] if frequent_lines else []),
     )

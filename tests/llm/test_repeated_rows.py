@@ -66,8 +66,9 @@ def test_frequent_lines_go(spark):
 
     line = "Menu | Home | page 1"
     docs = rows(spark, *[(k, words(k, 60) + f"\n{line.replace('1', str(k))}\n" + words(k + 100, 20)) for k in range(30)]).selectExpr("doc_id", "text", "'h' AS source")
-    got = {r.id: r for r in quality.document_rules(docs, clean_text=True).collect()}
-    assert all(r.kept and r.n_frequent_words == 6 and r.clean_text == words(k, 60) + "\n" + words(k + 100, 20) for k, r in got.items())
+    judged = docs.join(quality.document_rules(docs, frequent_lines=True).withColumnRenamed("id", "doc_id"), "doc_id")
+    got = {r.doc_id: r for r in judged.withColumn("clean", quality.without_lines(F.col("text"), F.col("frequent_lines"))).collect()}
+    assert all(r.kept and r.n_frequent_words == 6 and r.clean == words(k, 60) + "\n" + words(k + 100, 20) for k, r in got.items())
 
 
 def test_foreign_records(spark):

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.llm import decontam, language, licenses, lm_score, near_dup, packing, quality, suffix_dedup, url_filter, warc
 from reelspark.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
@@ -257,8 +258,9 @@ def test_pipeline_against_brute_force(spark, small):
     import corpus_pipeline
 
     got = corpus_pipeline.run(spark, SF).collect()
-    judged = quality.document_rules(spark.read.parquet(f"{SF}/documents.parquet"), clean_text=True).where("kept").collect()
-    texts = {r.id: r.clean_text for r in judged}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("doc_id", "id")
+    judged = docs.join(quality.document_rules(docs, "id", frequent_lines=True).where("kept"), "id").withColumn("clean", quality.without_lines(docs.text, F.col("frequent_lines"))).collect()
+    texts = {r.id: r.clean for r in judged}
     sets = {k: shingles(t, 5) for k, t in texts.items()}
     groups = {k: k for k in texts}
     for a in sorted(texts):
