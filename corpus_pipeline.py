@@ -44,9 +44,8 @@ def with_text(docs: DataFrame, new: Column, changed: Column) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't depleted, without the lines that are frequent on their host."""
     columns, docs = docs.columns, keyed(spark, docs)
-    found = quality.document_rules(docs, "_key", clean_text=True).where("kept")
-    found = found.select(F.col("id").alias("_key"), F.when(F.col("n_frequent_words") > 0, F.col("clean_text")).alias("_new"))
-    return with_text(docs.join(found, "_key"), F.col("_new"), F.col("_new").isNotNull()).select(*columns)
+    found = quality.document_rules(docs, "_key", frequent_lines=True).where("kept").select(F.col("id").alias("_key"), F.col("frequent_lines").alias("_lines"))
+    return with_text(docs.join(found, "_key"), quality.without_lines(F.col("text"), F.col("_lines")), F.col("_lines").isNotNull()).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
