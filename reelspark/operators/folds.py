@@ -135,7 +135,7 @@ class Deflicker(Fold):
 
     A frame whose mean jumps by over ``scene`` deviations of the window and a tenth of
     the range starts a new window and passes as it is. ``damping`` mixes in the
-    correction before.
+    correction before, also one from before such a start.
     """
 
     reads = ("mean", "sigma")
@@ -157,7 +157,6 @@ class Deflicker(Fold):
                 self.sigmas.clear()
                 self.means.append(mean)
                 self.sigmas.append(sigma)
-                self.before = None
                 return [{"frame_id": row["frame_id"], "gain": 1.0, "offset": 0.0, "scene_change": True}]
         self.means.append(mean)
         self.sigmas.append(sigma)

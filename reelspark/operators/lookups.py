@@ -14,17 +14,17 @@ BROADCAST_ROWS = 100_000
 _WIDTHS = [16**k for k in range(1, 14)]
 
 
-def _in_ranges(left: DataFrame, at: str, ranges: DataFrame, start: str, end: str, how: str, inclusive: bool) -> DataFrame:
-    """Interval join. A checked small table is broadcast; otherwise both sides meet in cells of time.
+def _in_ranges(left: DataFrame, at: str, ranges: DataFrame, start: str, end: str, inclusive: bool) -> DataFrame:
+    """Interval join: the ranges that hold each distinct place ``at`` of ``left``. Both sides meet in cells of time; those of a checked small table are broadcast.
 
     A range lies in one cell or two of the level whose cells, 16 to the power of the level
-    plus 1 wide, are the first that are as wide as the range. ``left`` looks into its cell of
+    plus 1 wide, are the first that are as wide as the range. A place looks into its cell of
     each level that has ranges, of which there are 14 at most. Ranges longer than the widest
-    cells, open ones among them, meet all frames.
+    cells, open ones among them, meet all places.
     """
     low, high = F.col(at) >= F.col(start), (F.col(at) <= F.col(end)) if inclusive else (F.col(at) < F.col(end))
-    if ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(ranges), low & high, how)
+    small = ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    left = left.select(at).where(F.col(at).isNotNull()).distinct()
     length = F.greatest(F.col(end) - F.col(start), F.lit(0))
     level = F.lit(len(_WIDTHS))
     for k in reversed(range(len(_WIDTHS))):
@@ -34,29 +34,28 @@ def _in_ranges(left: DataFrame, at: str, ranges: DataFrame, start: str, end: str
     for k in sorted(r[0] for r in placed.select("_level").distinct().collect()):
         cell = lambda c: F.floor(F.col(c) / _WIDTHS[k]).cast("long") if k < len(_WIDTHS) else F.lit(0).cast("long")  # noqa: B023, E731
         cells = placed.where(F.col("_level") == k).withColumn("_cell", F.explode(F.array_distinct(F.array(cell(start), cell(end))))).drop("_level")
-        met = left.withColumn("_at", cell(at)).join(cells, (F.col("_at") == F.col("_cell")) & low & high).drop("_at", "_cell")
+        met = left.withColumn("_at", cell(at)).join(F.broadcast(cells) if small else cells, (F.col("_at") == F.col("_cell")) & low & high).drop("_at", "_cell")
         hits = met if hits is None else hits.unionByName(met)
-    if how == "left":  # a place has a hit or not, whichever frame stands there
-        hits = hits.unionByName(left.join(hits.select(at).distinct(), at, "left_anti").select(*left.columns), allowMissingColumns=True)
-    return hits
+    return left.join(ranges, F.lit(False)) if hits is None else hits
 
 
 def dynamic_rate_control(frames: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Frames with the settings of the last range, in order of (start, end), that holds their id; both ends included.
+    """Frames with the settings of the last range, in order of (start, end as given), that holds their id; both ends included.
 
     ``ranges``: ``start, end, mode, bitrate, quality``; an end of 0 or less is open. Frames outside all have nulls.
     """
-    side = ranges.select(F.col("start").alias("_s"), F.when(F.col("end") <= 0, F.lit(2**62)).otherwise(F.col("end").cast("long")).alias("_e"), "mode", "bitrate", "quality")
-    hits = _in_ranges(frames, "frame_id", side, "_s", "_e", "left", True)
-    best = F.max_by(F.struct("mode", "bitrate", "quality"), F.struct("_s", "_e", "mode", "bitrate")).alias("x")
-    return hits.groupBy(*frames.columns).agg(best).select(*frames.columns, "x.mode", "x.bitrate", "x.quality")
+    opened = F.when(F.col("end") <= 0, F.lit(2**62)).otherwise(F.col("end").cast("long"))
+    side = ranges.select(F.col("start").alias("_s"), opened.alias("_e"), F.col("end").alias("_given"), "mode", "bitrate", "quality")
+    hits = _in_ranges(frames, "frame_id", side, "_s", "_e", True)
+    best = F.max_by(F.struct("mode", "bitrate", "quality"), F.struct("_s", "_given", "mode", "bitrate")).alias("x")
+    return frames.join(hits.groupBy("frame_id").agg(best), "frame_id", "left").select(*frames.columns, "x.mode", "x.bitrate", "x.quality")
 
 
 def film_grain(frames: DataFrame, table: DataFrame) -> DataFrame:
     """Frames with the seed and parameters of the interval ``start <= pts < end``; ``off`` and a null seed where there is none. Intervals don't overlap."""
     side = table.select(F.col("start").alias("_s"), F.col("end").alias("_e"), "seed", "params")
-    hits = _in_ranges(frames, "pts", side, "_s", "_e", "left", False)
-    return hits.select(*frames.columns, "seed", F.coalesce("params", F.lit("off")).alias("params"))
+    hits = _in_ranges(frames, "pts", side, "_s", "_e", False)
+    return frames.join(hits.select("pts", "seed", "params"), "pts", "left").select(*frames.columns, "seed", F.coalesce("params", F.lit("off")).alias("params"))
 
 
 def forced_keyframes(frames: DataFrame, key_frames: DataFrame) -> DataFrame:

@@ -63,14 +63,22 @@ def gap_histogram(frames: DataFrame, width: int = 1) -> DataFrame:
 
 
 def resolve_output_pts(encoded: DataFrame, known: DataFrame) -> DataFrame:
-    """Encoder output placed in time: a known pts has its duration; an unknown or repeated one is put half the previous duration later.
+    """Encoder output placed in time: a known pts has its duration; an unknown one, or one that repeats the place just before, is put half the remaining duration later.
 
     ``encoded``: ``stream_id, frame_id, pts`` in output order; ``known``: ``stream_id, pts, duration``.
+    Frames placed so in a row halve what is left again and again. Of a pts given many
+    times in a row every other one is a repeat, as the repeat before it has moved on;
+    each return to the pts finds half its duration. Unknown frames before the first
+    known one have nulls.
     """
     found = encoded.select("stream_id", "frame_id", "pts").join(known.select("stream_id", "pts", "duration").dropDuplicates(["stream_id", "pts"]), ["stream_id", "pts"], "left")
-    repeat = F.row_number().over(Window.partitionBy("stream_id", "pts").orderBy("frame_id")) > 1
-    found = found.withColumn("ok", F.col("duration").isNotNull() & ~repeat)
-    w = in_stream().rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("ok"), F.struct("pts", "duration")), ignorenulls=True).over(w)
-    found = found.withColumn("before", last)
-    return found.select("stream_id", "frame_id", F.when(F.col("ok"), F.col("pts")).otherwise(F.expr("before.pts + before.duration div 2")).alias("pts"), F.when(F.col("ok"), F.col("duration")).otherwise(F.expr("before.duration - before.duration div 2")).alias("duration"))
+    sofar = in_stream().rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("fresh", ~F.col("pts").eqNullSafe(F.lag("pts").over(in_stream())) | (F.row_number().over(in_stream()) == 1))
+    found = found.withColumn("run", F.count(F.when(F.col("fresh"), 1)).over(sofar))
+    found = found.withColumn("turn", F.row_number().over(Window.partitionBy("stream_id", "run").orderBy("frame_id")) - 1)
+    found = found.withColumn("ok", F.col("duration").isNotNull() & (F.col("turn") % 2 == 0)).withColumn("left", F.expr("shiftright(duration, cast(least(turn div 2, 62) AS int))"))
+    found = found.withColumn("group", F.count(F.when(F.col("ok"), 1)).over(sofar))
+    last = F.last(F.when(F.col("ok"), F.struct("pts", F.col("left").alias("duration"))), ignorenulls=True).over(sofar)
+    found = found.withColumn("last", last).withColumn("k", F.row_number().over(Window.partitionBy("stream_id", "group").orderBy("frame_id")) - 1)
+    rest = F.expr("shiftright(last.duration + shiftleft(1L, cast(least(k, 62) AS int)) - 1, cast(least(k, 62) AS int))")  # rounded up
+    return found.select("stream_id", "frame_id", F.when(F.col("ok"), F.col("pts")).otherwise(F.col("last.pts") + F.col("last.duration") - rest).alias("pts"), rest.alias("duration"))

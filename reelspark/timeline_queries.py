@@ -171,17 +171,22 @@ def gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FRAMES},
 e AS (SELECT stream_id, frame_id, CASE WHEN frame_id % 9 = 0 THEN -1 ELSE pts END AS pts FROM f),
-k AS (SELECT e.*, f.duration, f.duration IS NOT NULL AND row_number() OVER (PARTITION BY e.stream_id, e.pts ORDER BY e.frame_id) = 1 AS ok FROM e LEFT JOIN f ON e.stream_id = f.stream_id AND e.pts = f.pts),
-l AS (SELECT *, last_value(CASE WHEN ok THEN pts END IGNORE NULLS) OVER w AS p, last_value(CASE WHEN ok THEN duration END IGNORE NULLS) OVER w AS d FROM k
-  WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT stream_id, frame_id, CASE WHEN ok THEN pts ELSE p + d // 2 END AS pts, CASE WHEN ok THEN duration ELSE d - d // 2 END AS duration FROM l""")
+j AS (SELECT e.*, f.duration, e.pts IS DISTINCT FROM lag(e.pts) OVER (PARTITION BY e.stream_id ORDER BY e.frame_id) OR row_number() OVER (PARTITION BY e.stream_id ORDER BY e.frame_id) = 1 AS fresh
+  FROM e LEFT JOIN (SELECT DISTINCT ON (stream_id, pts) stream_id, pts, duration FROM f ORDER BY stream_id, pts) f ON e.stream_id = f.stream_id AND e.pts = f.pts),
+r AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY stream_id ORDER BY frame_id) AS run FROM j),
+t AS (SELECT *, row_number() OVER (PARTITION BY stream_id, run ORDER BY frame_id) - 1 AS turn FROM r),
+k AS (SELECT *, duration IS NOT NULL AND turn % 2 = 0 AS ok, duration // CAST(2 ** (turn // 2) AS BIGINT) AS rest FROM t),
+l AS (SELECT *, count(*) FILTER (WHERE ok) OVER w AS g, last_value(CASE WHEN ok THEN pts END IGNORE NULLS) OVER w AS p, last_value(CASE WHEN ok THEN rest END IGNORE NULLS) OVER w AS d FROM k
+  WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, CAST(2 ** (row_number() OVER (PARTITION BY stream_id, g ORDER BY frame_id) - 1) AS BIGINT) AS n FROM l)
+SELECT stream_id, frame_id, CASE WHEN ok THEN pts ELSE p + d - (d + n - 1) // n END AS pts, (d + n - 1) // n AS duration FROM m""")
 def resolve_output_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = event_frames(spark, sf_dir)
     return timing.resolve_output_pts(frames.withColumn("pts", F.when(F.col("frame_id") % 9 == 0, -1).otherwise(F.col("pts"))), frames)
 
 
 @query(f"""WITH {FRAMES}, r(s, e, mode, bitrate, quality) AS (VALUES {_values(RATES)}),
-h AS (SELECT f.stream_id, f.frame_id, arg_max(struct_pack(mode := mode, bitrate := bitrate, quality := quality), struct_pack(s := s, e := CASE WHEN e <= 0 THEN 4611686018427387904 ELSE e END)) AS x
+h AS (SELECT f.stream_id, f.frame_id, arg_max(struct_pack(mode := mode, bitrate := bitrate, quality := quality), struct_pack(s := s, e := e)) AS x
   FROM f LEFT JOIN r ON frame_id >= s AND (e <= 0 OR frame_id <= e) GROUP BY ALL)
 SELECT stream_id, frame_id, x.mode AS mode, CAST(x.bitrate AS BIGINT) AS bitrate, CAST(x.quality AS DOUBLE) AS quality FROM h""")
 def dynamic_rate_control(spark: SparkSession, sf_dir: str) -> DataFrame:
