@@ -1,7 +1,8 @@
 """Tables written between the steps of one operator call.
 
 They lie under ``spark.checkpoint.dir``, which every executor shares, so a lost
-executor costs a re-read and never a recomputation from the start.
+executor costs a re-read and never a recomputation from the start. What no step has
+dropped goes when the driver ends, as results may read it until then.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ class Scratch:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.root))  # only what is there can be marked
         self._fs.deleteOnExit(self._path(self.root))
 
     def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -56,6 +58,8 @@ class Scratch:
         dealt = df.repartition(buckets, key) if deal else df
         dealt.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").mode("overwrite").saveAsTable(table)
         self.tables.append(table)
+        place = self._path(self.spark.conf.get("spark.sql.warehouse.dir"), table)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
