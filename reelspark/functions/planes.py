@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,18 +28,43 @@ def tweak(plane: Column, brightness: float = 0.0, contrast: float = 1.0, gamma:
     return F.transform(plane, one)
 
 
-def curves(plane: Column, points: Sequence[tuple[float, float]], peak: int = 255) -> Column:
-    """Samples sent through straight lines between ``points`` (0 to 1 both ways), flat beyond the ends."""
-    points = sorted(points)
-
-    def one(x: Column) -> Column:
-        v = x / float(peak)
-        out = F.lit(float(points[-1][1]))
-        for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
-            out = F.when(v < x1, y0 + (v - x0) * ((y1 - y0) / (x1 - x0))).otherwise(out)
-        return _code(F.when(v <= points[0][0], float(points[0][1])).otherwise(out) * peak, peak)
-
-    return F.transform(plane, one)
+def curve_table(points: Sequence[tuple[float, float]], peak: int = 255, monotone: bool = False) -> list[int]:
+    """The output code of each input code for cubics through ``points`` (0 to 1 both ways), flat beyond the ends and rounded down.
+
+    The cubics are splines with straight ends whose bends are a sixth of a natural
+    spline's, so slopes may break at the points; with ``monotone`` they are Hermite
+    pieces whose slopes are weighted harmonic means (none at a turning point), which
+    never overshoot.
+    """
+    x, y = np.array(sorted(points), float).T
+    h = np.diff(x)
+    slope = np.diff(y) / h
+    if monotone:
+        turns = slope[:-1] * slope[1:] <= 0
+        near, far = h[:-1] + 2 * h[1:], 2 * h[:-1] + h[1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inner = np.where(turns, 0.0, (near + far) / (near / slope[:-1] + far / slope[1:]))
+        tangent = np.concatenate([slope[:1], inner, slope[-1:]])
+        first, second, third = tangent[:-1], (3 * slope - 2 * tangent[:-1] - tangent[1:]) / h, (tangent[:-1] + tangent[1:] - 2 * slope) / h**2
+    else:
+        bend = np.zeros(len(x))
+        if len(x) > 2:
+            bend[1:-1] = np.linalg.solve(np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1), np.diff(slope))
+        first, second, third = slope - h * bend[:-1] / 2 - h * np.diff(bend) / 6, bend[:-1] / 2, np.diff(bend) / (6 * h)
+    codes = lambda v: np.clip(np.trunc(v * (peak + 1)), 0, peak).astype(int)
+    at = codes(x)
+    table = np.full(peak + 1, codes(y[0]))
+    for k, (low, high) in enumerate(zip(at, at[1:])):
+        u = np.arange(high - low + 1) / (peak + 1)
+        table[low : high + 1] = codes(y[k] + u * (first[k] + u * (second[k] + u * third[k])))
+    table[at[-1] :] = codes(y[-1])
+    return table.tolist()
+
+
+def curves(plane: Column, points: Sequence[tuple[float, float]], peak: int = 255, monotone: bool = False) -> Column:
+    """Samples sent through ``curve_table``."""
+    table = F.split(F.lit(",".join(map(str, curve_table(points, peak, monotone)))), ",").cast("array<int>")  # folded to one literal
+    return F.transform(plane, lambda v: F.get(table, v.cast("int")))
 
 
 def _at(plane: Column, width: int, height: int, x: Column, y: Column) -> Column:
@@ -121,13 +147,30 @@ def temporal_convolve(before: Column, now: Column, after: Column, weights: tuple
     return F.transform(zipped, lambda s: _code(near(s["a"], s["b"]) * weights[0] + s["b"] * weights[1] + near(s["c"], s["b"]) * weights[2], peak))
 
 
-def soft_light(base: Column, blend: Column, peak: int = 255) -> Column:
-    """Soft-light mix of two planes."""
-    def one(a: Column, b: Column) -> Column:
-        x, y = a / float(peak), b / float(peak)
-        return _code(((1 - 2 * y) * x * x + 2 * y * x) * peak, peak)
+def _soft(a: Column, b: Column, formula: str) -> Column:
+    """Soft light of ``a`` under ``b``, both 0 to 1: the formulas of common image editors by name."""
+    if formula == "pegtop":
+        return (1 - 2 * b) * a * a + 2 * b * a
+    if formula == "illusionshu":
+        return F.pow(a, F.pow(F.lit(2.0), 1 - 2 * b))
+    if formula == "w3c":
+        curve = F.when(a <= 0.25, ((16 * a - 12) * a + 4) * a).otherwise(F.sqrt(a))
+        return F.when(b <= 0.5, a - (1 - 2 * b) * a * (1 - a)).otherwise(a + (2 * b - 1) * (curve - a))
+    raise ValueError(f"unknown formula {formula}")
+
+
+def soft_light(plane: Column, formula: str = "pegtop", skip_black: bool = False, peak: int = 255) -> Column:
+    """Takes a colour plane's cast away: soft light under one less its mean, which with ``skip_black`` leaves samples of 0 out."""
+    counted = F.size(F.filter(plane, lambda v: v != 0)) if skip_black else F.size(plane)
+    total = F.aggregate(plane, F.lit(0).cast("long"), lambda s, v: s + v)
+    blend = 1 - F.when(counted > 0, total / counted / float(peak)).otherwise(F.lit(0.0))
+    # Bound in an array of one, so that the mean is taken once a plane and not once a sample.
+    return F.get(F.transform(F.array(blend), lambda b: F.transform(plane, lambda v: _code(_soft(v / float(peak), b, formula) * peak, peak))), F.lit(0))
+
 
-    return F.zip_with(base, blend, one)
+def soft_light_boost(plane: Column, formula: str = "pegtop", peak: int = 255) -> Column:
+    """Soft light of every sample under itself, which raises contrast."""
+    return F.transform(plane, lambda v: _code(_soft(v / float(peak), v / float(peak), formula) * peak, peak))
 
 
 def denoise_logo(plane: Column, logo: Column, depth: Column, peak: int = 255) -> Column:

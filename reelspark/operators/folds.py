@@ -327,8 +327,9 @@ class CadenceTracker(Fold):
     """Locks on to the cadence of field matches (``c`` or ``n`` per frame) and predicts the next one.
 
     The last five matches are set against each rotation of the pattern; the best count
-    wins, the first on ties. Four or more locks; with fewer, the lock holds while
-    confidence (2 up for a right prediction, 1 down for a wrong one) is 4 or more.
+    wins, the first on ties. Four or more locks, and a new or other phase lifts the
+    confidence to 4 at least; with fewer, lock and phase hold while confidence (2 up for
+    a right prediction, 1 down for a wrong one) is 4 or more.
     """
 
     reads = ("match",)
@@ -350,11 +351,12 @@ class CadenceTracker(Fold):
             counts = [sum(s == self.pattern[(i + r) % n] for i, s in enumerate(self.last)) for r in range(n)]
             best = max(counts)
             if best >= 4:
-                self.locked, self.phase = True, counts.index(best)
+                phase = counts.index(best)
+                if not self.locked or phase != self.phase:
+                    self.confidence = max(self.confidence, 4)
+                self.locked, self.phase = True, phase
             elif self.confidence < 4:
                 self.locked = False
-            elif self.locked:
-                self.phase = (self.phase + 1) % n
         self.predicted = self.pattern[(4 + self.phase + 1) % n] if self.locked else None
         return [{"frame_id": row["frame_id"], "phase": self.phase if self.locked else None, "locked": self.locked, "confidence": self.confidence, "predicted": self.predicted}]
 

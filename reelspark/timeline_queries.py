@@ -393,7 +393,9 @@ def plane_tweak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planes(spark, sf_dir, lambda p: planes.tweak(p, 0.1, 1.5))
 
 
-@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format("(CASE WHEN x / 255.0::DOUBLE <= 0 THEN 0.0::DOUBLE WHEN x / 255.0::DOUBLE < 0.5 THEN 0.0 + (x / 255.0::DOUBLE - 0.0) * 0.5::DOUBLE WHEN x / 255.0::DOUBLE < 1 THEN 0.25::DOUBLE + (x / 255.0::DOUBLE - 0.5::DOUBLE) * 1.5::DOUBLE ELSE 1.0::DOUBLE END) * 255") + ")"))
+# Worked by hand for the three points: the middle one's bend is 1 / 2.
+@query(_kernel_sql("""list_transform(plane, lambda x: CAST(least(255, floor(256 * CASE WHEN x < 128 THEN x / 256.0::DOUBLE * (11 / 24.0::DOUBLE + (x / 256.0::DOUBLE) * (x / 256.0::DOUBLE) / 6)
+  ELSE 0.25::DOUBLE + (x - 128) / 256.0::DOUBLE * (17 / 12.0::DOUBLE + (x - 128) / 256.0::DOUBLE * (0.25::DOUBLE - (x - 128) / 256.0::DOUBLE / 6)) END)) AS INTEGER))"""))
 def plane_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planes(spark, sf_dir, lambda p: planes.curves(p, [(0, 0), (0.5, 0.25), (1, 1)]))
 
@@ -432,10 +434,18 @@ def plane_convolution3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_frames(spark, sf_dir).select("frame_id", made.alias("plane"))
 
 
-@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format("(((1 - 2 * ((255 - x) / 255.0::DOUBLE)) * (x / 255.0::DOUBLE) * (x / 255.0::DOUBLE) + 2 * ((255 - x) / 255.0::DOUBLE) * (x / 255.0::DOUBLE)) * 255)") + ")"))
+_BLEND = "(1 - CAST(list_sum(plane) AS DOUBLE) / 64 / 255.0::DOUBLE)"
+_SAMPLE = "(x / 255.0::DOUBLE)"
+
+
+@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format(f"(((1 - 2 * {_BLEND}) * {_SAMPLE} * {_SAMPLE} + 2 * {_BLEND} * {_SAMPLE}) * 255)") + ")"))
 def plane_soft_light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks under their own negative."""
-    return _planes(spark, sf_dir, lambda p: planes.soft_light(p, F.transform(p, lambda x: F.lit(255) - x)))
+    return _planes(spark, sf_dir, planes.soft_light)
+
+
+@query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format(f"(((1 - 2 * {_SAMPLE}) * {_SAMPLE} * {_SAMPLE} + 2 * {_SAMPLE} * {_SAMPLE}) * 255)") + ")"))
+def plane_soft_light_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, planes.soft_light_boost)
 
 
 @query(_kernel_sql("list_transform(plane, lambda x: " + _CODE.format("((x - 200 * 0.25::DOUBLE) / (1 - 0.25::DOUBLE))") + ")"))

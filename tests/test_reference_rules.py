@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from reelspark.functions import planes
 from reelspark.operators import folds, lookups, timing
 
 
@@ -32,3 +33,37 @@ def test_damping_outlives_a_scene_change():
     assert fold.push({"frame_id": 8, "mean": 200.0, "sigma": 10.0})[0]["scene_change"]
     after = fold.push({"frame_id": 9, "mean": 210.0, "sigma": 10.0})[0]
     assert after["offset"] == pytest.approx(0.5 * before["offset"] + 0.5 * (205.0 - 210.0))
+
+
+def test_a_new_lock_lifts_the_confidence_and_a_held_phase_stays():
+    fold = folds.CadenceTracker()
+    out = [fold.push({"frame_id": k, "match": m})[0] for k, m in enumerate("cccnn" + "n")]
+    # Locked at 4. C was predicted and N came: 3. CCNNN fits phases 0 and 1 with four each; the first stays, so nothing is lifted.
+    assert [(r["phase"], r["confidence"]) for r in out[4:]] == [(0, 4), (0, 3)]
+    slip = folds.CadenceTracker()
+    slip.phase, slip.locked, slip.confidence, slip.predicted = 0, True, 1, "N"
+    slip.last.extend("CCNN")
+    # A wrong prediction: 0. CCNNC is phase 1 in full: 4.
+    assert slip.push({"frame_id": 0, "match": "c"})[0] == {"frame_id": 0, "phase": 1, "locked": True, "confidence": 4, "predicted": "C"}
+    held = folds.CadenceTracker()
+    held.phase, held.locked, held.confidence = 2, True, 9
+    held.last.extend("CCCC")
+    assert held.push({"frame_id": 0, "match": "c"})[0] | {"frame_id": 0} == {"frame_id": 0, "phase": 2, "locked": True, "confidence": 9, "predicted": "C"}
+
+
+def test_curves_pass_through_their_points():
+    table = planes.curve_table([(0, 0.5), (0.5, 0.25), (1, 1)])
+    assert (table[0], table[128], table[255]) == (128, 64, 255)
+    assert planes.curve_table([(0, 0), (1, 1)]) == list(range(256))
+    steps = planes.curve_table([(0.25, 0.25), (0.5, 0.75), (0.75, 0.75), (1, 1)], monotone=True)
+    assert steps[:65] == [64] * 65 and steps[128:193] == [192] * 65 and steps == sorted(steps)
+
+
+@pytest.mark.parametrize("formula", ["pegtop", "w3c", "illusionshu"])
+def test_soft_light_under_one_less_the_mean(spark, formula):
+    rows = spark.createDataFrame([([0, 128, 255],)], "plane array<int>")
+    got = rows.select(planes.soft_light(rows.plane, formula, skip_black=True).alias("p")).first().p
+    b = 1 - 383 / 2 / 255
+    a = 128 / 255
+    exact = {"pegtop": (1 - 2 * b) * a * a + 2 * b * a, "w3c": a - (1 - 2 * b) * a * (1 - a), "illusionshu": a ** (2 ** (1 - 2 * b))}[formula]
+    assert got == [0, int(exact * 255 + 0.5), 255]
