@@ -50,6 +50,23 @@ def run_statistics(frames: DataFrame, by: str = "frame_type") -> DataFrame:
     return frames.groupBy(by).agg(F.count("*").alias("frames"), F.sum("duration").alias("duration"), F.avg("luma").alias("mean_luma"))
 
 
+def encode_statistics(encoded: DataFrame, fps: float, dropped: int = 0) -> DataFrame:
+    """Per class of coded frame (I, P, B): frames, IDR frames among them, bytes and mean quantiser; a row ``all`` with ``kbps`` at ``fps``.
+
+    ``encoded``: ``frame_type`` (IDR, I, P or B), ``bytes``, ``qp``. IDR frames count as
+    I. Frames of another or no type are in the sum only. Classes without a frame give
+    no row; an empty table gives none.
+    """
+    kind = F.when(F.col("frame_type").isin("IDR", "I"), "I").when(F.col("frame_type").isin("P", "B"), F.col("frame_type"))
+    sums = [F.count("*").alias("frames"), F.count(F.when(F.col("frame_type") == "IDR", 1)).alias("idr"), F.sum("bytes").alias("bytes"), F.sum("qp").alias("qp"), F.count("qp").alias("with_qp")]
+    classes = encoded.groupBy(F.coalesce(kind, F.lit("other")).alias("frame_type")).agg(*sums)
+    # Four rows at most, so the sum over them costs nothing and the input is read once.
+    rows = classes.select(F.explode(F.array("frame_type", F.lit("all"))).alias("frame_type"), "frames", "idr", "bytes", "qp", "with_qp").where("frame_type <> 'other'")
+    total = rows.groupBy("frame_type").agg(*(F.sum(c).alias(c) for c in ("frames", "idr", "bytes", "qp", "with_qp")))
+    kbps = F.when(F.col("frame_type") == "all", F.col("bytes") * 8 * fps / (1000 * (F.col("frames") + dropped)))
+    return total.select("frame_type", "frames", "idr", "bytes", F.when(F.col("with_qp") > 0, F.col("qp") / F.col("with_qp")).alias("mean_qp"), kbps.alias("kbps"))
+
+
 def bitrate(encoded: DataFrame, fps: float, dropped: int = 0) -> DataFrame:
     """One row: frames, bytes, and ``kbps`` at ``fps`` with the dropped frames counted."""
     total = encoded.agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"))

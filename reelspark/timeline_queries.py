@@ -243,6 +243,19 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.run_statistics(event_frames(spark, sf_dir)).withColumn("mean_luma", F.round("mean_luma", 6))
 
 
+@query("""WITH c AS (SELECT CASE event_type WHEN 'error' THEN 'I' WHEN 'view' THEN 'P' WHEN 'click' THEN 'B' WHEN 'purchase' THEN 'IDR' END AS t, length(props) AS bytes, event_id % 52 AS qp FROM events),
+k AS (SELECT CASE WHEN t = 'IDR' THEN 'I' ELSE t END AS frame_type, * FROM c UNION ALL SELECT 'all', * FROM c)
+SELECT frame_type, count(*) AS frames, count(*) FILTER (WHERE t = 'IDR') AS idr, CAST(sum(bytes) AS BIGINT) AS bytes, round(avg(qp), 6) AS mean_qp,
+  CASE WHEN frame_type = 'all' THEN round(sum(bytes) * 8 * 25.0::DOUBLE / (1000 * (count(*) + 40)), 6) END AS kbps FROM k WHERE frame_type IS NOT NULL GROUP BY frame_type""")
+def encode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types stand in for types of coded frames."""
+    kinds = {"error": "I", "view": "P", "click": "B", "purchase": "IDR"}
+    kind = F.coalesce(*(F.when(F.col("event_type") == a, b) for a, b in kinds.items()))
+    coded = spark.read.parquet(f"{sf_dir}/events.parquet").select(kind.alias("frame_type"), F.length("props").alias("bytes"), (F.col("event_id") % 52).alias("qp"))
+    out = reports.encode_statistics(coded, 25.0, 40)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_qp", "kbps")})
+
+
 @query("SELECT count(*) AS frames, CAST(sum(length(props)) AS BIGINT) AS bytes, round(sum(length(props)) * 8 * 25.0::DOUBLE / (1000 * (count(*) + 40)), 6) AS kbps FROM events")
 def bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.length("props").alias("bytes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from reelspark.functions import planes
-from reelspark.operators import folds, lookups, timing
+from reelspark.operators import folds, lookups, reports, timing
 
 
 def test_unknown_times_in_a_row(spark):
@@ -67,3 +67,11 @@ def test_soft_light_under_one_less_the_mean(spark, formula):
     a = 128 / 255
     exact = {"pegtop": (1 - 2 * b) * a * a + 2 * b * a, "w3c": a - (1 - 2 * b) * a * (1 - a), "illusionshu": a ** (2 ** (1 - 2 * b))}[formula]
     assert got == [0, int(exact * 255 + 0.5), 255]
+
+
+def test_idr_frames_count_as_i(spark):
+    rows = [("IDR", 100, 20), ("I", 50, 30), ("P", 10, None), (None, 40, 26)]
+    coded = spark.createDataFrame(rows, "frame_type string, bytes long, qp int")
+    got = {r.frame_type: tuple(r)[1:] for r in reports.encode_statistics(coded, 25.0, 1).collect()}
+    assert got == {"I": (2, 1, 150, 25.0, None), "P": (1, 0, 10, None, None), "all": (4, 1, 200, pytest.approx(76 / 3), pytest.approx(8.0))}
+    assert reports.encode_statistics(coded.limit(0), 25.0).count() == 0
