@@ -68,33 +68,39 @@ def select_every(frames: DataFrame, step: int, offset: int = 0) -> DataFrame:
     return groups.where(whole | tail).select("stream_id", "c.*", "pts", duration.alias("duration")).select(*frames.columns)
 
 
-def decimate(frames: DataFrame, cycle: int = 5, scene_threshold: float = float("inf"), duplicate_threshold: float = 0.0, block_diff: str = "block_diff", total_diff: str = "total_diff") -> DataFrame:
-    """Drops one frame of each ``cycle`` and spreads its time over the others.
+def decimate(frames: DataFrame, cycle: int = 5, scene_threshold: float = float("inf"), duplicate_threshold: float = 0.0, block_diff: str = "block_diff", total_diff: str = "total_diff", drop: int = 1) -> DataFrame:
+    """Drops ``drop`` frames of each ``cycle`` and spreads their time over the others.
 
     The differences are to the frame before; the first frame of a stream counts as
-    infinitely different. The least block difference goes, the first on ties; but if it
-    isn't below the duplicate threshold and some frame's total difference exceeds the
-    scene threshold, the last such frame goes. A short last cycle loses a frame only
-    if the last drop lies more than ``cycle`` frames back from the end.
+    infinitely different. Of the frames left the least block difference goes, the first
+    on ties; but if it isn't below the duplicate threshold and some frame's total
+    difference exceeds the scene threshold, the last such frame goes. In a short last
+    cycle, drop ``k`` (from 0) and those after it are left out unless the cycle has
+    ``cycle - k`` frames or the drop before the cycle lies more than that back from the end.
     """
     rows = number_in_stream(frames).withColumn("g", F.floor(F.col("n") / cycle).cast("long"))
     inf = F.lit(float("inf"))
     rows = rows.withColumns({"_b": F.when(F.col("n") == 0, inf).otherwise(F.col(block_diff)), "_t": F.when(F.col("n") == 0, inf).otherwise(F.col(total_diff)), "_next": F.lead("pts").over(in_stream())})
-    cycles = rows.groupBy("stream_id", "g").agg(
-        F.min(F.struct("_b", "n")).alias("low"), F.max(F.when(F.col("_t") > scene_threshold, F.col("n"))).alias("scene"), F.count("*").alias("size"), F.min("pts").alias("front"), F.max("pts").alias("back")
-    )
-    chosen = F.when(F.col("scene").isNotNull() & ~(F.col("low._b") < duplicate_threshold), F.col("scene")).otherwise(F.col("low.n"))
-    cycles = cycles.withColumn("gone", chosen)
-    before = F.lag("gone").over(Window.partitionBy("stream_id").orderBy("g"))
-    full = (F.col("size") == cycle) | (before + cycle < F.col("g") * cycle + F.col("size"))
-    cycles = cycles.select("stream_id", "g", F.when(F.coalesce(full, F.lit(False)), F.col("gone")).alias("gone"), "size", "front", "back")
+    cycles = rows.groupBy("stream_id", "g").agg(F.collect_list(F.struct("_b", "n", "_t")).alias("left"), F.count("*").alias("size"), F.min("pts").alias("front"), F.max("pts").alias("back"))
+    for k in range(drop):
+        low, scene = F.array_min("left"), F.array_max(F.transform(F.filter("left", lambda x: x["_t"] > scene_threshold), lambda x: x["n"]))
+        cycles = cycles.withColumn(f"pick{k}", F.when(scene.isNotNull() & ~(low["_b"] < duplicate_threshold), scene).otherwise(low["n"]))
+        cycles = cycles.withColumn("left", F.filter("left", lambda x: x["n"] != F.col(f"pick{k}")))
+    picks = [F.col(f"pick{k}") for k in range(drop)]
+    before = F.lag(F.array_max(F.array(*picks))).over(Window.partitionBy("stream_id").orderBy("g"))
+    cycles = cycles.withColumn("before", F.coalesce(before, F.lit(-1)))
+    goes, gone = F.col("size") > 0, []
+    for k, pick in enumerate(picks):
+        goes = goes & ((F.col("size") == cycle) | (F.col("size") == cycle - k) | (F.col("before") + (cycle - k) < F.col("g") * cycle + F.col("size")))
+        gone.append(F.when(goes, pick))
+    cycles = cycles.select("stream_id", "g", F.array_compact(F.array(*gone)).alias("gone"), "size", "front", "back")
     rows = rows.join(cycles, ["stream_id", "g"])
     extra = F.when(F.col("size") > 1, F.expr("back + (back - front) * size div (size - 1)")).otherwise(F.col("back"))
-    lost = F.max(F.when(F.col("n") == F.col("gone"), F.coalesce("_next", extra) - F.col("pts"))).over(Window.partitionBy("stream_id", "g"))
-    rows = rows.withColumn("_lost", F.coalesce(lost, F.lit(0)))
-    off = F.col("n") - F.col("g") * cycle - F.when(F.col("n") > F.col("gone"), cycle).otherwise(0)
-    shifted = rows.withColumn("_off", off).where("gone IS NULL OR n <> gone")
-    return shifted.withColumn("pts", F.expr(f"pts + _off * _lost div {cycle - 1}")).select(*frames.columns)
+    dropped = F.array_contains("gone", F.col("n"))
+    lost = F.sum(F.when(dropped, F.coalesce("_next", extra) - F.col("pts"))).over(Window.partitionBy("stream_id", "g"))
+    off = (F.col("n") - F.col("g") * cycle) * drop - F.size(F.filter("gone", lambda x: x < F.col("n"))) * cycle
+    shifted = rows.withColumns({"_lost": F.coalesce(lost, F.lit(0)), "_off": off}).where(~dropped)
+    return shifted.withColumn("pts", F.expr(f"pts + _off * _lost div {drop * (cycle - drop)}")).select(*frames.columns)
 
 
 def select_tracks(streams: DataFrame, languages: list[str] | None = None, exclude: list[str] | None = None, lang_col: str = "lang") -> DataFrame:

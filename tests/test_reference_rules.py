@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.functions import planes
-from reelspark.operators import folds, lookups, reports, timing
+from reelspark.operators import folds, lookups, reports, selection, timing
 
 
 def test_unknown_times_in_a_row(spark):
@@ -75,3 +76,15 @@ def test_idr_frames_count_as_i(spark):
     got = {r.frame_type: tuple(r)[1:] for r in reports.encode_statistics(coded, 25.0, 1).collect()}
     assert got == {"I": (2, 1, 150, 25.0, None), "P": (1, 0, 10, None, None), "all": (4, 1, 200, pytest.approx(76 / 3), pytest.approx(8.0))}
     assert reports.encode_statistics(coded.limit(0), 25.0).count() == 0
+
+
+def test_two_of_five_frames_go(spark):
+    # Differences by frame; the last cycle has three frames.
+    diffs = [9, 1, 5, 1, 7, 8, 90, 6, 95, 4, 3, 2, 1]
+    rows = [(1, n, 10 * n, float(d)) for n, d in enumerate(diffs)]
+    frames = spark.createDataFrame(rows, "stream_id long, frame_id long, pts long, block_diff double").withColumn("total_diff", F.col("block_diff"))
+    got = selection.decimate(frames, 5, 50.0, 2.0, drop=2).orderBy("frame_id")
+    # First cycle: 1 and 3 are duplicates and go; 20 ticks are spread, times off * 20 / 6. Second: no duplicate, so the scene changes 8, then 6 go.
+    # Last: 8 + 5 lies at the end, not before it, so nothing goes.
+    want = [(0, 0), (2, 20 + (2 * 2 - 5) * 20 // 6 + 1), (4, 40 - 2 * 20 // 6), (5, 50), (7, 70 - 1 * 20 // 6), (9, 90 - 2 * 20 // 6), (10, 100), (11, 110), (12, 120)]
+    assert [(r.frame_id, r.pts) for r in got.collect()] == want
