@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.functions import planes
-from reelspark.operators import folds, lookups, reports, selection, timing
+from reelspark.functions import planes, spatial
+from reelspark.operators import deinterlace, folds, lookups, reports, selection, timing
 from reelspark.operators.fold import fold_streams
 from reelspark.plans import colour
 from reelspark.sources.frames import block_frames, event_frames, in_stream
@@ -467,6 +467,140 @@ def plane_delogo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planes(spark, sf_dir, lambda p: planes.denoise_logo(p, even(200), even(0.25)))
 
 
+def _tap(plane: str, dx: int | str, dy: int | str) -> str:
+    return f"{plane}[greatest(0, least(7, i // 8 + {dy})) * 8 + greatest(0, least(7, i % 8 + {dx})) + 1]"
+
+
+def _each_sql(expression: str, source: str = "b") -> str:
+    """A row per sample with its place ``i``, then planes again."""
+    return f"SELECT stream_id, frame_id, list(v ORDER BY i) AS plane FROM (SELECT stream_id, frame_id, i, {expression} AS v FROM {source}, range(64) t(i)) GROUP BY ALL"
+
+
+# Weights of places o of 5 over 8 samples and of 6 over 8, from the kernel's formula: sinc(x) sinc(x / 2) within 2.
+def _lanczos_sql(o: str, k: str, size: int) -> str:
+    x = f"(({k} + 0.5 - ({o} + 0.5) * 8 / {size}) * {size} / 8)::DOUBLE"
+    return f"(CASE WHEN abs({x}) >= 2 THEN 0 WHEN abs({x}) < 1e-12 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) * sin(pi() * {x} / 2) / (pi() * {x} / 2) END)"
+
+
+@query(f"""WITH {BLOCKS}, w AS (SELECT o, k, {_lanczos_sql("(o % 5)", "(k % 8)", 5)} * {_lanczos_sql("(o // 5)", "(k // 8)", 6)} AS w FROM range(30) a(o), range(64) c(k)),
+s AS (SELECT o, list(w / total ORDER BY k) AS ws FROM (SELECT *, sum(w) OVER (PARTITION BY o) AS total FROM w) GROUP BY o)
+SELECT frame_id, list(CAST(floor(greatest(0, least(255.9, list_sum(list_transform(list_zip(plane, ws), lambda z: z[1] * z[2])))) + 1e-6) AS INTEGER) ORDER BY o) AS plane FROM b, s GROUP BY frame_id""")
+def plane_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.resize(p, 8, 8, 5, 6, "lanczos2"))
+
+
+_ACROSS = "[" + ", ".join(_tap("plane", d, 0) for d in range(-2, 3)) + "]"
+_UPRIGHT = "[" + ", ".join(_tap("plane", 0, d) for d in range(-2, 3)) + "]"
+
+
+@query(f"""WITH {BLOCKS}, r AS (SELECT *, i, plane[i + 1] AS v, {_ACROSS} AS a, {_UPRIGHT} AS u FROM b, range(64) t(i)),
+e AS (SELECT *, CASE WHEN list_max(a) - list_min(a) < list_max(u) - list_min(u) THEN u ELSE a END AS line FROM r), m AS (SELECT *, list_min(line) AS low, list_max(line) AS high FROM e)
+SELECT frame_id, list(CAST(floor(greatest(0, least(255 * (1 - 1e-6), CASE WHEN high - low > 20 * 255 / 128.0::DOUBLE THEN
+  least(greatest(v + (v - (low + high) * 0.5::DOUBLE) * (5 / 16.0::DOUBLE), low - CASE WHEN v = low THEN 2 ELSE 1 END * (8 * 255 / 256.0::DOUBLE)), high + CASE WHEN v = high THEN 2 ELSE 1 END * (4 * 255 / 256.0::DOUBLE))
+  ELSE v END)) + 1e-6) AS INTEGER) ORDER BY i) AS plane FROM m GROUP BY frame_id""")
+def plane_edge_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.edge_level(p, 8, 8, black=8.0, white=4.0))
+
+
+_BLUR5 = " + ".join(f"{_tap('plane', x - 2, y - 2)} * {a * b}" for y, a in enumerate((1, 4, 6, 4, 1)) for x, b in enumerate((1, 4, 6, 4, 1)))
+
+
+def _diffuse_sql(source: str) -> str:
+    pulls = " + ".join(f"({_tap('plane', x, y)} - plane[i + 1]) * 0.25::DOUBLE * exp(-(({_tap('soft', x, y)} - soft[i + 1]) ** 2) / 256.0::DOUBLE)" for x, y in ((0, -1), (0, 1), (-1, 0), (1, 0)))
+    return f"SELECT stream_id, frame_id, soft, list(v ORDER BY i) AS plane FROM (SELECT stream_id, frame_id, soft, i, CAST(floor(greatest(0, least(255.9, plane[i + 1] + {pulls} + 0.5))) AS INTEGER) AS v FROM {source}, range(64) t(i)) GROUP BY ALL"
+
+
+@query(f"""WITH {BLOCKS}, g AS ({_each_sql(f"CAST(floor(({_BLUR5}) / 256.0::DOUBLE + 0.5) AS INTEGER)")}),
+s0 AS (SELECT b.*, g.plane AS soft FROM b JOIN g USING (frame_id)), s1 AS ({_diffuse_sql("s0")}), s2 AS ({_diffuse_sql("s1")}) SELECT frame_id, plane FROM s2""")
+def plane_diffuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.diffuse(p, 8, 8, threshold=160.0))
+
+
+@query(f"""WITH {BLOCKS}, x AS (SELECT stream_id, frame_id, i, dx, dy, plane[i + 1] / 256.0::DOUBLE AS c, {_tap("plane", "dx", "dy")} / 256.0::DOUBLE AS v FROM b, range(64) t(i), range(-1, 2) h(dx), range(-1, 2) k(dy)),
+w AS (SELECT *, exp(-((c - v) ** 2 / 0.0064::DOUBLE + (dx * dx + dy * dy) / 9.0::DOUBLE)) AS w FROM x),
+t AS (SELECT frame_id, i, c, sum(v * w) / sum(w) AS mean, count(*) FILTER (w > 0.01) / 9.0::DOUBLE AS near FROM w GROUP BY ALL)
+SELECT frame_id, list(CAST(floor((mean + (c - mean) * CASE WHEN near > 0.8::DOUBLE THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END) * 256 + 1e-6) AS INTEGER) ORDER BY i) AS plane FROM t GROUP BY frame_id""")
+def plane_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.knn([p], 8, 8, radius=1))
+
+
+def _nine_sql(cx: int, cy: int) -> str:
+    return "(" + " + ".join(_tap("plane", cx + x, cy + y) for y in (-1, 0, 1) for x in (-1, 0, 1)) + ")"
+
+
+@query(f"""WITH {BLOCKS}, n AS (SELECT frame_id, i, plane[i + 1] AS v, {_nine_sql(0, 0)} AS c, greatest({", ".join(f"abs({_nine_sql(0, 0)} - {_nine_sql(x, y)})" for x, y in ((1, 1), (-1, 1), (0, 1), (1, 0)))}) AS steep FROM b, range(64) t(i))
+SELECT frame_id, list(CAST(floor(least(255 * (1 - 1e-6), CASE WHEN steep >= 135 THEN v + 0.5::DOUBLE * (greatest(0, least(255, v * 4 - c / 3.0::DOUBLE)) - v) ELSE v END) + 1e-6) AS INTEGER) ORDER BY i) AS plane FROM n GROUP BY frame_id""")
+def plane_edge_sharpen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.edge_sharpen(p, 8, 8, strength=0.5))
+
+
+def _row_sql(plane: str, d: int) -> str:
+    inside = f"i // 8 + {d} BETWEEN 0 AND 7"
+    other = f"i // 8 - {d}"
+    return f"{plane}[(CASE WHEN {inside} THEN i // 8 + {d} ELSE {other} END) * 8 + i % 8 + 1]"
+
+
+@query(f"""WITH {BLOCKS}, p AS ({_each_sql(f"({_row_sql('plane', -1)} + 2 * plane[i + 1] + {_row_sql('plane', 1)} + 2) // 4")}), j AS (SELECT b.stream_id, b.frame_id, b.plane AS s, p.plane AS a FROM b JOIN p USING (frame_id)),
+d AS (SELECT frame_id, i, s[i + 1] AS v, a[i + 1] AS a3, s[i + 1] - a[i + 1] AS gone,
+  (a[i + 1] - (a[i + 1] * 6 + 4 * ({_row_sql('a', -1)} + {_row_sql('a', 1)}) + {_row_sql('a', -2)} + {_row_sql('a', 2)} + 8) // 16) * 2.7::DOUBLE AS explained FROM j, range(64) t(i)),
+e AS (SELECT *, CASE WHEN abs(gone) < abs(explained) THEN gone ELSE explained END AS least_of FROM d)
+SELECT frame_id, list(CAST(greatest(0, least(255, a3 + trunc(least_of * CASE WHEN gone * explained < 0 THEN 0.25::DOUBLE ELSE 1 END))) AS INTEGER) ORDER BY i) AS plane FROM e GROUP BY frame_id""")
+def plane_uncomb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.uncomb(p, 8, 8))
+
+
+FIELD_TIMES = """
+h AS (SELECT *, CASE WHEN duration = 0 THEN coalesce(pts - lag(pts) OVER (PARTITION BY stream_id ORDER BY frame_id), 1000) ELSE duration END AS whole FROM f)
+"""
+
+
+@query(f"""WITH {FRAMES}, {FIELD_TIMES}
+SELECT stream_id, frame_id, 0 AS field, pts, (whole + 1) // 2 AS duration FROM h UNION ALL SELECT stream_id, frame_id, 1, pts + (whole + 1) // 2, whole - (whole + 1) // 2 FROM h""")
+def field_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deinterlace.field_times(event_frames(spark, sf_dir), 1000).select("stream_id", "frame_id", "field", "pts", "duration")
+
+
+# Both fields of each block at its place i, with the frames that hold the rows to make: (before, now) for the first field, (now, after) for the second.
+FIELDS = f"""
+n AS (SELECT stream_id, frame_id, plane AS q, coalesce(lag(plane) OVER w, plane) AS p, coalesce(lead(plane) OVER w, plane) AS r FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id)),
+z AS (SELECT *, CASE WHEN field = 0 THEN p ELSE q END AS e, CASE WHEN field = 0 THEN q ELSE r END AS l FROM n, range(2) fields(field), range(64) t(i))
+"""
+
+
+def _lean_sql(d: int) -> str:
+    return "(" + " + ".join(f"abs({_tap('q', k + d, -1)} - {_tap('q', k - d, 1)})" for k in (-1, 0, 1)) + ")"
+
+
+def _between(plane: str) -> str:
+    return f"(abs({_tap(plane, 0, -1)} - {_tap('q', 0, -1)}) + abs({_tap(plane, 0, 1)} - {_tap('q', 0, 1)})) // 2"
+
+
+def _mean_sql(d: int) -> str:
+    return f"({_tap('e', 0, d)} + {_tap('l', 0, d)}) // 2"
+
+
+@query(f"""WITH {BLOCKS}, {FIELDS}, s AS (SELECT *, {_lean_sql(0)} AS s0, {_lean_sql(-1)} AS l1, {_lean_sql(-2)} AS l2, {_lean_sql(1)} AS r1, {_lean_sql(2)} AS r2,
+  {_tap("q", 0, -1)} AS up, {_tap("q", 0, 1)} AS down, {_mean_sql(0)} AS t, {_mean_sql(-2)} AS tu, {_mean_sql(2)} AS td, greatest(abs(e[i + 1] - l[i + 1]), {_between("p")}, {_between("r")}) AS diff FROM z),
+d AS (SELECT *, CASE WHEN r1 < least(s0, CASE WHEN l1 < s0 THEN least(l1, l2) ELSE s0 END) THEN (CASE WHEN r2 < r1 THEN 2 ELSE 1 END) WHEN l1 < s0 THEN (CASE WHEN l2 < l1 THEN -2 ELSE -1 END) ELSE 0 END AS d FROM s),
+g AS (SELECT *, ({_tap("q", "d", -1)} + {_tap("q", "(-d)", 1)}) // 2 AS spatial,
+  greatest(diff, -greatest(t - down, t - up, least(tu - up, td - down)), least(t - down, t - up, greatest(tu - up, td - down))) AS spread FROM d)
+SELECT frame_id, CAST(field AS INTEGER) AS field, list(CASE WHEN (i // 8) % 2 = field THEN q[i + 1] ELSE greatest(0, least(255, greatest(least(spatial, t + spread), t - spread))) END ORDER BY i) AS plane FROM g GROUP BY frame_id, field""")
+def deinterlace_yadif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as interlaced frames, a frame per field, the top one first."""
+    frames = block_frames(spark, sf_dir).withColumns({"pts": F.col("frame_id") * 40, "duration": F.lit(40).cast("long")})
+    return deinterlace.deinterlace(frames, 8, 8, "yadif", per_field=True).select("frame_id", "field", "plane")
+
+
+@query(f"""WITH {BLOCKS}, {FIELDS}, s AS (SELECT *, {_tap("q", 0, -1)} AS up, {_tap("q", 0, 1)} AS down, {_mean_sql(0)} AS t, {_mean_sql(-2)} AS tu, {_mean_sql(2)} AS td, i // 8 AS y,
+  greatest(abs(e[i + 1] - l[i + 1]) // 2, {_between("p")}, {_between("r")}) AS motion FROM z),
+g AS (SELECT *, CASE WHEN y BETWEEN 2 AND 5 THEN greatest(motion, least(t - down, t - up, greatest(tu - up, td - down)), -greatest(t - down, t - up, least(tu - up, td - down))) ELSE motion END AS spread FROM s)
+SELECT frame_id, list(CASE WHEN y % 2 = 0 THEN q[i + 1] WHEN motion <= 26 THEN t ELSE greatest(0, least(255, greatest(t - spread, least(t + spread, (up + down) // 2)))) END ORDER BY i) AS plane FROM g WHERE field = 0 GROUP BY frame_id""")
+def deinterlace_bwdif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as interlaced frames, the top field kept; eight rows are too few for the cubic, which has a test of its own."""
+    return deinterlace.deinterlace(block_frames(spark, sf_dir), 8, 8, "bwdif", threshold=10.0).select("frame_id", "plane")
+
+
+
 @query(f"""WITH {BLOCKS}, d AS (SELECT stream_id, frame_id, plane, lag(plane) OVER (PARTITION BY stream_id ORDER BY frame_id) AS p FROM b)
 SELECT frame_id, CAST(list_sum(list_transform(list_zip(p, plane), lambda z: abs(z[1] - z[2]))) AS BIGINT) AS sad FROM d WHERE p IS NOT NULL""")
 def plane_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
