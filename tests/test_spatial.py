@@ -83,7 +83,13 @@ def test_sharpening_options(spark):
     assert row(luma_limit=255.0, strength=0.5) == [0, 0, int(200 + 200 / 255 * 0.5 * 55 + 1e-6), 200, 200]
     soft = row(slope=50.0, mask=True)
     assert soft[0] > soft[4] > 0
-    assert df.select(spatial.diffuse(df.p0, 5, 4, exponential=False).alias("p")).first().p != a.ravel().tolist()
+
+
+def test_one_rational_diffusion(spark):
+    df = planes(spark, np.array([[0, 0, 200, 200, 200]] * 4))
+    # Blurred to 13, 63, 138, 188, 200: the edge moves by 200 / 4 / (1 + 75 ** 2 / 256), which is 2.18; threshold 100 keeps it.
+    assert df.select(spatial.diffuse(df.p0, 5, 4, threshold=160.0, times=1, exponential=False).alias("p")).first().p[:5] == [0, 2, 198, 200, 200]
+    assert df.select(spatial.diffuse(df.p0, 5, 4, exponential=False).alias("p")).first().p[:5] == [0, 0, 200, 200, 200]
 
 
 @pytest.mark.parametrize("second", [False, True])
