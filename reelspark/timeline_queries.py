@@ -308,7 +308,14 @@ def regularize_cfr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_streams(event_frames(spark, sf_dir), lambda: folds.RegularizeTimestamps(6 * HOUR, "forcecfr"))
 
 
-@query()
+_ORDERED = "row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id DESC) = 1 AS last"
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, n AS (SELECT *, {_ORDERED} FROM b),
+w AS (SELECT stream_id, frame_id, n, plane AS kept, false AS dropped FROM n WHERE n = 1
+  UNION ALL SELECT stream_id, frame_id, n, CASE WHEN gone THEN kept ELSE plane END, gone FROM (
+    SELECT n.*, w.kept, NOT n.last AND list_sum(list_transform(list_zip(w.kept, n.plane), lambda z: abs(z[1] - z[2]))) <= 2600 AS gone FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1))
+SELECT stream_id, frame_id, dropped FROM w""")
 def drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_streams(block_frames(spark, sf_dir), lambda: folds.DropRepeats(high=3200, low=2600, share=0.33))
 
@@ -338,38 +345,73 @@ def smooth_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
-@query()
+# The exponent: log(1 / 4) to the base of 1 - 6 / 255 - 0.00001.
+@query(f"""WITH RECURSIVE {BLOCKS}, n AS (SELECT *, {_ORDERED} FROM b),
+w AS (SELECT stream_id, frame_id, n, list_transform(plane, lambda x: CAST(x AS DOUBLE)) AS plane FROM n WHERE n = 1
+  UNION ALL SELECT n.stream_id, n.frame_id, n.n, list_transform(list_zip(w.plane, n.plane), lambda z: z[2] + pow(greatest(0, 1 - abs(z[1] - z[2]) / 255), ln(0.25::DOUBLE) / ln(1 - 6.0::DOUBLE / 255 - 0.00001::DOUBLE)) * (z[1] - z[2]))
+  FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)
+SELECT stream_id, frame_id, list_transform(plane, lambda x: round(x, 6)) AS plane FROM w""")
 def temporal_low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_streams(block_frames(spark, sf_dir), folds.TemporalLowPass)
+    return fold_streams(block_frames(spark, sf_dir), folds.TemporalLowPass).withColumn("plane", F.transform("plane", lambda x: F.round(x, 6)))
 
 
-@query()
+CHAPTER_HOURS = (1, 2, 3, 50, 120, 121, 400)
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, n AS (SELECT *, {_ORDERED} FROM f),
+w AS (SELECT stream_id, 0::BIGINT AS n, 0::BIGINT AS frame_id, range({len(CHAPTER_HOURS)}) AS open, NULL::BIGINT AS chapter FROM (SELECT DISTINCT stream_id FROM f)
+  UNION ALL SELECT stream_id, n, frame_id, list_filter(open, lambda k: k IS DISTINCT FROM took), took FROM (
+    SELECT n.*, w.open, list_filter(w.open, lambda k: {START} + {list(CHAPTER_HOURS)}[k + 1] * {HOUR} <= n.pts)[1] AS took FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1))
+SELECT stream_id, frame_id, CAST(chapter AS INTEGER) AS chapter FROM w WHERE chapter IS NOT NULL""")
 def chapter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters in milliseconds, frames in microseconds."""
-    chapters = [START // 1000 + h * 3_600_000 for h in (1, 2, 3, 50, 120, 121, 400)]
+    chapters = [START // 1000 + h * 3_600_000 for h in CHAPTER_HOURS]
     return fold_streams(event_frames(spark, sf_dir), lambda: folds.ChapterKeys(chapters))
 
 
-@query()
+def _dot_sql(a: int, b: int) -> str:
+    return f"CAST(list_sum(list_transform(range(55), lambda k: (plane[k + {a}] - 128) * (plane[k + {b}] - 128))) AS DOUBLE)"
+
+
+# The normal equations of the last four blocks since an unreliable one, solved by determinants.
+@query(f"""WITH {BLOCKS}, e AS (SELECT stream_id, frame_id, frame_id % 50 <> 0 AS ok, {_dot_sql(9, 9)} AS ll, {_dot_sql(9, 2)} AS lu, {_dot_sql(2, 2)} AS uu, {_dot_sql(9, 10)} AS lo, {_dot_sql(2, 10)} AS uo FROM b),
+g AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY stream_id ORDER BY frame_id) AS run FROM e),
+t AS (SELECT stream_id, frame_id, count(*) OVER w AS used, sum(ll) OVER w AS ll, sum(lu) OVER w AS lu, sum(uu) OVER w AS uu, sum(lo) OVER w AS lo, sum(uo) OVER w AS uo FROM g WHERE ok
+  WINDOW w AS (PARTITION BY stream_id, run ORDER BY frame_id ROWS 3 PRECEDING)),
+r AS (SELECT stream_id, frame_id, used, ll + ridge AS ll, lu, uu + ridge AS uu, lo, uo FROM (SELECT *, 1e-9::DOUBLE * greatest(1, (ll + uu) / 2) AS ridge FROM t))
+SELECT stream_id, frame_id, CAST(used AS INTEGER) AS used, [round((lo * uu - uo * lu) / (ll * uu - lu * lu), 6) + 0.0, round((ll * uo - lu * lo) / (ll * uu - lu * lu), 6) + 0.0] AS coefficients FROM r
+UNION ALL SELECT stream_id, frame_id, 0, NULL FROM e WHERE NOT ok""")
 def grain_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample predicted from its left and upper neighbours, over the last four blocks."""
     at = lambda k: F.slice("plane", k, 55)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - 128) * (y - 128)), F.lit(0.0), lambda s, v: s + v)
     left, up, own = at(9), at(2), at(10)
     rows = block_frames(spark, sf_dir).select("stream_id", "frame_id", F.array(dot(left, left), dot(left, up), dot(left, up), dot(up, up)).alias("lhs"), F.array(dot(left, own), dot(up, own)).alias("rhs"), (F.col("frame_id") % 50 != 0).alias("reliable"))
-    return fold_streams(rows, lambda: folds.GrainWindow(4))
+    return fold_streams(rows, lambda: folds.GrainWindow(4)).withColumn("coefficients", F.transform("coefficients", lambda x: F.round(x, 6) + 0.0))
 
 
-@query()
+# A field is pending after an odd number of repeats; it came a third of the last repeating frame early.
+@query(f"""WITH {FRAMES}, n AS (SELECT stream_id, frame_id, pts, frame_type = 'click' AS rep, frame_id % 2 = 0 AS top, duration, lag(pts) OVER w AS p, coalesce(lag(frame_type = 'click') OVER w, false) AS lrep FROM f WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id)),
+g AS (SELECT *, CASE WHEN rep THEN CAST(trunc((pts - p) * 3 / 2) AS BIGINT) ELSE pts - p END AS gap FROM n),
+d AS (SELECT *, CASE WHEN duration > 0 OR p IS NULL THEN duration WHEN lrep THEN CAST(trunc(gap * 2 / 3) AS BIGINT) ELSE gap END AS d FROM g),
+o AS (SELECT *, coalesce(count(*) FILTER (rep) OVER w, 0) % 2 = 1 AS pending, last_value(CASE WHEN rep THEN -CAST(trunc(d / 3) AS BIGINT) END IGNORE NULLS) OVER w AS off FROM d WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT stream_id, frame_id, 0 AS part, CASE WHEN pending THEN pts + off ELSE pts END AS pts, CASE WHEN pending AND rep THEN CAST(trunc(d * 2 / 3) AS BIGINT) WHEN rep THEN d - CAST(trunc(d / 3) AS BIGINT) ELSE d END AS duration, top <> pending AS top_first FROM o
+UNION ALL SELECT stream_id, frame_id, 1, pts + off + CAST(trunc(d * 2 / 3) AS BIGINT), d - off - CAST(trunc(d * 2 / 3) AS BIGINT), top <> pending FROM o WHERE pending AND rep""")
 def repeat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_frames(spark, sf_dir).withColumns({"repeats": F.col("frame_type") == "click", "top_first": F.col("frame_id") % 2 == 0})
     return fold_streams(rows, folds.RepeatFields)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, n AS (SELECT *, luma * 10 AS v, {_ORDERED} FROM f),
+w AS (SELECT stream_id, frame_id, n, true AS ok, 1 AS c, v AS total, 1 AS m, luma AS u FROM n WHERE n = 1
+  UNION ALL SELECT stream_id, frame_id, n, NOT skip, CASE WHEN NOT skip THEN c + 1 WHEN v > 20 * mean THEN 1 ELSE c END, CASE WHEN NOT skip THEN total + v WHEN v > 20 * mean THEN v ELSE total END,
+    CASE WHEN skip THEN m ELSE m + 1 END, CASE WHEN skip THEN u ELSE u + luma END FROM (
+    SELECT *, c >= 10 AND (v > 3 * mean OR v < 0.1::DOUBLE * mean / 3) AS skip FROM (
+      SELECT n.*, w.c, w.total, w.m, w.u, greatest(100, w.total / w.c) AS mean FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)))
+SELECT stream_id, frame_id, ok AS accepted, round(u / m, 6) AS mean_u, round(-u / m, 6) + 0.0 AS mean_v FROM w""")
 def chroma_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_frames(spark, sf_dir).select("stream_id", "frame_id", (F.col("luma") * 10).alias("variance"), F.col("luma").alias("u"), (-F.col("luma")).alias("v"))
-    return fold_streams(rows, lambda: folds.ChromaGuard(warm_up=10))
+    return fold_streams(rows, lambda: folds.ChromaGuard(warm_up=10)).withColumns({"mean_u": F.round("mean_u", 6), "mean_v": F.round("mean_v", 6) + 0.0})
 
 
 @query()
