@@ -211,6 +211,29 @@ def knn(planes: Sequence[Column], width: int, height: int, radius: int = 3, stre
     return _places(width, height, one)
 
 
+def _nine(plane: Column, width: int, height: int, x: Column, y: Column) -> Column:
+    """The sum of a sample and its eight neighbours."""
+    total = F.lit(0)
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            total = total + _at(plane, width, height, x + dx, y + dy)
+    return total
+
+
+def _steepness(plane: Column, width: int, height: int, highq: bool, use: Callable[[Callable[[Column, Column], tuple[Column, Column]]], Column]) -> Column:
+    """``use`` of a function that gives a place's sum of nine and its greatest difference to those one place down left and right (``highq``: straight down and right too)."""
+    wide, sides = width + 2, [(1, 1), (-1, 1)] + ([(0, 1), (1, 0)] if highq else [])
+
+    def with_sums(sums: Column) -> Column:
+        def at(x: Column, y: Column) -> tuple[Column, Column]:
+            total = lambda dx, dy: F.get(sums, (y + (1 + dy)) * wide + x + (1 + dx))
+            return total(0, 0), F.greatest(*[F.abs(total(0, 0) - total(*s)) for s in sides], F.lit(0))
+
+        return use(at)
+
+    return bound(_places(wide, height + 2, lambda x, y: _nine(plane, width, height, x - 1, y - 1)), with_sums)
+
+
 def edge_sharpen(plane: Column, width: int, height: int, strength: float = 1.0, threshold: float = 15.0, slope: float = 0.0, highq: bool = True, mask: bool = False, luma_limit: float = 0.0, peak: int = 255) -> Column:
     """Sharpens where the mean of nine samples differs by ``threshold`` or more from that one place down, to the side or diagonally.
 
@@ -218,20 +241,10 @@ def edge_sharpen(plane: Column, width: int, height: int, strength: float = 1.0,
     the threshold smooth; ``luma_limit`` weakens the effect below that sample value;
     ``mask`` gives the strength instead of the picture.
     """
-    wide = width + 2
 
-    def nine(x: Column, y: Column) -> Column:
-        total = F.lit(0)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                total = total + _at(plane, width, height, x + (dx - 1), y + (dy - 1))
-        return total
-
-    def picture(sums: Column) -> Column:
+    def picture(facts: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
         def one(x: Column, y: Column) -> Column:
-            total = lambda dx, dy: F.get(sums, (y + (1 + dy)) * wide + x + (1 + dx))
-            sides = [(1, 1), (-1, 1)] + ([(0, 1), (1, 0)] if highq else [])
-            steep = F.greatest(*[F.abs(total(0, 0) - total(*s)) for s in sides])
+            nine, steep = facts(x, y)
 
             def made(s: Column) -> Column:
                 if slope > 0:
@@ -245,11 +258,83 @@ def edge_sharpen(plane: Column, width: int, height: int, strength: float = 1.0,
                 weight = on * strength * (F.least(s["v"] / luma_limit, F.lit(1.0)) if luma_limit > 0 else 1.0)
                 return _down(s["v"] + weight * (sharp - s["v"]), 0.0, peak * (1 - 1e-6))
 
-            return bound(F.struct(steep.alias("steep"), _at(plane, width, height, x, y).alias("v"), total(0, 0).alias("nine")), made)
+            return bound(F.struct(steep.alias("steep"), _at(plane, width, height, x, y).alias("v"), nine.alias("nine")), made)
 
         return _places(width, height, one)
 
-    return bound(_places(wide, height + 2, nine), picture)
+    return _steepness(plane, width, height, highq, picture)
+
+
+def smooth_flat(plane: Column, width: int, height: int, times: int = 3, threshold: float = 15.0, highq: bool = True) -> Column:
+    """Samples away from edges become the rounded mean of themselves and of their neighbours above, below and beside that are away from edges, ``times`` over.
+
+    Edges are those of ``edge_sharpen`` and the outermost samples.
+    """
+    inside = lambda x, y: (x > 0) & (x < width - 1) & (y > 0) & (y < height - 1)
+    flat = lambda facts: _places(width, height, lambda x, y: inside(x, y) & (facts(x, y)[1] < threshold * 9))
+
+    def step(now: Column, flat: Column) -> Column:
+        def one(x: Column, y: Column) -> Column:
+            i = y * width + x
+            places = F.filter(F.array(i, i - width, i + width, i - 1, i + 1), lambda k: F.get(flat, k))
+            total = lambda k: F.aggregate(k, F.lit(0), lambda s, p: s + F.get(now, p))
+            mean = bound(places, lambda k: F.floor((total(k) + F.floor(F.size(k) / 2)) / F.size(k)).cast("int"))
+            return F.when(F.get(flat, i), mean).otherwise(F.get(now, i))
+
+        return _places(width, height, one)
+
+    def run(flat: Column, now: Column, left: int) -> Column:
+        return now if left == 0 else bound(step(now, flat), lambda n: run(flat, n, left - 1))
+
+    return bound(_steepness(plane, width, height, highq, flat), lambda f: run(f, plane, times))
+
+
+def sharpen_adaptive(plane: Column, width: int, height: int, sharpness: float = 0.4, squared: bool = True, peak: int = 255) -> Column:
+    """Sharpens each sample against the four beside it, the less, the nearer they come to black or white; ``squared`` works on squared samples."""
+    slope = -1 / (8 - 3 * min(max(sharpness, 0.0), 1.0))
+
+    def one(x: Column, y: Column) -> Column:
+        def value(dx: int, dy: int) -> Column:
+            v = _at(plane, width, height, x + dx, y + dy) / float(peak)
+            return v * v if squared else v
+
+        around = F.array(value(0, 0), value(0, -1), value(-1, 0), value(1, 0), value(0, 1))
+
+        def made(a: Column) -> Column:
+            room = F.least(F.array_min(a), 1 - F.array_max(a)) / F.greatest(F.array_max(a), F.lit(1e-6))
+            weight = F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), room))) * slope
+            beside = F.get(a, 1) + F.get(a, 2) + F.get(a, 3) + F.get(a, 4)
+            sharp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (beside * weight + F.get(a, 0)) / (1 + weight * 4)))
+            return _down((F.sqrt(sharp) if squared else sharp) * peak, 0.0, peak * (1 - 1e-6))
+
+        return bound(around, made)
+
+    return _places(width, height, one)
+
+
+def lens(plane: Column, width: int, height: int, k1: float = 0.0, k2: float = 0.0, cx: float = 0.5, cy: float = 0.5, fill: int = 0, peak: int = 255) -> Column:
+    """Undoes radial distortion: each sample comes from a place farther out by ``1 + k1 r^2 + k2 r^4``, r in half diagonals, between four samples; ``fill`` beyond the edges."""
+    half = (width**2 + height**2) ** 0.5 / 2
+
+    def one(x: Column, y: Column) -> Column:
+        dx, dy = x - cx * width, y - cy * height
+        r2 = (dx * dx + dy * dy) / half**2
+
+        def between(p: Column) -> Column:
+            x0, y0 = F.floor(p["x"]).cast("int"), F.floor(p["y"]).cast("int")
+            fx, fy = p["x"] - x0, p["y"] - y0
+
+            def sample(i: int, j: int) -> Column:
+                inside = (x0 + i >= 0) & (x0 + i < width) & (y0 + j >= 0) & (y0 + j < height)
+                return F.when(inside, F.get(plane, (y0 + j) * width + x0 + i)).otherwise(F.lit(fill))
+
+            top, low = sample(0, 0) * (1 - fx) + sample(1, 0) * fx, sample(0, 1) * (1 - fx) + sample(1, 1) * fx
+            return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(peak)), top * (1 - fy) + low * fy + 0.5)) + GUARD).cast("int")
+
+        out = r2 * k1 + r2 * r2 * k2 + 1
+        return bound(F.struct((dx * out + cx * width).alias("x"), (dy * out + cy * height).alias("y")), between)
+
+    return _places(width, height, one)
 
 
 def uncomb(plane: Column, width: int, height: int, strength: float = 2.7, most: int = 255, scale: float = 0.25, threshold: int = 0, peak: int = 255) -> Column:

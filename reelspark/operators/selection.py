@@ -41,10 +41,21 @@ def trim(frames: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     return rows.withColumn("pts", closed).where("_in").drop("_block", "_in", "_cut")
 
 
-def seek(frames: DataFrame, limit: int, margin: int = 0) -> DataFrame:
-    """Frames less than ``limit + margin`` ticks after the first one of their stream."""
-    first = F.first("pts", ignorenulls=True).over(in_stream().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return frames.withColumn("_first", first).where(F.col("pts") - F.col("_first") < limit + margin).drop("_first")
+def seek(frames: DataFrame, limit: int, margin: int = 0, key: str | None = None) -> DataFrame:
+    """Frames less than ``limit + margin`` ticks after the first one of their stream; a limit of 0 or less keeps all.
+
+    With ``key``, a boolean column, time counts from the first key frame, and frames
+    before it stay, as do those of a stream without one.
+    """
+    if limit <= 0:
+        return frames
+    whole = in_stream().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if key is None:
+        first = F.first("pts", ignorenulls=True).over(whole)
+        return frames.withColumn("_first", first).where(F.col("pts") - F.col("_first") < limit + margin).drop("_first")
+    first = F.first(F.when(F.col(key), F.struct("frame_id", "pts")), ignorenulls=True).over(whole)
+    early = F.col("_first").isNull() | (F.col("frame_id") < F.col("_first.frame_id"))
+    return frames.withColumn("_first", first).where(early | (F.col("pts") - F.col("_first.pts") < limit + margin)).drop("_first")
 
 
 def select_every(frames: DataFrame, step: int, offset: int = 0) -> DataFrame:

@@ -95,6 +95,15 @@ def seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.seek(event_frames(spark, sf_dir), 190 * HOUR, 10 * HOUR).select("stream_id", "frame_id", "pts")
 
 
+@query(f"""WITH {FRAMES}, k AS (SELECT stream_id, min(frame_id) AS first_key FROM f WHERE frame_type = 'purchase' GROUP BY stream_id),
+m AS (SELECT f.*, first_key, (SELECT pts FROM f g WHERE g.stream_id = f.stream_id AND g.frame_id = first_key) AS base FROM f LEFT JOIN k USING (stream_id))
+SELECT stream_id, frame_id, pts FROM m WHERE first_key IS NULL OR frame_id < first_key OR pts - base < {150 * HOUR}""")
+def seek_key_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases stand in for key frames."""
+    frames = event_frames(spark, sf_dir).withColumn("key", F.col("frame_type") == "purchase")
+    return selection.seek(frames, 150 * HOUR, key="key").select("stream_id", "frame_id", "pts")
+
+
 @query(f"WITH {FRAMES}, {_select_sql('f')} SELECT * FROM picked")
 def select_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_every(event_frames(spark, sf_dir), 5, 2)
@@ -576,6 +585,45 @@ def plane_edge_sharpen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planes(spark, sf_dir, lambda p: spatial.edge_sharpen(p, 8, 8, strength=0.5))
 
 
+# The sum of nine and the steepness at the place i, as in plane_edge_sharpen.
+_STEEP = f"greatest({', '.join(f'abs({_nine_sql(0, 0)} - {_nine_sql(x, y)})' for x, y in ((1, 1), (-1, 1), (0, 1), (1, 0)))})"
+
+
+def _smooth_sql(source: str) -> str:
+    beside = " + ".join(f"CASE WHEN {_tap('flat', x, y)} THEN {{}} ELSE 0 END".format(_tap("plane", x, y)) for x, y in ((0, -1), (0, 1), (-1, 0), (1, 0)))
+    count = " + ".join(f"CASE WHEN {_tap('flat', x, y)} THEN 1 ELSE 0 END" for x, y in ((0, -1), (0, 1), (-1, 0), (1, 0)))
+    return f"SELECT frame_id, flat, list(v ORDER BY i) AS plane FROM (SELECT frame_id, flat, i, CASE WHEN flat[i + 1] THEN (plane[i + 1] + {beside} + (1 + {count}) // 2) // (1 + {count}) ELSE plane[i + 1] END AS v FROM {source}, range(64) t(i)) GROUP BY ALL"
+
+
+@query(f"""WITH {BLOCKS}, s0 AS (SELECT frame_id, plane, list(i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 AND {_STEEP} < 360 ORDER BY i) AS flat FROM b, range(64) t(i) GROUP BY frame_id, plane),
+s1 AS ({_smooth_sql("s0")}), s2 AS ({_smooth_sql("s1")}) SELECT frame_id, plane FROM s2""")
+def plane_smooth_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.smooth_flat(p, 8, 8, times=2, threshold=40.0))
+
+
+_SQUARE = "(({}) / 255.0::DOUBLE) ** 2"
+
+
+@query(f"""WITH {BLOCKS}, a AS (SELECT frame_id, i, {_SQUARE.format("plane[i + 1]")} AS e, {", ".join(f"{_SQUARE.format(_tap('plane', x, y))} AS {n}" for n, x, y in (("b", 0, -1), ("d", -1, 0), ("f", 1, 0), ("h", 0, 1)))} FROM b, range(64) t(i)),
+w AS (SELECT *, sqrt(greatest(0, least(1, least(least(e, b, d, f, h), 1 - greatest(e, b, d, f, h)) / greatest(e, b, d, f, h, 1e-6)))) * (-1 / 6.8::DOUBLE) AS w FROM a)
+SELECT frame_id, list(CAST(floor(least(255 * (1 - 1e-6), sqrt(greatest(0, least(1, ((b + d + f + h) * w + e) / (1 + 4 * w)))) * 255) + 1e-6) AS INTEGER) ORDER BY i) AS plane FROM w GROUP BY frame_id""")
+def plane_sharpen_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.sharpen_adaptive(p, 8, 8))
+
+
+_RADIUS = "(((i % 8 - 4) ** 2 + (i // 8 - 4) ** 2) / 32.0::DOUBLE)"
+
+
+@query(f"""WITH {BLOCKS}, o AS (SELECT frame_id, plane, i, 1 + 0.3::DOUBLE * {_RADIUS} - 0.1::DOUBLE * {_RADIUS} ** 2 AS s FROM b, range(64) t(i)),
+q AS (SELECT *, 4 + (i % 8 - 4) * s AS x, 4 + (i // 8 - 4) * s AS y FROM o), c AS (SELECT *, CAST(floor(x) AS INTEGER) AS x0, CAST(floor(y) AS INTEGER) AS y0 FROM q),
+v AS (SELECT frame_id, i, sum(CASE WHEN x0 + j % 2 BETWEEN 0 AND 7 AND y0 + j // 2 BETWEEN 0 AND 7 THEN plane[(y0 + j // 2) * 8 + x0 + j % 2 + 1] ELSE 16 END
+  * CASE WHEN j % 2 = 1 THEN x - x0 ELSE 1 - (x - x0) END * CASE WHEN j // 2 = 1 THEN y - y0 ELSE 1 - (y - y0) END) AS v FROM c, range(4) k(j) GROUP BY ALL)
+SELECT frame_id, list(CAST(floor(greatest(0, least(255, v + 0.5)) + 1e-6) AS INTEGER) ORDER BY i) AS plane FROM v GROUP BY frame_id""")
+def plane_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planes(spark, sf_dir, lambda p: spatial.lens(p, 8, 8, 0.3, -0.1, fill=16))
+
+
+
 def _row_sql(plane: str, d: int) -> str:
     inside = f"i // 8 + {d} BETWEEN 0 AND 7"
     other = f"i // 8 - {d}"

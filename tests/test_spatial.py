@@ -49,7 +49,7 @@ def test_resize(spark, name, size):
 
 def test_flat_planes_stay(spark):
     df = planes(spark, np.full((6, 6), 100))
-    made = [spatial.resize(df.p0, 6, 6, 6, 6), spatial.edge_level(df.p0, 6, 6), spatial.diffuse(df.p0, 6, 6), spatial.knn([df.p0] * 3, 6, 6, radius=1), spatial.edge_sharpen(df.p0, 6, 6), spatial.uncomb(df.p0, 6, 6)]
+    made = [spatial.resize(df.p0, 6, 6, 6, 6), spatial.edge_level(df.p0, 6, 6), spatial.diffuse(df.p0, 6, 6), spatial.knn([df.p0] * 3, 6, 6, radius=1), spatial.edge_sharpen(df.p0, 6, 6), spatial.uncomb(df.p0, 6, 6), spatial.smooth_flat(df.p0, 6, 6), spatial.sharpen_adaptive(df.p0, 6, 6), spatial.lens(df.p0, 6, 6)]
     made += [f(df.p0, df.p0, df.p0, 6, 6, b, s) for f in (spatial.yadif, spatial.bwdif) for b in (False, True) for s in (False, True)]
     for plane in df.select(*[m.alias(f"m{k}") for k, m in enumerate(made)]).first():
         assert plane == [100] * 36
@@ -135,3 +135,31 @@ def test_field_times_and_order(spark):
     assert top.plane[:2] == [10, 10] and bottom.plane[2:] == [90, 90] and top.note == "x"
     with pytest.raises(KeyError):
         deinterlace.deinterlace(rows, 2, 2, "other")
+
+
+def test_smoothing_lens_and_adaptive_sharpening(spark):
+    a = np.full((5, 5), 100)
+    a[2, 2] = 110
+    df = planes(spark, a)
+    first = lambda c: np.array(df.select(c.alias("p")).first().p).reshape(5, 5)
+    smooth = first(spatial.smooth_flat(df.p0, 5, 5, times=1))
+    # 510 / 5 in the middle and beside it; the corners of the inner square have two neighbours away from the border, both 100.
+    assert smooth[2].tolist() == [100, 103, 102, 103, 100] and smooth[1].tolist() == [100, 100, 103, 100, 100]
+    assert (first(spatial.smooth_flat(df.p0, 5, 5, threshold=0.0)) == a).all()
+    assert (first(spatial.lens(df.p0, 5, 5)) == a).all()
+    pulled = first(spatial.lens(df.p0, 5, 5, k1=2.0, fill=7))
+    assert pulled[0, 0] == 7 and pulled[2, 2] != 7
+    e, b = 110 / 255, 100 / 255
+    w = -np.sqrt(min(b, 1 - e) / e) / 8
+    assert first(spatial.sharpen_adaptive(df.p0, 5, 5, sharpness=0.0, squared=False))[2, 2] == int((4 * b * w + e) / (1 + 4 * w) * 255 + 1e-6)
+
+
+def test_seek_from_the_first_key_frame(spark):
+    from reelspark.operators import selection
+
+    rows = [(1, k, 10 * k, k == 2) for k in range(6)] + [(2, 0, 999, False), (2, 1, 5000, None)]
+    frames = spark.createDataFrame(rows, "stream_id long, frame_id long, pts long, key boolean")
+    ids = lambda df: sorted((r.stream_id, r.frame_id) for r in df.collect())
+    assert ids(selection.seek(frames, 15, 5, key="key")) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
+    assert ids(selection.seek(frames, 0)) == ids(frames)
+    assert selection.seek(frames.limit(0), 15, key="key").count() == 0
