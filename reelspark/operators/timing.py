@@ -82,3 +82,29 @@ def resolve_output_pts(encoded: DataFrame, known: DataFrame) -> DataFrame:
     found = found.withColumn("last", last).withColumn("k", F.row_number().over(Window.partitionBy("stream_id", "group").orderBy("frame_id")) - 1)
     rest = F.expr("shiftright(last.duration + shiftleft(1L, cast(least(k, 62) AS int)) - 1, cast(least(k, 62) AS int))")  # rounded up
     return found.select("stream_id", "frame_id", F.when(F.col("ok"), F.col("pts")).otherwise(F.col("last.pts") + F.col("last.duration") - rest).alias("pts"), rest.alias("duration"))
+
+
+def repeat_fields(frames: DataFrame) -> DataFrame:
+    """The times that ``folds.RepeatFields`` gives, by windows alone: ``stream_id, frame_id, part, pts, duration, top_first``.
+
+    A field is pending after an odd number of repeating frames, and what follows comes
+    a third of the last one's duration early; a repeating frame that finds one gives
+    two frames. Frames need a pts; a null ``repeats`` counts as false.
+    """
+    cut = lambda x, a, b: F.expr(f"({x}) * {a} div {b}")
+    rows = frames.select("stream_id", "frame_id", "pts", F.coalesce("duration", F.lit(0)).cast("long").alias("d"), F.coalesce("repeats", F.lit(False)).alias("rep"), F.coalesce("top_first", F.lit(False)).alias("top"))
+    gap = F.col("pts") - F.lag("pts").over(in_stream())
+    rows = rows.withColumns({"_gap": gap, "_rep": F.coalesce(F.lag("rep").over(in_stream()), F.lit(False))})
+    rows = rows.withColumn("_gap", F.when(F.col("rep"), cut("_gap", 3, 2)).otherwise(F.col("_gap")))
+    rows = rows.withColumn("_gap", F.when(F.col("_rep"), cut("_gap", 2, 3)).otherwise(F.col("_gap")))
+    rows = rows.withColumn("d", F.when((F.col("d") <= 0) & F.col("_gap").isNotNull(), F.col("_gap")).otherwise(F.col("d")))
+    before = in_stream().rowsBetween(Window.unboundedPreceding, -1)
+    pending = F.count(F.when(F.col("rep"), 1)).over(before) % 2 == 1
+    early = F.last(F.when(F.col("rep"), cut("d", 1, 3)), ignorenulls=True).over(before)
+    rows = rows.withColumns({"_pending": pending, "_early": F.when(pending, early).otherwise(0)})
+    both, lasts = F.col("_pending") & F.col("rep"), cut("d", 2, 3)
+    start, whole = F.col("pts") - F.col("_early"), F.col("d") + F.when(both, F.col("_early")).otherwise(0)
+    length = F.when(both, lasts).when(F.col("rep"), F.col("d") - cut("d", 1, 3)).otherwise(F.col("d"))
+    part = lambda k, at, long: F.struct(F.lit(k).alias("part"), at.alias("pts"), long.alias("duration"))
+    parts = F.when(both, F.array(part(0, start, length), part(1, start + lasts, whole - lasts))).otherwise(F.array(part(0, start, length)))
+    return rows.withColumn("_p", F.explode(parts)).select("stream_id", "frame_id", "_p.part", "_p.pts", "_p.duration", (F.col("top") != F.col("_pending")).alias("top_first"))

@@ -407,6 +407,13 @@ o AS (SELECT *, coalesce(count(*) FILTER (rep) OVER w, 0) % 2 = 1 AS pending, la
 SELECT stream_id, frame_id, 0 AS part, CASE WHEN pending THEN pts + off ELSE pts END AS pts, CASE WHEN pending AND rep THEN CAST(trunc(d * 2 / 3) AS BIGINT) WHEN rep THEN d - CAST(trunc(d / 3) AS BIGINT) ELSE d END AS duration, top <> pending AS top_first FROM o
 UNION ALL SELECT stream_id, frame_id, 1, pts + off + CAST(trunc(d * 2 / 3) AS BIGINT), d - off - CAST(trunc(d * 2 / 3) AS BIGINT), top <> pending FROM o WHERE pending AND rep""")
 def repeat_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_frames(spark, sf_dir).withColumns({"repeats": F.col("frame_type") == "click", "top_first": F.col("frame_id") % 2 == 0})
+    return timing.repeat_fields(rows)
+
+
+@query(ORACLE_SQL["repeat_fields"])
+def repeat_fields_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by the fold, which a streaming query uses."""
     rows = event_frames(spark, sf_dir).withColumns({"repeats": F.col("frame_type") == "click", "top_first": F.col("frame_id") % 2 == 0})
     return fold_streams(rows, folds.RepeatFields)
 

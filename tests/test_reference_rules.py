@@ -88,3 +88,13 @@ def test_two_of_five_frames_go(spark):
     # Last: 8 + 5 lies at the end, not before it, so nothing goes.
     want = [(0, 0), (2, 20 + (2 * 2 - 5) * 20 // 6 + 1), (4, 40 - 2 * 20 // 6), (5, 50), (7, 70 - 1 * 20 // 6), (9, 90 - 2 * 20 // 6), (10, 100), (11, 110), (12, 120)]
     assert [(r.frame_id, r.pts) for r in got.collect()] == want
+
+
+def test_repeated_fields_by_windows_equal_the_fold(spark):
+    from reelspark.operators.fold import fold_streams
+
+    rows = [(s, k, 30 * k + (k * s) % 4 - 5 * (k == 7), (k * 11) % 4 * 10, (k * k + s) % 3 == 0 if k % 5 else None, k % 2 == s % 2) for s in (1, 2, 3) for k in range(25)]
+    frames = spark.createDataFrame(rows, "stream_id long, frame_id long, pts long, duration long, repeats boolean, top_first boolean")
+    want = sorted(map(tuple, fold_streams(frames, folds.RepeatFields).select("stream_id", "frame_id", "part", "pts", "duration", "top_first").collect()))
+    assert sorted(map(tuple, timing.repeat_fields(frames).collect())) == want and len(want) > 75
+    assert timing.repeat_fields(frames.limit(0)).count() == 0
