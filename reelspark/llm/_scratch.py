@@ -46,8 +46,8 @@ class Scratch:
         df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str, deal: bool = True) -> DataFrame:
-        """Writes ``df`` bucketed on ``key``: later joins on that key move only their other side.
+    def bucketed(self, df: DataFrame, key: str | list[str], buckets: int, name: str, deal: bool = True) -> DataFrame:
+        """Writes ``df`` bucketed on ``key`` (one column or more): later joins on that key move only their other side.
 
         Without ``deal`` rows are written by the tasks that have them, in place of a
         shuffle; for keys that stay within one task. There are no more buckets than the
@@ -55,8 +55,9 @@ class Scratch:
         """
         table = f"{self.tag}_{name}"
         buckets = min(buckets, int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-        dealt = df.repartition(buckets, key) if deal else df
-        dealt.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").mode("overwrite").saveAsTable(table)
+        keys = [key] if isinstance(key, str) else key
+        dealt = df.repartition(buckets, *keys) if deal else df
+        dealt.write.bucketBy(buckets, *keys).format("parquet").option("compression", "zstd").mode("overwrite").saveAsTable(table)
         self.tables.append(table)
         place = self._path(self.spark.conf.get("spark.sql.warehouse.dir"), table)
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontam, language, licenses, lm_score, near_dup, packing, quality, suffix_dedup, url_filter, warc
+from reelspark.llm import decontam, fim, language, licenses, lm_score, near_dup, nnls_packing, packing, quality, search, suffix_dedup, url_filter, warc
 from reelspark.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -76,7 +76,20 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnls_packing.packed(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_warc, op3_quality, op4_language, op5_packing, op6_lm_score, op7_decontamination, op8_licenses, op9_url_filter, op10_near_dup)
+    for f in (op1_suffix_dedup, op2_warc, op3_quality, op4_language, op5_packing, op6_lm_score, op7_decontamination, op8_licenses, op9_url_filter, op10_near_dup, op11_nnls_packing, op12_fill_in_middle, op13_lexical_search)
 }
