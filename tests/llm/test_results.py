@@ -231,6 +231,16 @@ def test_decontamination_on_edges(spark):
     assert (wide[3], wide[6], wide[7], wide[0]) == ((3, 1), (5, 1), (0, 0), (0, 0))
 
 
+def test_warc_without_ids_and_with_repeats(spark):
+    big = "long payload " * 100
+    rows = [(None, "http://a/", big), (None, None, None), (4, "http://b/", big), (4, "http://b/", big), (3, None, big), (9, "http://c/", "short")]
+    got = warc.page_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    n = len(big)
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=key) == sorted([(None, n, "response", None), (None, 0, "response", None), (4, n, "response", None), (4, n, "response", None), (3, n, "revisit", 4), (9, 5, "response", None)], key=key)
+    assert all(r.payload_digest == hashlib.sha1(big.encode()).hexdigest() for r in got if r.payload_bytes == n)
+
+
 @pytest.mark.parametrize("op", ["repeated_passages", "near_duplicates", "document_rules", "license_scan", "packed", "score_texts", "contamination", "page_round_trip", "judge_urls", "identify"])
 def test_empty_tables(spark, op):
     docs = frame(spark, ["x"]).limit(0)
