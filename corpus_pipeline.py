@@ -3,9 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and is written as Parquet before the next
 one reads it. All stages but the last return the columns of ``documents``. Ids may be
 null or repeated: rows of the same id and text count once, other rows are documents of
-their own. Null and empty texts fail the quality rules. Long texts go through whole. An
+their own. Null and empty texts fail the quality rules. Long texts go through whole, but for
+texts of 256 MB or more, which stop the suffix-array stage with an error. An
 empty table gives an empty one at every stage. Columns besides ``doc_id``, ``text``,
-``source`` and ``n_chars`` pass unread.
+``source`` and ``n_chars`` pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +23,24 @@ from reelspark.llm.queries import table, tokenizer_path
 ORACLE_SQL: str | None = None
 
 
-def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique ``_key``, the id where ids are unique; of rows of the same id and text one is left."""
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique key, the id where ids are unique, and its name; of rows of the same id and text one is left."""
+    key = free(docs, "_key")
     if not has_repeats(docs, "doc_id"):
-        return docs.withColumn("_key", F.col("doc_id"))
+        return docs.withColumn(key, F.col("doc_id")), key
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = F.min(F.struct(*rest)) if rest else F.lit(None)
-    once = docs.withColumn("_key", row_key("doc_id", "text")).groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), least.alias("_rest"))
-    once = once.select(*[F.col(c if c in ("doc_id", "text") else f"_rest.{c}").alias(c) for c in docs.columns], "_key")
-    return Scratch(spark, "keyed").stage(once, "docs")
+    once = docs.withColumn(key, row_key("doc_id", "text")).groupBy(key).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), least.alias("_rest"))
+    once = once.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns], key)
+    return Scratch(spark, "keyed").stage(once, "docs"), key
 
 
 def with_text(docs: DataFrame, new: Column, changed: Column) -> DataFrame:
@@ -43,46 +53,47 @@ def with_text(docs: DataFrame, new: Column, changed: Column) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't depleted, without the lines that are frequent on their host."""
-    columns, docs = docs.columns, keyed(spark, docs)
-    found = quality.document_rules(docs, "_key", frequent_lines=True).where("kept").select(F.col("id").alias("_key"), F.col("frequent_lines").alias("_lines"))
-    return with_text(docs.join(found, "_key"), quality.without_lines(F.col("text"), F.col("_lines")), F.col("_lines").isNotNull()).select(*columns)
+    columns, (docs, key) = docs.columns, keyed(spark, docs)
+    lines = free(docs, "_lines")
+    found = quality.document_rules(docs, key, frequent_lines=True).where("kept").select(F.col("id").alias(key), F.col("frequent_lines").alias(lines))
+    return with_text(docs.join(found, key), quality.without_lines(F.col("text"), F.col(lines)), F.col(lines).isNotNull()).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    columns, repeats, docs = docs.columns, has_repeats(docs, "doc_id"), keyed(spark, docs)
-    judged = docs.select("_key", "doc_id", "text")
-    kept = near_dup.near_duplicates(judged, "_key")
+    columns, repeats, (docs, key) = docs.columns, has_repeats(docs, "doc_id"), keyed(spark, docs)
+    kept = near_dup.near_duplicates(docs.select(key, "text"), key)
     if repeats:  # keys aren't in the order of ids then
-        groups = kept.select(F.col("id").alias("_key"), "component_id").join(judged.select("_key", "doc_id"), "_key")
-        kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
+        groups = kept.select(F.col("id").alias(key), "component_id").join(docs.select(key, "doc_id"), key)
+        kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias(key))
     else:
-        kept = kept.where("kept").select(F.col("id").alias("_key"))
-    return docs.join(kept, "_key", "left_semi").select(*columns)
+        kept = kept.where("kept").select(F.col("id").alias(key))
+    return docs.join(kept, key, "left_semi").select(*columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that occur elsewhere too; a text that loses all of itself goes."""
-    columns, docs = docs.columns, keyed(spark, docs)
-    cut = suffix_dedup.repeated_passages(docs, "_key").where("n_removed = 0 OR kept_text <> ''")
-    cut = cut.select(F.col("id").alias("_key"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("_new"))
-    return with_text(docs.join(cut, "_key"), F.col("_new"), F.col("_new").isNotNull()).select(*columns)
+    columns, (docs, key) = docs.columns, keyed(spark, docs)
+    new = free(docs, "_new")
+    cut = suffix_dedup.repeated_passages(docs, key).where("n_removed = 0 OR kept_text <> ''")
+    cut = cut.select(F.col("id").alias(key), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias(new))
+    return with_text(docs.join(cut, key), F.col(new), F.col(new).isNotNull()).select(*columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    columns, docs = docs.columns, keyed(spark, docs)
-    clean = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), "_key").where("NOT contaminated").select(F.col("id").alias("_key"))
-    return docs.join(clean, "_key", "left_semi").select(*columns)
+    columns, (docs, key) = docs.columns, keyed(spark, docs)
+    clean = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), key).where("NOT contaminated").select(F.col("id").alias(key))
+    return docs.join(clean, key, "left_semi").select(*columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, packed into sequences of 4096 tokens."""
     if not has_repeats(docs, "doc_id"):
         return packing.packed(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
-    docs = keyed(spark, docs)
-    out = packing.packed(docs, tokenizer_path(), "_key")
-    return out.withColumnRenamed("id", "_key").join(docs.select("_key", "doc_id"), "_key").select(*["doc_id" if c == "id" else c for c in out.columns])
+    docs, key = keyed(spark, docs.select("doc_id", "text"))
+    out = packing.packed(docs, tokenizer_path(), key)
+    return out.withColumnRenamed("id", key).join(docs.select(key, "doc_id"), key).select(*["doc_id" if c == "id" else c for c in out.columns])
 
 
 STAGES = [
