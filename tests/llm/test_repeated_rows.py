@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.llm import decontam, suffix_dedup
@@ -44,6 +45,29 @@ def test_repeated_rows_of_the_pipeline(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in packed.collect()) == [-1, 0, 1, 2]
 
 
+@pytest.mark.parametrize("repeats", [False, True])
+def test_clashing_columns_and_empty_tables_of_the_pipeline(spark, repeats):
+    """Columns named like those inside pass through every stage as they are."""
+    import corpus_pipeline
+
+    sf, names = "/root/testdata/sf0.001", ["_key", "_lines", "_new", "_rest", "_text", "id", "text_", "component_id", "kept", "n_removed", "kept_text"]
+    # Every text has a line that is frequent on its host, and two share a passage.
+    shared = words(50, 40)
+    texts = [words(k, 90) + ("" if k > 1 else " " + shared) + "\nthe line that all of them have" for k in range(24)]
+    pairs = [*enumerate(texts)] + ([(3, texts[3]), (None, words(77, 90))] if repeats else [])
+    docs = rows(spark, *pairs).withColumn("source", F.lit("host")).withColumns({c: F.lit(f"own {c}") for c in names})
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, none = stage(spark, docs, sf).persist(), stage(spark, none, sf)
+        assert docs.columns == none.columns == ["doc_id", "text", "source", "lang", "n_chars", *names]
+        assert docs.select(*names).distinct().collect() == [tuple(f"own {c}" for c in names)] and none.collect() == []
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == (25 if repeats else 24) and not any("the line that all" in t or shared in t for t in got.values())
+    assert all(r.n_chars == len(r.text) for r in docs.collect())
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, none, sf).collect() == [] and {r.doc_id for r in packed(spark, docs, sf).collect()} == set(got)
+
+
 def test_repeated_rows_of_packing_and_near_duplicates(spark):
     from reelspark.llm import near_dup, packing, quality
     from reelspark.llm.queries import tokenizer_path
