@@ -12,10 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Rows, and bytes of planes, that a task hands over at once.
+BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
+
+
 class Fold:
     """State of one stream. Subclasses take their parameters in ``__init__`` and must be picklable."""
 
@@ -31,6 +37,16 @@ class Fold:
         return []
 
 
+def column_values(column: pa.Array) -> list:
+    """A column's values; lists of numbers come as numpy arrays."""
+    kind = column.type
+    if not pa.types.is_list(kind) or not (pa.types.is_integer(kind.value_type) or pa.types.is_floating(kind.value_type)) or column.values.null_count:
+        return column.to_pylist()
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    there = np.ones(len(column), bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], there)]
+
+
 def fold_streams(frames: DataFrame, make: Callable[[], Fold], by: Sequence[str] = ("stream_id",), order: Sequence[str] = ("frame_id",)) -> DataFrame:
     """The rows of a fresh fold for each stream: the columns ``by`` and those that the fold gives."""
     probe = make()
@@ -43,25 +59,31 @@ def fold_streams(frames: DataFrame, make: Callable[[], Fold], by: Sequence[str]
     names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fold, out = None, None, []
+        key, fold, out, held = None, None, [], 0
 
         def batch() -> pa.RecordBatch:
             rows = {n: [r.get(n) for r in out] for n in names}
             out.clear()
             return pa.RecordBatch.from_pydict(rows, schema=arrow)
 
+        def add(rows: list[dict]) -> int:
+            out.extend(dict(zip(by, key)) | r for r in rows)
+            return sum(v.nbytes for r in rows for v in r.values() if isinstance(v, np.ndarray))
+
         for rows in batches:
-            for row in rows.to_pylist():
+            for values in zip(*map(column_values, rows.columns)):
+                row = dict(zip(columns, values))
                 now = tuple(row[c] for c in by)
                 if fold is None or now != key:
                     if fold is not None:
-                        out += [dict(zip(by, key)) | r for r in fold.finish()]
+                        held += add(fold.finish())
                     key, fold = now, make()
-                out += [dict(zip(by, key)) | r for r in fold.push(row)]
-                if len(out) >= 4096:
+                held += add(fold.push(row))
+                if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
                     yield batch()
+                    held = 0
         if fold is not None:
-            out += [dict(zip(by, key)) | r for r in fold.finish()]
+            add(fold.finish())
         if out:
             yield batch()
 

@@ -75,6 +75,14 @@ def read_grain_table(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("file", number(0).alias("start"), number(1).alias("end"), number(2).alias("apply"), number(3).alias("seed"), number(4).alias("update"), body.alias("params"))
 
 
+def write_grain_table(entries: DataFrame, path: str) -> None:
+    """A film-grain table as one text file from ``start, end, apply, seed, update, params``, in order of start; ``params`` stand on a line of their own."""
+    head = F.concat_ws(" ", F.lit("E"), *[F.col(c).cast("string") for c in ("start", "end", "apply", "seed", "update")])
+    lines = entries.select(F.struct("start", "end", F.concat(head, F.lit("\n\t"), F.coalesce("params", F.lit(""))).alias("text")).alias("x"))
+    table = lines.agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.concat_ws("\n", F.lit(GRAIN_HEADER), F.transform("x", lambda x: x["text"])).alias("value"))
+    table.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_packet_index(packets: DataFrame, path: str) -> None:
     """The packet index as CSV with a header."""
     packets.select("poc", "pts", "dts", "duration", "duration2", "flags", "repeat_pict", "pic_struct").write.mode("overwrite").option("header", True).csv(path)
