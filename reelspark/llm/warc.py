@@ -199,8 +199,11 @@ def page_round_trip(pages: DataFrame, **options) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "warc")
     whole = scratch.stage(write_archives(pages, **options), "monolithic")
     normal = scratch.stage(normalise(whole), "members")
+    scratch.drop("monolithic")
     key = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    read = scratch.stage(read_records(normal), "records")
+    read = scratch.stage(read_records(normal), "records", compression="zstd")
+    scratch.drop("members")
+    scratch.release()
     lengths = read.where("record_type = 'response' AND record_id IS NOT NULL").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("n").alias("n_response"))
     revisits = read.where("refers_to IS NOT NULL").join(lengths, "refers_to", "left").withColumn("n", F.col("n_response")).select(*read.columns)
     read = read.where("refers_to IS NULL").unionByName(revisits)
