@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from reelspark.llm._bytes import chunks
 from reelspark.llm._scratch import Scratch
-from reelspark.llm.packing import _Words, best_fit
+from reelspark.llm.packing import best_fit, words_of
 
 #: Pieces that one node packs, sequence numbers that it has, and sweeps of the solver over all combinations.
 NODE_ITEMS = 4_000
@@ -110,7 +110,7 @@ def _pieces(path: str, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, made = _Words(path), TaskContext.get().partitionId(), 0
+        words, part, made = words_of(path), TaskContext.get().partitionId(), 0
         seen = [0] * (window + 1)
         for rows, _, _ in chunks(batches, "text"):
             out = []

@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +91,17 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=2)
+def words_of(path: str) -> _Words:
+    """Of this worker, which keeps what it has tokenised from task to task."""
+    return _Words(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(path)
+        words = words_of(path)
         for rows, _, _ in chunks(batches, "text"):
             out = []
             for key, text in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist()):
