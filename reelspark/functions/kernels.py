@@ -362,3 +362,17 @@ def decomb(planes: Sequence[np.ndarray], full: bool = True, threshold: int = 20,
             made = np.where(mask & odd[:, None], up + down + 1 >> 1, p)
         out.append(made)
     return out, True
+
+
+# ---- quality
+
+
+def plane_ssim(a: np.ndarray, b: np.ndarray, peak: int = 255) -> float:
+    """Mean structural similarity over all windows of eight by eight samples, four apart; rows and columns that don't fill a block of four are left out."""
+    height, width = (n // 4 * 4 for n in a.shape)
+    a, b = (p[:height, :width].astype(np.int64) for p in (a, b))
+    blocks = np.stack([v.reshape(height // 4, 4, width // 4, 4).sum((1, 3)) for v in (a, b, a * a + b * b, a * b)])
+    s1, s2, squares, cross = (blocks[:, :-1, :-1] + blocks[:, 1:, :-1] + blocks[:, :-1, 1:] + blocks[:, 1:, 1:]).astype(float)
+    c1, c2 = 0.01**2 * peak**2 * 64, 0.03**2 * peak**2 * 64 * 63
+    spread, joint = 64 * squares - s1 * s1 - s2 * s2, 64 * cross - s1 * s2
+    return float(((2 * s1 * s2 + c1) * (2 * joint + c2) / ((s1 * s1 + s2 * s2 + c1) * (spread + c2))).mean())

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.functions import kernels
-from reelspark.operators import plane_map, pulldown, telecine
+from reelspark.functions import kernels, user
+from reelspark.operators import deinterlace, plane_map, pulldown, telecine
 from reelspark.operators.fold import fold_streams
 from reelspark.sources import frame_files, text
 from reelspark.sources.frames import block_frames, event_frames, in_stream
 from reelspark.sources.shared import shared_folder
-from reelspark.timeline_queries import BLOCKS, FRAMES, START, _tap, query
+from reelspark.timeline_queries import BLOCKS, FRAMES, START, _kernel_sql, _tap, query
 
 # ---- files
 
@@ -291,3 +292,72 @@ SELECT stream_id, frame_id, combed, list_transform(range(64), lambda i: CASE WHE
 def decomb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With five combed samples of a box instead of fifteen, as blocks are small."""
     return plane_map.decomb(block_frames(spark, sf_dir), 8, full=False, box_limit=5)
+
+
+# ---- rates, quality, functions of the user's own
+
+
+@query(f"""WITH {FRAMES}, l AS (SELECT *, lag(pts) OVER (PARTITION BY stream_id ORDER BY frame_id) AS p FROM f), n AS (SELECT *, pts - p AS span, unnest(CASE WHEN p IS NULL THEN [3] ELSE [1, 2, 3] END) AS part FROM l)
+SELECT stream_id, frame_id, CAST(part AS INTEGER) AS part, CASE WHEN part = 3 THEN pts WHEN span > 0 THEN p + span * part // 3 ELSE p END AS pts, CASE WHEN span > 0 THEN span // 3 ELSE duration END AS duration, part / 3.0::DOUBLE AS position FROM n""")
+def multiplied_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames between each two."""
+    out = deinterlace.multiply_frames(event_frames(spark, sf_dir), 3)
+    return out.select("stream_id", "frame_id", "part", "pts", "duration", "position")
+
+
+_TICKS = 21_600_000_000
+# The places before a frame that lie more than an eighth away, then the first one that is near.
+@query(f"""WITH RECURSIVE {FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM f),
+w AS (SELECT stream_id, frame_id, n, pts AS now, pts AS base, NULL::BIGINT AS before, [0::BIGINT] AS ks, pts AS last FROM n WHERE n = 1
+  UNION ALL SELECT stream_id, frame_id, n, pts, last, now, ks, coalesce(last + list_max(ks) * {_TICKS}, last) FROM (
+    SELECT n.stream_id, n.frame_id, n.n, n.pts, w.last, w.now, list_concat(range(1, greatest(1, CAST(ceil((n.pts - {_TICKS // 8} - w.last) / {_TICKS}::DOUBLE) AS BIGINT))),
+      list_filter([greatest(1, CAST(ceil((n.pts - {_TICKS // 8} - w.last) / {_TICKS}::DOUBLE) AS BIGINT))], lambda k: abs(w.last + k * {_TICKS} - n.pts) <= {_TICKS // 8} OR w.last + k * {_TICKS} <= n.pts)) AS ks
+    FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)),
+o AS (SELECT w.stream_id, w.frame_id, w.n, k, w.base + k * {_TICKS} AS pts, w.now, w.before FROM (SELECT *, unnest(ks) AS k FROM w) w)
+SELECT o.stream_id, o.frame_id, CAST(k AS INTEGER) AS part, o.pts, CASE WHEN o.n = 1 THEN n.duration ELSE {_TICKS} END AS duration, abs(o.pts - now) <= {_TICKS // 8} AS copied,
+  CASE WHEN abs(o.pts - now) <= {_TICKS // 8} THEN 1 ELSE round((o.pts - before) / (now - before)::DOUBLE, 6) END AS position FROM o JOIN n ON n.stream_id = o.stream_id AND n.n = o.n""")
+def converted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame every six hours."""
+    out = fold_streams(event_frames(spark, sf_dir), lambda: deinterlace.RateConversion((_TICKS, 1)))
+    return out.withColumn("position", F.round("position", 6))
+
+
+_SUMS = "list_transform({0}, lambda x: {1})"
+
+
+def _ssim_sql(a: str, b: str) -> str:
+    total = lambda v: f"CAST(list_sum({v}) AS DOUBLE)"
+    s1, s2 = total(a), total(b)
+    q = f"({total(_SUMS.format(a, 'x * x'))} + {total(_SUMS.format(b, 'x * x'))})"
+    c = total(f"list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2])")
+    c1, c2 = 0.01**2 * 255**2 * 64, 0.03**2 * 255**2 * 64 * 63
+    return f"(2 * {s1} * {s2} + {c1!r}::DOUBLE) * (2 * (64 * {c} - {s1} * {s2}) + {c2!r}::DOUBLE) / (({s1} * {s1} + {s2} * {s2} + {c1!r}::DOUBLE) * (64 * {q} - {s1} * {s1} - {s2} * {s2} + {c2!r}::DOUBLE))"
+
+
+# Eight samples a row, so the windows of a column of blocks are runs of 64, 32 apart.
+@query(f"""WITH {BLOCKS}, a AS (SELECT stream_id, frame_id, list_concat(plane, list_reverse(plane), list_transform(plane, lambda x: 255 - x), plane) AS y, plane AS u FROM b),
+p AS (SELECT stream_id, frame_id, y, u, list_transform(y, lambda x: x // 16 * 16) AS y2, list_transform(u, lambda x: x // 8 * 8) AS u2 FROM a),
+w AS (SELECT stream_id, frame_id, avg({_ssim_sql("y[k * 32 + 1 : k * 32 + 64]", "y2[k * 32 + 1 : k * 32 + 64]")}) AS sy FROM p, range(7) t(k) GROUP BY stream_id, frame_id),
+e AS (SELECT p.stream_id, sy, {_ssim_sql("u", "u2")} AS su, list_sum(list_transform(list_zip(y, y2), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 256.0::DOUBLE AS ey, list_sum(list_transform(list_zip(u, u2), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64.0::DOUBLE AS eu FROM p JOIN w ON p.stream_id = w.stream_id AND p.frame_id = w.frame_id),
+r AS (SELECT stream_id, 'y' AS plane, count(*) AS frames, avg(sy) AS s, avg(ey) AS e FROM e GROUP BY stream_id UNION ALL SELECT stream_id, 'u', count(*), avg(su), avg(eu) FROM e GROUP BY stream_id
+  UNION ALL SELECT stream_id, 'all', count(*), avg(sy * 0.8::DOUBLE + su * 0.2::DOUBLE), avg(ey * 0.8::DOUBLE + eu * 0.2::DOUBLE) FROM e GROUP BY stream_id)
+SELECT stream_id, plane, frames, round(s, 6) AS ssim, round(-10 * log10(1 - s), 4) AS ssim_db, round(10 * log10(65025 / e), 4) AS psnr FROM r""")
+def frame_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of 8 by 32 and of 8 by 8 samples against themselves in steps of 16 and 8."""
+    own = F.col("plane")
+    source = block_frames(spark, sf_dir).select("stream_id", "frame_id", F.concat(own, F.reverse(own), F.transform(own, lambda x: 255 - x), own).alias("y"), own.alias("u"))
+    coded = source.withColumns({"y": F.transform("y", lambda x: x - x % 16), "u": F.transform("u", lambda x: x - x % 8)})
+    return plane_map.frame_quality(source, coded, {"y": 8, "u": 8}).withColumns({"ssim": F.round("ssim", 6), "ssim_db": F.round("ssim_db", 4), "psnr": F.round("psnr", 4)})
+
+
+@query(_kernel_sql("list_transform(plane, lambda x: CASE WHEN x < 128 THEN x ELSE 255 - x END)"))
+def user_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples turned over above the middle, by a function on samples."""
+    solarise = user.sample_kernel(lambda x: np.where(x < 128, x, 255 - x))
+    return block_frames(spark, sf_dir).select("frame_id", solarise(F.col("plane")).alias("plane"))
+
+
+@query(f"""WITH {BLOCKS} SELECT stream_id, frame_id, list_transform(range(64), lambda i: CAST(floor(plane[i + 1] * (1 - ((i % 8 + 0.5::DOUBLE) / 8 - 0.5::DOUBLE) ** 2 - ((i // 8 + 0.5::DOUBLE) / 8 - 0.5::DOUBLE) ** 2)) AS INTEGER)) AS plane FROM b""")
+def user_shader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Darker towards the corners, by a function on planes and places."""
+    return user.shade(block_frames(spark, sf_dir), 8, lambda x, y, p: np.floor(p * (1 - (x - 0.5) ** 2 - (y - 0.5) ** 2)))

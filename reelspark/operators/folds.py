@@ -78,7 +78,7 @@ class RegularizeTimestamps(Fold):
 
 
 class DropRepeats(Fold):
-    """Drops frames like the last kept one, by 8x8 blocks of ``plane`` (rows of ``width`` samples).
+    """Drops frames like the last kept one, by 8x8 blocks of ``plane`` (rows of ``width`` samples), or of all ``planes`` (their columns with the widths).
 
     A frame is alike if no block's absolute difference exceeds ``high`` and at most
     ``share`` of the blocks exceed ``low``. ``keep`` alike frames in a row stay before
@@ -89,19 +89,21 @@ class DropRepeats(Fold):
     reads = ("plane",)
     gives = "frame_id long, dropped boolean"
 
-    def __init__(self, width: int = 8, high: int = 768, low: int = 320, share: float = 0.33, keep: int = 0, most: int = 0, bitdepth: int = 8):
-        self.width, self.high, self.low = width, high << (bitdepth - 8), low << (bitdepth - 8)
+    def __init__(self, width: int = 8, high: int = 768, low: int = 320, share: float = 0.33, keep: int = 0, most: int = 0, bitdepth: int = 8, planes: dict[str, int] | None = None):
+        self.planes = planes or {"plane": width}
+        self.reads = tuple(self.planes)
+        self.high, self.low = high << (bitdepth - 8), low << (bitdepth - 8)
         self.share, self.keep, self.most = share, keep, most
         self.kept = self.waiting = None
         self.run, self.drops = 0, 0
 
-    def _blocks(self, plane) -> np.ndarray:
-        p = np.asarray(plane, np.int64).reshape(-1, self.width)
-        return np.pad(p, [(0, -n % 8) for n in p.shape])
+    def _blocks(self, row) -> list[np.ndarray]:
+        made = [np.asarray(row[name], np.int64).reshape(-1, width) for name, width in self.planes.items()]
+        return [np.pad(p, [(0, -n % 8) for n in p.shape]) for p in made]
 
-    def alike(self, plane) -> bool:
-        gap = np.abs(plane - self.kept)
-        sums = gap.reshape(gap.shape[0] // 8, 8, -1, 8).sum((1, 3))
+    def alike(self, planes) -> bool:
+        gaps = [np.abs(a - b) for a, b in zip(planes, self.kept)]
+        sums = np.concatenate([g.reshape(g.shape[0] // 8, 8, -1, 8).sum((1, 3)).ravel() for g in gaps])
         return bool((sums <= self.high).all() and (sums > self.low).sum() <= int(sums.size * self.share + 0.5))
 
     def _settle(self, last: bool) -> dict:
@@ -118,7 +120,7 @@ class DropRepeats(Fold):
         return {"frame_id": frame, "dropped": drop}
 
     def push(self, row):
-        plane = self._blocks(row["plane"])
+        plane = self._blocks(row)
         if self.kept is None:
             self.kept = plane
             return [{"frame_id": row["frame_id"], "dropped": False}]

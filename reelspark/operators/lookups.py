@@ -52,10 +52,11 @@ def dynamic_rate_control(frames: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def film_grain(frames: DataFrame, table: DataFrame) -> DataFrame:
-    """Frames with the seed and parameters of the interval ``start <= pts < end``; ``off`` and a null seed where there is none. Intervals don't overlap."""
+    """Frames with the seed and parameters of the interval ``start <= pts < end``; ``off`` and a null seed where there is none. Of intervals that overlap the one that ends first counts, then the one that starts first."""
     side = table.select(F.col("start").alias("_s"), F.col("end").alias("_e"), "seed", "params")
     hits = _in_ranges(frames, "pts", side, "_s", "_e", False)
-    return frames.join(hits.select("pts", "seed", "params"), "pts", "left").select(*frames.columns, "seed", F.coalesce("params", F.lit("off")).alias("params"))
+    best = F.min_by(F.struct("seed", "params"), F.struct("_e", "_s", "seed", "params")).alias("x")
+    return frames.join(hits.groupBy("pts").agg(best), "pts", "left").select(*frames.columns, "x.seed", F.coalesce("x.params", F.lit("off")).alias("params"))
 
 
 def forced_keyframes(frames: DataFrame, key_frames: DataFrame) -> DataFrame:

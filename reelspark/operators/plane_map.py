@@ -151,3 +151,34 @@ class LowPass(Fold):
             now = kernels.low_pass(self.before, now, self.temporal)
         self.before = now
         return [{"frame_id": row["frame_id"], "plane": np.floor(np.clip(now, 0, 1) * self.peak + 0.5).astype(np.int32).ravel()}]
+
+
+def frame_quality(source: DataFrame, encoded: DataFrame, planes: dict[str, int], peak: int = 255) -> DataFrame:
+    """Per stream: frames, mean SSIM and PSNR of each of ``planes`` (columns with their widths) and of all, in order ``all`` then the planes.
+
+    Planes weigh by their samples. Frames pair by place in their stream; those without a
+    partner are left out. dB are null where there is no error.
+    """
+    number = lambda df, mark: df.select("stream_id", F.row_number().over(in_stream()).alias("n"), *[F.col(c).alias(f"{mark}{c}") for c in planes])
+    pairs = number(source, "a_").join(number(encoded, "b_"), ["stream_id", "n"])
+    columns = [f"{mark}{c}" for c in planes for mark in ("a_", "b_")]
+
+    def work(*flat: np.ndarray) -> dict:
+        out = {"ssim": [], "error": [], "samples": []}
+        for a, b, width in zip(flat[::2], flat[1::2], planes.values()):
+            a, b = a.reshape(-1, width), b.reshape(-1, width)
+            out["ssim"].append(kernels.plane_ssim(a, b, peak))
+            out["error"].append(int(((a.astype(np.int64) - b) ** 2).sum()))
+            out["samples"].append(a.size)
+        return out
+
+    scored = map_planes(pairs, columns, work, "ssim array<double>, error array<long>, samples array<long>", 1, keep=("stream_id",))
+    scored = scored.where("ssim IS NOT NULL")
+    each = scored.select("stream_id", F.posexplode(F.arrays_zip("ssim", "error", "samples")).alias("k", "x"), F.aggregate("samples", F.lit(0).cast("long"), lambda s, v: s + v).alias("whole"))
+    share = F.col("x.samples") / F.col("whole")
+    rows = each.select("stream_id", F.explode(F.array(F.struct((F.col("k") + 1).alias("k"), F.col("x.ssim").alias("s"), (F.col("x.error") / F.col("x.samples")).alias("e")), F.struct(F.lit(0).alias("k"), (F.col("x.ssim") * share).alias("s"), (F.col("x.error") / F.col("x.samples") * share).alias("e")))).alias("y"))
+    sums = rows.groupBy("stream_id", "y.k").agg(F.sum("y.s").alias("s"), F.sum("y.e").alias("e"), F.count("*").alias("c"))
+    frames = F.when(F.col("k") == 0, F.col("c") / len(planes)).otherwise(F.col("c"))
+    names = F.array(F.lit("all"), *map(F.lit, planes))
+    s, e = F.col("s") / frames, F.col("e") / frames
+    return sums.select("stream_id", F.get(names, F.col("k")).alias("plane"), frames.cast("long").alias("frames"), s.alias("ssim"), F.when(1 - s > 1e-12, -10 * F.log10(1 - s)).alias("ssim_db"), F.when(e > 0, 10 * F.log10(peak**2 / e)).alias("psnr"))

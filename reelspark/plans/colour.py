@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelspark.functions.spatial import bound
+
 # Luma weights of red and blue by matrix name.
 LUMA = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722), "bt2020nc": (0.2627, 0.0593)}
 # Chromaticities of red, green, blue and white by name.
@@ -93,13 +95,15 @@ def conversion(source: str, target: str, gamma: float = 2.4, tone: PerChannel |
 def apply(pixels: Column, steps: list[Matrix | PerChannel]) -> Column:
     """Sends an array of ``struct<a, b, c>`` (doubles) through the steps in one pass over the array."""
 
-    def one(p: Column) -> Column:
-        c = [p["a"], p["b"], p["c"]]
-        for step in steps:
-            if isinstance(step, Matrix):
-                c = [sum((c[k] * row[k] for k in range(3)), F.lit(0.0)) + off for row, off in zip(step.m, step.offset)]
-            else:
-                c = [step.of(x) for x in c]
-        return F.struct(c[0].alias("a"), c[1].alias("b"), c[2].alias("c"))
-
-    return F.transform(pixels, one)
+    def one(p: Column, left: list[Matrix | PerChannel]) -> Column:
+        if not left:
+            return p
+        step, c = left[0], [p["a"], p["b"], p["c"]]
+        if isinstance(step, Matrix):
+            c = [sum((c[k] * row[k] for k in range(3)), F.lit(0.0)) + off for row, off in zip(step.m, step.offset)]
+        else:
+            c = [step.of(x) for x in c]
+        made = F.struct(c[0].alias("a"), c[1].alias("b"), c[2].alias("c"))
+        return bound(made, lambda q: one(q, left[1:])) if left[1:] else made  # each step is worked out once, however often the next one mentions it
+
+    return F.transform(pixels, lambda p: one(p, steps))

@@ -57,6 +57,19 @@ def read_matroska_chapters(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("start_ms", "name")).alias("id"), "start_ms", "name")
 
 
+def read_apple_chapters(spark: SparkSession, path: str) -> DataFrame:
+    """Chapters of the Apple XML form (``<TextSample sampleTime="00:00:10.500">name</TextSample>``) as ``file, id, start_ms, name``, numbered in the order of the file.
+
+    Samples without a time or with one that can't be read are left out; one without text has a null name.
+    """
+    rows = spark.read.option("rowTag", "TextSample").schema("_sampleTime string, _VALUE string").xml(path)
+    at = r"^(\d+):(\d+)[:.](\d+)[:.](\d{1,3})"
+    part = lambda k: F.regexp_extract("_sampleTime", at, k).cast("long")
+    ms = F.when(F.col("_sampleTime").rlike(at), ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4))
+    rows = rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), ms.alias("start_ms"), F.nullif(F.trim("_VALUE"), F.lit("")).alias("name")).where("start_ms IS NOT NULL")
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("place")).alias("id"), "start_ms", "name")
+
+
 def read_keyframes(spark: SparkSession, path: str) -> DataFrame:
     """One frame id per line as ``frame_id``; lines that hold no number are ignored."""
     return spark.read.text(path).select(F.trim("value").try_cast("long").alias("frame_id")).where("frame_id IS NOT NULL").distinct()

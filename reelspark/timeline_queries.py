@@ -307,12 +307,25 @@ def join_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.join_chunks(parts).select("stream_id", "chunk", "frame_id", "pts")
 
 
-@query()
+_STEPS = f"n AS (SELECT *, CASE WHEN duration > 0 THEN duration ELSE {6 * HOUR} END AS lasts, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM f)"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, {_STEPS},
+w AS (SELECT stream_id, frame_id, n, pts AS origin, 0::BIGINT AS ts, lasts, lasts AS expected FROM n WHERE n = 1
+  UNION ALL SELECT stream_id, frame_id, n, CASE WHEN far THEN origin + t - forward ELSE origin END, CASE WHEN ts < t THEN t WHEN far THEN forward ELSE ts + {6 * HOUR // 4} END, lasts, CASE WHEN far THEN forward ELSE expected END + lasts FROM (
+    SELECT n.*, w.origin, w.ts, w.expected, n.pts - w.origin AS t, w.ts - (n.pts - w.origin) >= {1024 * 6 * HOUR} AS far, greatest(w.expected, w.ts + {6 * HOUR}) AS forward FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1))
+SELECT stream_id, frame_id, ts AS pts, lasts AS duration, false AS inserted FROM w""")
 def regularize_vfr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_streams(event_frames(spark, sf_dir), lambda: folds.RegularizeTimestamps(6 * HOUR))
 
 
-@query()
+# Of the rows of one step those before the frame's own are inserted.
+@query(f"""WITH RECURSIVE {FRAMES}, {_STEPS},
+w AS (SELECT stream_id, frame_id, n, pts AS origin, 0::BIGINT AS first, 0::BIGINT AS added, false AS gone, {6 * HOUR}::BIGINT AS expected FROM n WHERE n = 1
+  UNION ALL SELECT stream_id, frame_id, n, origin + CASE WHEN jumps THEN late ELSE 0 END, expected, added, gone, CASE WHEN gone THEN expected ELSE expected + (added + 1) * {6 * HOUR} END FROM (
+    SELECT *, d <= -{7 * 6 * HOUR // 8} AS gone, CASE WHEN d >= {7 * 6 * HOUR // 8} THEN (d - {7 * 6 * HOUR // 8}) // {6 * HOUR} + 1 ELSE 0 END AS added FROM (
+      SELECT *, CASE WHEN jumps THEN 0 ELSE late END AS d FROM (SELECT n.*, w.origin, w.expected, n.pts - w.origin - w.expected AS late, abs(n.pts - w.origin - w.expected) >= {18000 * 6 * HOUR} AS jumps FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1))))
+SELECT stream_id, frame_id, first + k * {6 * HOUR} AS pts, CAST({6 * HOUR} AS BIGINT) AS duration, k < added AS inserted FROM (SELECT *, unnest(range(added + 1)) AS k FROM w WHERE NOT gone)""")
 def regularize_cfr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_streams(event_frames(spark, sf_dir), lambda: folds.RegularizeTimestamps(6 * HOUR, "forcecfr"))
 
@@ -329,14 +342,36 @@ def drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_streams(block_frames(spark, sf_dir), lambda: folds.DropRepeats(high=3200, low=2600, share=0.33))
 
 
-@query()
+_GAP = "list_sum(list_transform(list_zip({0}), lambda z: abs(z[1] - z[2])))"
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, n AS (SELECT *, {_ORDERED} FROM b),
+w AS (SELECT stream_id, frame_id, n, plane AS kept, false AS dropped FROM n WHERE n = 1
+  UNION ALL SELECT stream_id, frame_id, n, CASE WHEN gone THEN kept ELSE plane END, gone FROM (
+    SELECT *, NOT last AND a <= 3200 AND c <= 3200 AND NOT (a > 2400 AND c > 2400) AS gone FROM (
+      SELECT n.*, w.kept, {_GAP.format("w.kept, n.plane")} AS a, {_GAP.format("w.kept[1:16], n.plane[1:16]")} AS c FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)))
+SELECT stream_id, frame_id, dropped FROM w""")
+def drop_repeats_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the blocks of two planes: at most one of the two may differ by more than 2400."""
+    rows = block_frames(spark, sf_dir).withColumn("chroma", F.slice("plane", 1, 16))
+    return fold_streams(rows, lambda: folds.DropRepeats(high=3200, low=2400, share=0.33, planes={"plane": 8, "chroma": 4}))
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, s AS (SELECT stream_id, frame_id, list_sum(plane) / 64.0::DOUBLE AS mean, list_sum(list_transform(plane, lambda x: x * x)) / 64.0::DOUBLE AS square FROM b),
+n AS (SELECT stream_id, frame_id, mean, sqrt(square - mean * mean) AS sigma, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM s),
+w AS (SELECT stream_id, 0::BIGINT AS n, NULL::BIGINT AS frame_id, CAST([] AS DOUBLE[]) AS means, CAST([] AS DOUBLE[]) AS sigmas, NULL::DOUBLE AS gain, NULL::DOUBLE AS off, false AS cut FROM (SELECT DISTINCT stream_id FROM n)
+  UNION ALL SELECT stream_id, n, frame_id, means, sigmas, CASE WHEN cut OR gain IS NULL THEN CASE WHEN cut THEN gain ELSE g END ELSE 0.2::DOUBLE * gain + 0.8::DOUBLE * g END, CASE WHEN cut OR off IS NULL THEN CASE WHEN cut THEN off ELSE o END ELSE 0.2::DOUBLE * off + 0.8::DOUBLE * o END, cut FROM (
+    SELECT *, list_avg(means) - g * mean AS o FROM (SELECT *, sqrt(list_avg(sigmas) / greatest(sigma, 0.5)) AS g FROM (
+      SELECT * EXCLUDE (means, sigmas), CASE WHEN cut THEN [mean] ELSE list_append(means, mean)[-30:] END AS means, CASE WHEN cut THEN [sigma] ELSE list_append(sigmas, sigma)[-30:] END AS sigmas FROM (
+        SELECT n.*, w.means, w.sigmas, w.gain, w.off, len(w.means) >= 5 AND list_stddev_pop(w.means) > 0 AND abs(n.mean - list_avg(w.means)) > 4 * list_stddev_pop(w.means) AND abs(n.mean - list_avg(w.means)) > 25.5 AS cut FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)))))
+SELECT stream_id, frame_id, CASE WHEN cut THEN 1 ELSE round(gain, 6) END AS gain, CASE WHEN cut THEN 0 ELSE round(off, 6) + 0.0 END AS "offset", cut AS scene_change FROM w WHERE n > 0""")
 def deflicker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of each block, then the correction."""
     n = F.lit(64.0)
     mean = reports._total(F.col("plane")) / n
     square = reports._total(F.transform("plane", lambda x: x * x)) / n
     rows = block_frames(spark, sf_dir).select("stream_id", "frame_id", mean.alias("mean"), F.sqrt(square - mean * mean).alias("sigma"))
-    return fold_streams(rows, lambda: folds.Deflicker(30, 4.0, 0.2))
+    return fold_streams(rows, lambda: folds.Deflicker(30, 4.0, 0.2)).withColumns({c: F.round(c, 6) + 0.0 for c in ("gain", "offset")})
 
 
 _STAB = f"""WITH RECURSIVE {FRAMES},
@@ -430,13 +465,28 @@ def chroma_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_streams(rows, lambda: folds.ChromaGuard(warm_up=10)).withColumns({"mean_u": F.round("mean_u", 6), "mean_v": F.round("mean_v", 6) + 0.0})
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, n AS (SELECT stream_id, frame_id, CASE WHEN frame_type IN ('view', 'click', 'error') THEN 'C' ELSE 'N' END AS s, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM f),
+w AS (SELECT stream_id, 0::BIGINT AS n, NULL::BIGINT AS frame_id, CAST([] AS VARCHAR[]) AS last, NULL::BIGINT AS phase, false AS locked, 0 AS confidence, NULL::VARCHAR AS predicted FROM (SELECT DISTINCT stream_id FROM n)
+  UNION ALL SELECT stream_id, n, frame_id, last, phase, locked, confidence, CASE WHEN locked THEN (['C', 'C', 'C', 'N', 'N'])[(phase + 5) % 5 + 1] END FROM (
+    SELECT stream_id, n, frame_id, last, CASE WHEN best >= 4 THEN turn ELSE phase END AS phase, best >= 4 OR locked AND (c >= 4 OR best < 0) AS locked, CASE WHEN best >= 4 AND (NOT locked OR phase <> turn) THEN greatest(c, 4) ELSE c END AS confidence FROM (
+      SELECT *, CASE WHEN len(last) = 5 THEN list_max(hits) ELSE -1 END AS best, list_position(hits, list_max(hits)) - 1 AS turn FROM (
+        SELECT *, list_transform(range(5), lambda r: len(list_filter(range(len(last)), lambda i: last[i + 1] = (['C', 'C', 'C', 'N', 'N'])[(i + r) % 5 + 1]))) AS hits FROM (
+          SELECT n.stream_id, n.n, n.frame_id, list_append(w.last, n.s)[-5:] AS last, w.phase, w.locked, CASE WHEN w.predicted IS NULL THEN w.confidence WHEN w.predicted = n.s THEN least(255, w.confidence + 2) ELSE greatest(0, w.confidence - 1) END AS c FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)))))
+SELECT stream_id, frame_id, CASE WHEN locked THEN CAST(phase AS INTEGER) END AS phase, locked, confidence, predicted FROM w WHERE n > 0""")
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_frames(spark, sf_dir).withColumn("match", F.when(F.col("frame_type").isin("view", "click", "error"), "c").otherwise("n"))
     return fold_streams(rows, folds.CadenceTracker)
 
 
-@query()
+# Packets leave a buffer of 17 by pts; what is left at the end follows in order.
+@query(f"""WITH RECURSIVE {FRAMES}, n AS (SELECT stream_id, frame_id, pts - frame_id % 3 * {20 * HOUR} AS pts, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM f),
+w AS (SELECT stream_id, 0::BIGINT AS n, CAST([] AS STRUCT(p BIGINT, i BIGINT)[]) AS held, CAST(NULL AS STRUCT(p BIGINT, i BIGINT)) AS gone FROM (SELECT DISTINCT stream_id FROM n)
+  UNION ALL SELECT stream_id, n, CASE WHEN len(held) > 17 THEN held[2:] ELSE held END, CASE WHEN len(held) > 17 THEN held[1] END FROM (
+    SELECT n.stream_id, n.n, list_sort(list_append(w.held, struct_pack(p := n.pts, i := n.frame_id))) AS held FROM w JOIN n ON n.stream_id = w.stream_id AND n.n = w.n + 1)),
+o AS (SELECT stream_id, n AS place, gone.i AS frame_id, gone.p AS pts FROM w WHERE gone IS NOT NULL
+  UNION ALL SELECT stream_id, n + k, held[k].i, held[k].p FROM (SELECT stream_id, arg_max(held, n) AS held, max(n) AS n FROM w GROUP BY stream_id), range(1, 18) t(k) WHERE k <= len(held)),
+m AS (SELECT *, coalesce(pts <> lag(pts) OVER (PARTITION BY stream_id ORDER BY place), true) AS fresh FROM o)
+SELECT stream_id, frame_id, pts, CASE WHEN fresh THEN count(*) FILTER (fresh) OVER (PARTITION BY stream_id ORDER BY place) - 1 END AS poc FROM m""")
 def reorder_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_frames(spark, sf_dir).withColumn("pts", F.col("pts") - F.col("frame_id") % 3 * 20 * HOUR)
     return fold_streams(rows, folds.ReorderByPts)
@@ -688,6 +738,13 @@ def deinterlace_yadif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deinterlace.deinterlace(frames, 8, 8, "yadif", per_field=True).select("frame_id", "field", "plane")
 
 
+@query(ORACLE_SQL["deinterlace_yadif"].replace("(i // 8) % 2 = field", "(i // 8) % 2 = CASE WHEN frame_id % 3 = 0 THEN 1 - field ELSE field END"))
+def deinterlace_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As before, but every third frame has its bottom field first."""
+    frames = block_frames(spark, sf_dir).withColumns({"pts": F.col("frame_id") * 40, "duration": F.lit(40).cast("long"), "top": F.when(F.col("frame_id") % 3 == 0, F.lit(False))})
+    return deinterlace.deinterlace(frames, 8, 8, "yadif", "top", per_field=True).select("frame_id", "field", "plane")
+
+
 @query(f"""WITH {BLOCKS}, {FIELDS}, s AS (SELECT *, {_tap("q", 0, -1)} AS up, {_tap("q", 0, 1)} AS down, {_mean_sql(0)} AS t, {_mean_sql(-2)} AS tu, {_mean_sql(2)} AS td, i // 8 AS y,
   greatest(abs(e[i + 1] - l[i + 1]) // 2, {_between("p")}, {_between("r")}) AS motion FROM z),
 g AS (SELECT *, CASE WHEN y BETWEEN 2 AND 5 THEN greatest(motion, least(t - down, t - up, greatest(tu - up, td - down)), -greatest(t - down, t - up, least(tu - up, td - down))) ELSE motion END AS spread FROM s)
@@ -705,9 +762,39 @@ def plane_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("frame_id", reports.plane_difference(F.col("p"), F.col("plane")).alias("sad"))
 
 
-@query()
+def _rgb_sql() -> str:
+    """BT.2020 light as BT.709 light, by the primaries' chromaticities (Cramer's rule on each side)."""
+    import numpy as np
+
+    def to_xyz(*xy):
+        p = np.array([[x / y, 1, (1 - x - y) / y] for x, y in xy])
+        white = np.array([0.3127 / 0.3290, 1, (1 - 0.3127 - 0.3290) / 0.3290])
+        whole = np.linalg.det(p)
+        return (p * np.array([np.linalg.det(np.vstack([*p[:k], white, *p[k + 1 :]])) / whole for k in range(3)])[:, None]).T
+
+    m = np.linalg.inv(to_xyz((0.640, 0.330), (0.300, 0.600), (0.150, 0.060))) @ to_xyz((0.708, 0.292), (0.170, 0.797), (0.131, 0.046))
+    return ", ".join(" + ".join(f"{v!r}::DOUBLE * {c}" for v, c in zip(row.tolist(), "rgb")) + f" AS l{k}" for k, row in enumerate(m))
+
+
+def _toned(x: str) -> str:
+    curve = lambda v: f"(({v}) * (0.22::DOUBLE * ({v}) + 0.03::DOUBLE) + 0.002::DOUBLE) / (({v}) * (0.22::DOUBLE * ({v}) + 0.3::DOUBLE) + 0.06::DOUBLE) - 1 / 30.0::DOUBLE"
+    y = f"(({curve(f'greatest({x}, 0)')}) / ({curve('4.0::DOUBLE')}))"
+    return f"sign({y}) * pow(abs({y}), 1 / 2.4::DOUBLE)"
+
+
+_LIGHT = "sign({0}) * pow(abs({0}), 2.4::DOUBLE)"
+
+
+@query(f"""WITH {BLOCKS}, y AS (SELECT frame_id, i, plane[i + 1] / 255.0::DOUBLE AS y FROM b, range(64) t(i)),
+c AS (SELECT frame_id, i, y - 0.02::DOUBLE * 2 * (1 - 0.2627::DOUBLE) AS r, y + 0.05::DOUBLE * 2 * (1 - 0.0593::DOUBLE) AS b, y FROM y),
+d AS (SELECT frame_id, i, r, b, (y - 0.2627::DOUBLE * r - 0.0593::DOUBLE * b) / 0.678::DOUBLE AS g FROM c), l AS (SELECT frame_id, i, {", ".join(_LIGHT.format(x) + f" AS {x}" for x in "rgb")} FROM d),
+m AS (SELECT frame_id, i, {_rgb_sql()} FROM l), t AS (SELECT frame_id, i, {", ".join(f"{_toned(f'l{k}')} AS {x}" for k, x in enumerate("rgb"))} FROM m),
+o AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS y FROM t)
+SELECT frame_id, list(round(y, 6) + 0.0 ORDER BY i) AS y, list(round((b - y) / (2 * (1 - 0.0722::DOUBLE)), 6) + 0.0 ORDER BY i) AS u, list(round((r - y) / (2 * (1 - 0.2126::DOUBLE)), 6) + 0.0 ORDER BY i) AS v FROM o GROUP BY frame_id""")
 def colour_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks as grey pixels with a tint from BT.2020 to BT.709 with a tone curve."""
     pixel = lambda x: F.struct((x / 255.0).alias("a"), F.lit(0.05).alias("b"), F.lit(-0.02).alias("c"))
     steps = colour.conversion("bt2020nc", "bt709", tone=colour.hable())
-    return block_frames(spark, sf_dir).select("frame_id", colour.apply(F.transform("plane", pixel), steps).alias("pixels"))
+    made = block_frames(spark, sf_dir).select("frame_id", colour.apply(F.transform("plane", pixel), steps).alias("p"))
+    channel = lambda k: F.transform("p", lambda x: F.round(x[k], 6) + 0.0)
+    return made.select("frame_id", channel("a").alias("y"), channel("b").alias("u"), channel("c").alias("v"))

@@ -36,7 +36,7 @@ def test_oracle(spark, con, name):
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     got = sorted(repr(plain(tuple(r[c] for c in columns))) for r in df.collect())
-    assert got == sorted(repr(plain(r)) for r in want.project(", ".join(columns)).fetchall())
+    assert got == sorted(repr(plain(r)) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(timeline_queries.QUERIES) - set(timeline_queries.ORACLE_SQL)))
