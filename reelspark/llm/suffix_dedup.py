@@ -40,6 +40,8 @@ from reelspark.llm._scratch import Scratch
 #: q-gram lengths before the last level, as parts of the passage's length.
 LEVELS = (0.2, 0.8)
 BUCKET_BYTES = 24 << 20
+#: Bytes of text that are worked on at once; longer texts are cut into pieces that overlap by a passage.
+PIECE_BYTES = 32 << 20
 _ITEM = "id long, lo int, hi int, h long, e long, off int"
 
 
@@ -77,8 +79,20 @@ def _items(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray, first_q: in
 
     ``starts``: window positions, ascending; ``breaks``: True where a window does
     not follow its predecessor. Returns first and last window, bucket, content and
-    the q-gram's distance from the first window.
+    the q-gram's distance from the first window. Windows that lie far apart are
+    grouped by themselves, which splits groups but changes no window's q-gram.
     """
+    if len(starts) and starts[-1] - starts[0] > PIECE_BYTES:
+        edges = np.append(np.searchsorted(starts, np.arange(starts[0], starts[-1] + 1, PIECE_BYTES)), len(starts))
+        parts = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a < b:
+                base = starts[a]
+                fresh = breaks[a:b].copy()
+                fresh[0] = True
+                lo, hi, h, e, off = _items(data[base : starts[b - 1] + length], starts[a:b] - base, fresh, first_q, q, length)
+                parts.append((lo + base, hi + base, h, e, off))
+        return tuple(np.concatenate(x) for x in zip(*parts))
     width = length - q + 1
     grams = bucket_ids(data, first_q, q)
     least = _least_positions(grams, width) if width > 1 else np.arange(len(grams))
@@ -103,6 +117,14 @@ def _batch(ids, lo, hi, h, e, off) -> pa.RecordBatch:
 def _first_level(first_q: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
+            if rows.num_rows == 1 and len(data) > PIECE_BYTES + length:
+                key = rows.column("id").to_numpy(zero_copy_only=False)
+                for base in range(0, len(data) - length + 1, PIECE_BYTES):
+                    piece = data[base : base + PIECE_BYTES + length - 1]
+                    starts = np.arange(len(piece) - length + 1)
+                    lo, hi, h, e, off = _items(piece, starts, starts == 0, first_q, first_q, length)
+                    yield _batch(np.repeat(key, len(lo)), lo + base, hi + base, h, e, off)
+                continue
             sizes = np.diff(offsets)
             if len(data) < length or (sizes < length).all():
                 continue
@@ -169,11 +191,7 @@ def _merge_and_cut(length: int):
                 fresh[1:] = lo[1:] > reach[:-1]
                 begin = lo[fresh]
                 stop = reach[np.append(np.flatnonzero(fresh)[1:], len(lo)) - 1] if len(lo) else lo
-                keep = np.ones(len(raw) + 1, np.int8)
-                delta = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(delta, begin, 1)
-                np.add.at(delta, stop, -1)
-                keep = raw[np.cumsum(delta[:-1]) == 0].tobytes()
+                keep = b"".join(raw[a:b].tobytes() for a, b in zip([0, *stop.tolist()], [*begin.tolist(), len(raw)]))
                 removed.append(len(raw) - len(keep))
                 runs.append(len(begin))
                 digests.append(hashlib.sha256(keep).hexdigest())
@@ -206,8 +224,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Removes every byte covered by a ``length``-byte string that starts at another place too.
 
     Returns ``id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans`` for
-    each row. Null and empty texts, and texts below ``length`` bytes, lose nothing; a
-    text of 256 MB or more is refused with an error. An empty table gives none.
+    each row. Null and empty texts, and texts below ``length`` bytes, lose nothing; long
+    texts are read whole, in pieces. An empty table gives none.
     Rows with the same text are settled as a group: from ``length`` bytes on they
     lose all, and one of them stands for the group against the rest. Rows of one id
     are such rows too if their texts are the same, else texts of their own; ids may be
@@ -223,15 +241,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         keyed = source.withColumn("key", row_key("id", "text"))
         named = keyed.select("key", F.col("id").alias("own"))
         source = keyed.groupBy(F.col("key").alias("id")).agg(F.first("text").alias("text"), F.count("*").alias("rows"))
-    size, longest = source.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    size, longest = size or 0, longest or 0
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     keyed = source.withColumn("twin", F.md5("text"))
     copies = scratch.stage(
         keyed.where(F.octet_length("text") >= length).groupBy("twin").agg(F.sum("rows").alias("n"), F.min("id").alias("one")).where("n > 1"), "copies"
     )
-    if longest >= 1 << 28:
-        raise ValueError(f"a text of {longest} bytes: places are kept in 28 bits, cut it first")
     texts = scratch.bucketed(keyed.drop("rows"), "id", buckets, "texts")
     members = texts.select("id", "twin").join(copies, "twin").select("id", (F.col("id") == F.col("one")).alias("chief"))
     members = scratch.stage(members, "members")

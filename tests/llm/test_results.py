@@ -66,6 +66,33 @@ def shingles(text, size):
     return frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[k : k + size]) for k in range(len(w) - size + 1)])
 
 
+@pytest.mark.parametrize("piece", [37, 200, 1000])
+def test_repeated_passages_of_long_texts(spark, monkeypatch, piece):
+    """Texts that are worked on in pieces lose the same bytes, wherever the pieces' ends lie."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(80)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    shared = [text(60), text(45), text(200)]
+    rows = list(enumerate([text(900) + shared[0] + text(400) + shared[1] + text(300) + shared[0][7:], text(50) + shared[2] + text(900) + shared[1][3:280], shared[2] + "x", text(30), shared[2] + text(10), None, text(300) * 2]))
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
+    got = suffix_dedup.repeated_passages(frame(spark, [t for _, t in rows])).collect()
+    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == passages(rows, 200)
+
+
+def test_pieces_of_a_text():
+    """A text's windows choose the same q-grams whether it is read whole or in pieces."""
+    data = np.random.default_rng(9).integers(97, 100, 50_000).astype(np.uint8)
+    starts = np.arange(len(data) - 199)
+    whole = suffix_dedup._items(data, starts, starts == 0, 40, 40, 200)
+    old, suffix_dedup.PIECE_BYTES = suffix_dedup.PIECE_BYTES, 7_001
+    try:
+        cut = suffix_dedup._items(data, starts, starts == 0, 40, 40, 200)
+    finally:
+        suffix_dedup.PIECE_BYTES = old
+    spread = lambda x: np.repeat(x[2], x[1] - x[0] + 1)
+    assert len(cut[0]) in range(len(whole[0]), len(whole[0]) + 8) and (spread(whole) == spread(cut)).all()
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_near_duplicates(spark, small, size):
     rng = np.random.default_rng(2)
