@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.functions import kernels, user
+from reelspark.functions import edges, kernels, user
 from reelspark.operators import deinterlace, plane_map, pulldown, telecine
 from reelspark.operators.fold import fold_streams
 from reelspark.sources import frame_files, text
@@ -361,3 +361,86 @@ def user_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_shader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Darker towards the corners, by a function on planes and places."""
     return user.shade(block_frames(spark, sf_dir), 8, lambda x, y, p: np.floor(p * (1 - (x - 0.5) ** 2 - (y - 0.5) ** 2)))
+
+
+# ---- edges
+
+
+def _edges(spark: SparkSession, sf_dir: str, work) -> DataFrame:
+    return plane_map.map_planes(block_frames(spark, sf_dir), ["plane"], lambda p: {"plane": work(p)}, "plane array<int>", 8)
+
+
+def _blur_sql(source: str) -> str:
+    """A mask blurred along rows, then columns, and rounded."""
+    taps = {0: 0.375, 1: 0.09375, 2: 0.09375, 3: 0.03125, 4: 0.03125, 5: 0.03125, 6: 0.03125}
+    line = lambda a, dx, dy: " + ".join(f"{_tap(a, dx * k, dy * k)} * {taps[abs(k)]}::DOUBLE" for k in range(-6, 7))
+    across = f"SELECT stream_id, frame_id, plane, list({line('m', 1, 0)} ORDER BY i) AS m FROM {source}, range(64) t(i) GROUP BY stream_id, frame_id, plane"
+    return f"SELECT stream_id, frame_id, plane, list(CAST(least(255, floor({line('m', 0, 1)} + 0.5)) AS INTEGER) ORDER BY i) AS m FROM ({across}), range(64) t(i) GROUP BY stream_id, frame_id, plane"
+
+
+def _mean_sql(a: str, b: str) -> str:
+    return f"(({a} + {b} + 1) // 2)"
+
+
+def _side_sql(dx: int, dy: int) -> str:
+    one, two = ((-1, dy), (1, dy)) if dy else ((dx, -1), (dx, 1))
+    return _mean_sql(_tap("plane", dx, dy), _mean_sql(_tap("plane", *one), _tap("plane", *two)))
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT stream_id, frame_id, plane, i, abs({_side_sql(0, -1)} - {_side_sql(0, 1)}) AS v, abs({_side_sql(-1, 0)} - {_side_sql(1, 0)}) AS h FROM b, range(64) t(i)),
+e AS (SELECT *, least(least(v + h, 255) + greatest(v, h), 255) AS e FROM s), m0 AS (SELECT stream_id, frame_id, plane, list(least(least(least(least(e * 2, 255) + e, 255) * 2, 255), 128) ORDER BY i) AS m FROM e GROUP BY stream_id, frame_id, plane),
+m1 AS ({_blur_sql("m0")}), m2 AS ({_blur_sql("m1")}),
+p AS (SELECT stream_id, frame_id, plane, i, i % 8 + ({_tap("m", -1, 0)} - {_tap("m", 1, 0)}) / 16.0::DOUBLE AS x, i // 8 + ({_tap("m", 0, -1)} - {_tap("m", 0, 1)}) / 16.0::DOUBLE AS y FROM m2, range(64) t(i)),
+c AS (SELECT *, CAST(floor(x) AS INTEGER) AS x0, CAST(floor(y) AS INTEGER) AS y0 FROM p),
+v AS (SELECT stream_id, frame_id, i, sum(plane[greatest(0, least(7, y0 + j // 2)) * 8 + greatest(0, least(7, x0 + j % 2)) + 1] * CASE WHEN j % 2 = 1 THEN x - x0 ELSE 1 - (x - x0) END * CASE WHEN j // 2 = 1 THEN y - y0 ELSE 1 - (y - y0) END) AS v FROM c, range(4) k(j) GROUP BY ALL)
+SELECT stream_id, frame_id, list(CAST(floor(least(v, 255 * (1 - 1e-6)) + 1e-6) AS INTEGER) ORDER BY i) AS plane FROM v GROUP BY stream_id, frame_id""")
+def sharpen_by_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir, edges.warp_sharpen)
+
+
+_NINE = " + ".join(_tap("plane", x, y) for y in (-1, 0, 1) for x in (-1, 0, 1))
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT stream_id, frame_id, i, plane[i + 1] AS v, floor(({_NINE}) / 9.0::DOUBLE + 0.5 + 1e-9) AS soft FROM b, range(64) t(i)),
+d AS (SELECT *, v - soft AS d FROM s)
+SELECT stream_id, frame_id, list(CAST(floor(greatest(0, least(255, v + 6 * pow(abs(d) / 4, 0.25::DOUBLE) * d / (abs(d) + 1))) + 0.5) AS INTEGER) ORDER BY i) AS plane FROM d GROUP BY stream_id, frame_id""")
+def sharpen_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir, edges.detail_sharpen)
+
+
+_ROUND = ", ".join(_tap("plane", x, y) for y in range(-2, 3) for x in range(-2, 3) if x * x + y * y <= 4)
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT stream_id, frame_id, i, plane[i + 1] AS v, greatest({_ROUND}) AS top, least({_ROUND}) AS bottom FROM b, range(64) t(i)),
+m AS (SELECT *, CASE WHEN top > bottom THEN (v - bottom) * 255 // (top - bottom) ELSE 0 END AS place FROM s),
+k AS (SELECT *, greatest(0, least(255, (place - 51) * 255 // 153)) / 255.0::DOUBLE AS share FROM m)
+SELECT stream_id, frame_id, list(CAST(floor(greatest(0, least(255, v - share * 0.75::DOUBLE * (v - bottom) + share * 0.25::DOUBLE * (top - v))) + 0.5 + 1e-9) AS INTEGER) ORDER BY i) AS plane FROM k GROUP BY stream_id, frame_id""")
+def lessen_halos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir, lambda p: edges.dehalo(p, dark=0.75, bright=0.25, low=20, high=80))
+
+
+def _edge_sql(source: str, at: str) -> str:
+    """The step in the middle of each line of eight, ``at`` telling a sample's place by its line ``l`` and place ``k`` in it."""
+    sample = lambda k: f"plane[{at.format(k=k)} + 1]"
+    clip = lambda v, most: f"greatest(-({most}), least({most}, {v}))"
+    halved = "CAST(floor(({}) / 2.0::DOUBLE) AS INTEGER)"
+    lines = f"SELECT stream_id, frame_id, l, [{', '.join(sample(k) for k in range(8))}] AS s FROM {source}, range(8) t(l)"
+    facts = f"SELECT *, s[2] AS p2, s[3] AS p1, s[4] AS p0, s[5] AS q0, s[6] AS q1, s[7] AS q2 FROM ({lines})"
+    fits = f"SELECT *, abs(p0 - q0) < 182 AND abs(p1 - p0) < 16 AND abs(q1 - q0) < 16 AS fits, abs(p2 - p0) < 16 AS l_, abs(q2 - q0) < 16 AS r_ FROM ({facts})"
+    delta = f"SELECT *, {clip('CAST(floor(((q0 - p0) * 4 + p1 - q1 + 4) / 8.0::DOUBLE) AS INTEGER)', '(2 + CASE WHEN l_ THEN 1 ELSE 0 END + CASE WHEN r_ THEN 1 ELSE 0 END)')} AS d, (p0 + q0 + 1) // 2 AS mean FROM ({fits})"
+    inner = f"CASE WHEN fits AND l_ THEN p1 + {clip(halved.format('p2 + mean - 2 * p1'), '2')} ELSE p1 END, CASE WHEN fits THEN greatest(0, least(255, p0 + d)) ELSE p0 END, CASE WHEN fits THEN greatest(0, least(255, q0 - d)) ELSE q0 END, CASE WHEN fits AND r_ THEN q1 + {clip(halved.format('q2 + mean - 2 * q1'), '2')} ELSE q1 END"
+    return f"SELECT stream_id, frame_id, list([s[1], p2, {inner}, q2, s[8]] ORDER BY l) AS lines FROM ({delta}) GROUP BY stream_id, frame_id"
+
+
+@query(f"""WITH {BLOCKS}, a AS ({_edge_sql("b", "(l * 8 + {k})")}), f AS (SELECT stream_id, frame_id, list_transform(range(64), lambda i: lines[i // 8 + 1][i % 8 + 1]) AS plane FROM a), c AS ({_edge_sql("f", "({k} * 8 + l)")})
+SELECT stream_id, frame_id, list_transform(range(64), lambda i: greatest(0, least(255, lines[i % 8 + 1][i // 8 + 1]))) AS plane FROM c""")
+def smooth_block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a high quantiser, as the blocks' samples are far apart."""
+    return _edges(spark, sf_dir, lambda p: edges.deblock(p, 47))
+
+
+@query(f"""WITH {BLOCKS}, v AS (SELECT stream_id, frame_id, i, sum(plane[greatest(0, least(7, i // 8 - 1 + j // 2)) * 8 + greatest(0, least(7, i % 8 + j % 2)) + 1] * CASE WHEN j % 2 = 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END * CASE WHEN j // 2 = 1 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE END) AS v FROM b, range(64) t(i), range(4) k(j) GROUP BY ALL)
+SELECT stream_id, frame_id, list(CAST(floor(least(v, 255 * (1 - 1e-6)) + 1e-6) AS INTEGER) ORDER BY i) AS plane FROM v GROUP BY stream_id, frame_id""")
+def move_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By three quarters of a sample across and half a one up."""
+    return _edges(spark, sf_dir, lambda p: edges.chroma_shift(p, 0.75, -0.5))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from reelspark.functions import kernels
+from reelspark.functions import edges, kernels
 from reelspark.operators.fold import Fold, column_values
 from reelspark.operators.folds import SmoothShift
 from reelspark.sources.frames import in_stream
@@ -182,3 +182,44 @@ def frame_quality(source: DataFrame, encoded: DataFrame, planes: dict[str, int],
     names = F.array(F.lit("all"), *map(F.lit, planes))
     s, e = F.col("s") / frames, F.col("e") / frames
     return sums.select("stream_id", F.get(names, F.col("k")).alias("plane"), frames.cast("long").alias("frames"), s.alias("ssim"), F.when(1 - s > 1e-12, -10 * F.log10(1 - s)).alias("ssim_db"), F.when(e > 0, 10 * F.log10(peak**2 / e)).alias("psnr"))
+
+
+class ChromaPlace(Fold):
+    """Chroma planes ``u`` and ``v`` moved to where the luma's edges are: by the mean offset of the first ``frames`` that have ``pairs`` edges or more.
+
+    Until so many are found nothing moves. Frames without an edge before the first one
+    found don't count; after ``3 * frames + 10`` frames, or 1,000 with those, what is found
+    decides if it is half of what was asked for, else ``fallback``.
+    """
+
+    reads = ("y", "u", "v")
+    gives = "frame_id long, dx double, dy double, u array<int>, v array<int>"
+    PATIENCE = 1_000
+
+    def __init__(self, width: int, chroma_width: int, frames: int = 30, pairs: int = 200, fallback: tuple[float, float] = (0.0, 0.0), peak: int = 255):
+        self.width, self.chroma_width, self.frames, self.pairs, self.fallback, self.peak = width, chroma_width, frames, pairs, fallback, peak
+        self.found: list[tuple[float, float]] = []
+        self.seen = self.empty = 0
+        self.shift: tuple[float, float] | None = None
+
+    def _look(self, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+        dx, dy, count = edges.chroma_offset(y, u, v)
+        if not count and not self.found:
+            self.empty += 1
+        else:
+            self.seen += 1
+            if count >= self.pairs:
+                self.found.append((dx / count, dy / count))
+        if len(self.found) >= self.frames or self.seen >= 3 * self.frames + 10 or self.seen + self.empty >= self.PATIENCE:
+            enough = len(self.found) >= max(1, self.frames // 2)
+            self.shift = tuple(float(np.mean(c)) for c in zip(*self.found)) if enough else self.fallback
+
+    def push(self, row):
+        y, u, v = (np.asarray(row[c], np.int32).reshape(-1, w) for c, w in (("y", self.width), ("u", self.chroma_width), ("v", self.chroma_width)))
+        if self.shift is None:
+            self._look(y, u, v)
+        dx, dy = self.shift or (0.0, 0.0)
+        if dx or dy:
+            sx, sy = max(1, self.width // self.chroma_width), max(1, len(y) // len(u))
+            u, v = (edges.chroma_shift(p, dx / sx, dy / sy, self.peak) for p in (u, v))
+        return [{"frame_id": row["frame_id"], "dx": dx, "dy": dy, "u": u.ravel(), "v": v.ravel()}]

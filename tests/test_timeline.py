@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from reelspark import timeline_queries
+from reelspark import media_queries, timeline_queries  # noqa: F401 (registers more queries)
 from reelspark.operators import folds
 from reelspark.operators.fold import fold_streams
 from reelspark.plans import colour
