@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions import edges, kernels, user
-from reelspark.operators import deinterlace, plane_map, pulldown, telecine
+from reelspark.operators import deinterlace, logo, plane_map, pulldown, telecine
 from reelspark.operators.fold import fold_streams
 from reelspark.sources import frame_files, text
 from reelspark.sources.frames import block_frames, event_frames, in_stream
@@ -444,3 +444,21 @@ SELECT stream_id, frame_id, list(CAST(floor(least(v, 255 * (1 - 1e-6)) + 1e-6) A
 def move_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By three quarters of a sample across and half a one up."""
     return _edges(spark, sf_dir, lambda p: edges.chroma_shift(p, 0.75, -0.5))
+
+
+# ---- a logo's strength
+
+_FADE = "round(luma * 0.6::DOUBLE, 6)"
+_LATE = ", ".join(f"coalesce({', '.join(f'{side}(v, {j}) OVER o' for j in range(k, 0, -1))}, v) AS {side[1]}{k}" for side in ("lag", "lead") for k in (1, 2, 3))
+
+
+@query(f"""WITH {FRAMES}, f0 AS (SELECT stream_id, frame_id, {_FADE} AS v FROM f), n AS (SELECT *, {_LATE} FROM f0 WINDOW o AS (PARTITION BY stream_id ORDER BY frame_id)),
+m AS (SELECT *, (a1 + a2 + a3) / 3 AS past, (e1 + e2 + e3) / 3 AS ahead, (a1 + v + e1) / 3 AS now, (a1 + a2 + v + e1 + e2 - greatest(0, a1, a2, v, e1, e2) - least(a1, a2, v, e1, e2)) / 3 AS m, v + (256 - v) * 0.7::DOUBLE AS up FROM n),
+d AS (SELECT *, CASE WHEN v < m THEN CASE WHEN m >= 256 THEN 256 WHEN m > 217.6::DOUBLE THEN up WHEN v < m * 0.98::DOUBLE THEN m ELSE v END
+  WHEN v > m THEN CASE WHEN v >= 256 THEN CASE WHEN m < 256 THEN 256 WHEN v > m * 1.03::DOUBLE THEN m ELSE v END WHEN m > 217.6::DOUBLE THEN up WHEN v < 204.8::DOUBLE AND v > m * 1.15::DOUBLE THEN m ELSE v END ELSE v END AS drawn FROM m)
+SELECT stream_id, frame_id, round(CASE WHEN v < 25.6::DOUBLE THEN CASE WHEN least(past, ahead, now) < 25.6::DOUBLE THEN v * 0.3::DOUBLE ELSE drawn END
+  WHEN v > 217.6::DOUBLE THEN CASE WHEN greatest(past, ahead, now) > 217.6::DOUBLE THEN up ELSE drawn END ELSE CASE WHEN least(abs(v - past), abs(v - ahead)) / v <= 0.03::DOUBLE THEN v ELSE drawn END END, 6) AS strength FROM d""")
+def smoothed_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Luma stands in for a logo's strength in each frame."""
+    frames = event_frames(spark, sf_dir).select("stream_id", "frame_id", F.round(F.col("luma") * 0.6, 6).alias("strength"))
+    return logo.smooth_strengths(frames).withColumn("strength", F.round("strength", 6))
