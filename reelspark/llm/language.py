@@ -177,7 +177,10 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
 
     A null or empty text, and one without a letter, gives ``und``, as does everything
     if there is nothing to learn from. The first language in order wins a tie. The
-    score sets the code lengths against each other, damped by the text's length.
+    score sets the code lengths against each other, damped by the text's length. Texts of
+    any length are read whole. Each row is judged for itself, so repeated rows get equal
+    results and ids may be null or repeated; an empty table gives none. Rows to learn
+    from that are equal count as often as they stand there. Other columns are ignored.
     """
     spark = docs.sparkSession
     model = train(training, lang_col, text_col, docs_per_lang)

@@ -80,7 +80,11 @@ def judge_urls(
     ``max_distrust_ratio`` times its trust. Seeds are the hosts whose pages a rule
     allows or blocks, in equal parts of all pages so judged. A null url, or one
     without ``://``, has an empty host and path and is allowed; so is a host that no
-    seed reaches. Seed hosts without links spread nothing beyond themselves.
+    seed reaches, and one whose distrust equals its trust (a tie). Seed hosts without
+    links spread nothing beyond themselves. Each row has its verdict: ids may be null or
+    repeated, and rows that repeat count again, as votes of their host and with their
+    links. Null html has no links; html of any length is read whole. An empty table
+    gives none. Other columns are ignored.
     """
     rules = rules or RULES
     scratch = Scratch(pages.sparkSession, "urls")
