@@ -296,6 +296,11 @@ def _solver(size: int, target: int, name: str, border: str, shape: tuple) -> np.
     return np.linalg.solve(a.T @ a + np.eye(target) * np.finfo(float).eps, a.T)
 
 
+@lru_cache(maxsize=256)
+def _scaler(size: int, target: int, name: str, shape: tuple) -> np.ndarray:
+    return scale_matrix(size, target, name, **dict(shape))
+
+
 def descale_exact(plane: np.ndarray, to_width: int, to_height: int, name: str = "bicubic", border: str = "mirror", **shape: float) -> np.ndarray:
     """The smaller plane whose enlargement by ``name`` is nearest to ``plane``; not rounded."""
     key = tuple(sorted(shape.items()))
@@ -311,7 +316,8 @@ def descale_error(plane: np.ndarray, to_width: int, to_height: int, name: str, p
     """How far the plane, brought down and up again, is from itself: squares that become lines at 4/255, weighted by the steepness of edges."""
     height, width = plane.shape
     small = descale_exact(plane, to_width, to_height, name, **shape)
-    again = scale_matrix(to_height, height, name, **shape) @ small @ scale_matrix(to_width, width, name, **shape).T
+    key = tuple(sorted(shape.items()))
+    again = _scaler(to_height, height, name, key) @ small @ _scaler(to_width, width, name, key).T
     p = plane / peak
     edge = np.zeros_like(p)
     if height > 2 and width > 2:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelspark.sources.frames import in_stream
+from reelspark.sources.shared import shared_folder
 
 
 def pair_frames(source: DataFrame, encoded: DataFrame, column: str = "plane") -> DataFrame:
@@ -73,10 +74,47 @@ def bitrate(encoded: DataFrame, fps: float, dropped: int = 0) -> DataFrame:
     return total.select("frames", "bytes", (F.col("bytes") * 8 * fps / (1000 * (F.col("frames") + dropped))).alias("kbps"))
 
 
+#: Parts of a group's values that percentiles are looked for in.
+PARTS = 256
+
+
+def _percentiles(counts: DataFrame, key: str, value: str, percentiles: tuple[float, ...]) -> DataFrame:
+    """``key, at``: a map from rank to value with the ranks that percentiles need, exact, from the counts of distinct values.
+
+    Approximate quantiles cut each group's values into parts; counts of parts tell in which
+    of them a rank lies, and only these are put in order, each by itself.
+    """
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 4 * PARTS).alias("cuts"), F.sum("n").alias("total"))
+    placed = counts.join(cuts, key).select(key, value, "n", "total", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("part"))
+    folder = shared_folder(counts.sparkSession, "percentiles")
+    placed.write.parquet(f"{folder}/placed")  # so that all steps see the same parts
+    placed = counts.sparkSession.read.schema(placed.schema).parquet(f"{folder}/placed")
+    sums = placed.groupBy(key, "part").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    before = F.sum("m").over(Window.partitionBy(key).orderBy("part")) - F.col("m")
+    ranks = F.array_distinct(F.array(*[f(p * (F.col("total") - 1)).cast("long") for p in percentiles for f in (F.floor, F.ceil)]))
+    wanted = sums.withColumn("before", before).withColumn("rank", F.explode(ranks)).where("rank >= before AND rank < before + m").select(key, "part", "before", "rank")
+    inside = placed.join(wanted.select(key, "part").distinct(), [key, "part"], "left_semi")
+    until = F.sum("n").over(Window.partitionBy(key, "part").orderBy(value))
+    found = inside.withColumn("until", until).join(wanted, [key, "part"]).where("rank >= before + until - n AND rank < before + until")
+    return found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("at"))
+
+
 def score_distribution(scores: DataFrame, by: str, value: str, percentiles: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95)) -> DataFrame:
-    """Mean, population deviation, least, greatest and interpolated percentiles of a score per group."""
-    exact = [F.percentile(value, p).alias(f"p{round(100 * p):02d}") for p in percentiles]
-    return scores.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("greatest"), *exact)
+    """Mean, population deviation, least, greatest and interpolated percentiles of a score per group.
+
+    Null scores don't count; a group of nulls has nulls. The group null is one of its own.
+    """
+    rows = scores.select(F.struct(F.col(by)).alias("_key"), F.col(value).cast("double").alias("_v"))
+    sums = rows.groupBy("_key").agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("deviation"), F.min("_v").alias("least"), F.max("_v").alias("greatest"), F.count("_v").alias("_n"))
+    counts = rows.where("_v IS NOT NULL").groupBy("_key", "_v").agg(F.count("*").alias("n"))
+    out = sums.join(_percentiles(counts, "_key", "_v", percentiles), "_key", "left")
+
+    def percentile(p: float) -> Column:
+        place = p * (F.col("_n") - 1)
+        low, high = (F.try_element_at("at", f(place).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return out.select(F.col("_key").getField(by).alias(by), "mean", "deviation", "least", "greatest", *[percentile(p).alias(f"p{round(100 * p):02d}") for p in percentiles])
 
 
 def rank_devices(devices: DataFrame, weights: dict[str, float], top: int = 1) -> DataFrame:

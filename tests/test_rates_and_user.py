@@ -135,3 +135,19 @@ def test_folds_read_arrays_with_nulls(spark):
     frames = spark.createDataFrame([(1, k, [k] * 64) for k in range(40)], "stream_id long, frame_id long, plane array<int>")
     out = fold_streams(frames, lambda: plane_map.LowPass(8)).orderBy("frame_id").collect()
     assert len(out) == 40 and out[0].plane == [0] * 64
+
+
+def test_score_distribution(spark, monkeypatch):
+    """Percentiles equal numpy's, with ties, nulls, a null group, one value and many parts."""
+    from reelspark.operators import reports
+
+    monkeypatch.setattr(reports, "PARTS", 8)
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.integers(0, 20, 500).astype(float), "b": rng.normal(size=333), "c": np.array([7.0]), None: np.array([1.0, 1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
+    got = {r.kind: r for r in reports.score_distribution(spark.createDataFrame(rows, "kind string, score double"), "kind", "score", (0.01, 0.25, 0.5, 0.99)).collect()}
+    assert set(got) == {*groups, "d"} and got["d"].p50 is None and got["d"].mean is None
+    for g, vs in groups.items():
+        r = got[g]
+        assert (r.mean, r.deviation, r.least, r.greatest) == pytest.approx((vs.mean(), vs.std(), vs.min(), vs.max()))
+        assert [r.p01, r.p25, r.p50, r.p99] == pytest.approx(np.percentile(vs, [1, 25, 50, 99]).tolist())
