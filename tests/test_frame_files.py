@@ -95,6 +95,12 @@ def test_written_y4m_is_read_by_the_whole_reader(spark, tmp_path):
     assert sorted(map(str, (list(map(list, r.planes)) for r in read.collect()))) == sorted(str([p.tolist() for p in f]) for f in frames)
 
 
+def test_no_frames_make_an_empty_folder(spark, tmp_path):
+    none = spark.createDataFrame([], "frame_id long, planes array<array<int>>")
+    frame_files.write_frames(none, str(tmp_path / "out"), 4, 2)
+    assert rows_of(frame_files.read_frames(spark, str(tmp_path / "out"))) == []
+
+
 def test_a_file_of_three_gigabytes(spark, tmp_path):
     """Places beyond two gigabytes, in a file with holes: the marks are there, the samples in between are zeros."""
     layout = frame_files.Layout.of("mono", 20_000, 10_000)
