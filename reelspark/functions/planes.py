@@ -28,9 +28,12 @@ def tweak(plane: Column, brightness: float = 0.0, contrast: float = 1.0, gamma:
     return F.transform(plane, one)
 
 
-def curve_table(points: Sequence[tuple[float, float]], peak: int = 255, monotone: bool = False) -> list[int]:
+def curve_table(points: Sequence[tuple[float, float]], peak: int = 255, monotone: bool = False, hold_last: bool = True) -> list[int]:
     """The output code of each input code for cubics through ``points`` (0 to 1 both ways), flat beyond the ends and rounded down.
 
+    A point at 1 lies a code beyond ``peak``. As in the reference, ``peak`` takes that
+    point's value nevertheless; without ``hold_last`` it takes the cubic's.
+
     The cubics are splines with straight ends whose bends are a sixth of a natural
     spline's, so slopes may break at the points; with ``monotone`` they are Hermite
     pieces whose slopes are weighted harmonic means (none at a turning point), which
@@ -57,13 +60,13 @@ def curve_table(points: Sequence[tuple[float, float]], peak: int = 255, monotone
     for k, (low, high) in enumerate(zip(at, at[1:])):
         u = np.arange(high - low + 1) / (peak + 1)
         table[low : high + 1] = codes(y[k] + u * (first[k] + u * (second[k] + u * third[k])))
-    table[at[-1] :] = codes(y[-1])
+    table[at[-1] + (not hold_last) :] = codes(y[-1])
     return table.tolist()
 
 
-def curves(plane: Column, points: Sequence[tuple[float, float]], peak: int = 255, monotone: bool = False) -> Column:
+def curves(plane: Column, points: Sequence[tuple[float, float]], peak: int = 255, monotone: bool = False, hold_last: bool = True) -> Column:
     """Samples sent through ``curve_table``."""
-    table = F.split(F.lit(",".join(map(str, curve_table(points, peak, monotone)))), ",").cast("array<int>")  # folded to one literal
+    table = F.split(F.lit(",".join(map(str, curve_table(points, peak, monotone, hold_last)))), ",").cast("array<int>")  # folded to one literal
     return F.transform(plane, lambda v: F.get(table, v.cast("int")))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from reelspark import media_queries, timeline_queries  # noqa: F401 (registers more queries)
+from reelspark.functions import planes
 from reelspark.operators import folds
 from reelspark.operators.fold import fold_streams
 from reelspark.plans import colour
@@ -167,3 +168,13 @@ def test_entry_without_llm(tmp_path):
     (tmp_path / "entry.py").write_text((tmp_path / "__spark_entry__.py").read_text())
     done = subprocess.run([sys.executable, "-c", code.replace("__spark_entry__", "entry")], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
+
+
+def test_curves_give_what_their_sql_gives_for_every_code(spark, tmp_path):
+    con = duckdb.connect()
+    ramp = "list_transform(range(64), lambda i: CAST((k * 64 + i - 127.5::DOUBLE) / 255 AS FLOAT))"
+    con.sql(f"COPY (SELECT k AS vec_id, {ramp} AS embedding, CAST(0 AS INTEGER) AS label FROM range(4) t(k)) TO '{tmp_path}/embeddings.parquet'")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = {r.frame_id: r.plane for r in timeline_queries.QUERIES["plane_curves"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.sql(timeline_queries.ORACLE_SQL["plane_curves"]).fetchall())
+    assert (got[0][0], got[3][-1]) == (0, 254) and planes.curve_table([(0, 0), (0.5, 0.25), (1, 1)])[-1] == 255
