@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Fixed value: the first line of a film-grain table.
 GRAIN_HEADER = "filmgrn1"
+# Fixed value: the first line of version-2 timecodes.
+TIMECODE_HEADER = "# timecode format v2"
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -16,22 +18,50 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
+def _frames_of(texts: DataFrame, key: str, timebase: int) -> DataFrame:
+    """The frames of timecodes in ``value``, in the order of their lines, without a shuffle."""
+    lines = F.filter(F.split("value", "\r\n?|\n"), lambda x: F.trim(x).rlike("^[0-9]"))
+    pts = F.transform(lines, lambda x: F.round(F.trim(x).cast("decimal(28,9)") * timebase / 1000).cast("long"))
+    spans = F.zip_with("pts", F.slice("pts", 2, 1 << 30), lambda a, b: F.struct(a.alias("pts"), (b - a).alias("duration")))
+    rows = texts.select(key, pts.alias("pts")).select(key, F.posexplode(spans).alias("frame_id", "x"))
+    return rows.select(key, F.col("frame_id").cast("long").alias("frame_id"), "x.pts", "x.duration")
+
+
 def read_timecodes(spark: SparkSession, path: str, timebase: int = 1_000_000) -> DataFrame:
     """Version-2 timecodes (milliseconds per line, ``#`` comments) as ``file, frame_id, pts, duration`` in ticks of 1/``timebase`` s.
 
     Blank lines and comments don't count as frames; the last frame has no duration.
     """
-    lines = _numbered(spark, path).where(F.trim("line").rlike(r"^[0-9]"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = lines.select("file", "line_no", (F.row_number().over(w) - 1).cast("long").alias("frame_id"), F.round(F.trim("line").cast("decimal(28,9)") * timebase / 1000).cast("long").alias("pts"))
-    return rows.select("file", "frame_id", "pts", (F.lead("pts").over(w) - F.col("pts")).alias("duration"))
+    return _frames_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), "file", timebase)
+
+
+def _milliseconds(timebase: int) -> Column:
+    return F.format_string("%.6f", F.col("pts") * 1000 / timebase)
 
 
 def write_timecodes(frames: DataFrame, path: str, timebase: int = 1_000_000) -> None:
-    """A folder per stream with its timecodes in order of ``pts``, one file each."""
-    ms = F.format_string("%.6f", F.col("pts") * 1000 / timebase)
+    """A folder per stream with its timecodes in order of ``pts``, one file each; for thousands of streams see ``write_timecode_sets``."""
     rows = frames.repartition("stream_id").sortWithinPartitions("stream_id", "pts")
-    rows.select("stream_id", ms.alias("value")).write.mode("overwrite").partitionBy("stream_id").text(path)
+    rows.select("stream_id", _milliseconds(timebase).alias("value")).write.mode("overwrite").partitionBy("stream_id").text(path)
+
+
+def write_timecode_sets(frames: DataFrame, path: str, timebase: int = 1_000_000) -> None:
+    """The timecodes of all streams, in order of ``pts``, as text files that hold many streams each.
+
+    A stream is a run of lines: the header, ``# stream_id=`` and its times. What stands
+    from one header to the next is a timecode file of its own.
+    """
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("pts"))
+    rows = frames.select("stream_id", "pts", place.alias("place")).sortWithinPartitions("stream_id", "place")
+    head = F.concat(F.lit(f"{TIMECODE_HEADER}\n# stream_id="), F.coalesce(F.col("stream_id").cast("string"), F.lit("")), F.lit("\n"))
+    lines = F.concat(F.when(F.col("place") == 1, head).otherwise(""), _milliseconds(timebase))
+    rows.select(lines.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+
+
+def read_timecode_sets(spark: SparkSession, path: str, timebase: int = 1_000_000) -> DataFrame:
+    """The files of ``write_timecode_sets`` as ``stream_id, frame_id, pts, duration``; large ones are read by several tasks, cut between streams."""
+    texts = spark.read.text(path, lineSep=TIMECODE_HEADER).where(F.col("value").rlike(r"^\s*# stream_id="))
+    return _frames_of(texts.select(F.regexp_extract("value", r"^\s*# stream_id=(-?\d*)", 1).try_cast("long").alias("stream_id"), "value"), "stream_id", timebase)
 
 
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:

@@ -178,3 +178,33 @@ def test_curves_give_what_their_sql_gives_for_every_code(spark, tmp_path):
     got = {r.frame_id: r.plane for r in timeline_queries.QUERIES["plane_curves"](spark, str(tmp_path)).collect()}
     assert got == dict(con.sql(timeline_queries.ORACLE_SQL["plane_curves"]).fetchall())
     assert (got[0][0], got[3][-1]) == (0, 254) and planes.curve_table([(0, 0), (0.5, 0.25), (1, 1)])[-1] == 255
+
+
+def test_timecodes_of_many_streams_need_few_files(spark, tmp_path):
+    from reelspark.sources import text
+
+    frames = spark.sql("SELECT nullif(k - 50, 0) AS stream_id, (k + 3) * i * i * 1001 AS pts FROM range(700) t(k), range(9) u(i) WHERE i <= k % 9")
+    want = {}
+    for r in sorted(frames.collect(), key=lambda r: r.pts):
+        want.setdefault(r.stream_id, []).append(r.pts)
+    text.write_timecode_sets(frames, str(tmp_path / "sets"))
+    files = list((tmp_path / "sets").glob("part-*"))
+    assert 0 < len(files) <= 4 and sum(f.read_text().count(text.TIMECODE_HEADER) for f in files) == 700
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")  # every file is cut at many places, also within headers
+    try:
+        back = text.read_timecode_sets(spark, str(tmp_path / "sets"))
+        assert back.rdd.getNumPartitions() > 100
+        got = {}
+        for r in sorted(back.collect(), key=lambda r: r.frame_id):
+            got.setdefault(r.stream_id, []).append((r.frame_id, r.pts, r.duration))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {s: [(k, p, q and q - p) for k, (p, q) in enumerate(zip(ps, [*ps[1:], None]))] for s, ps in want.items()}
+
+
+def test_timecode_round_trip_writes_few_files(spark, monkeypatch):
+    made = []
+    folder = media_queries.shared_folder
+    monkeypatch.setattr(media_queries, "shared_folder", lambda *a: made.append(folder(*a)) or made[-1])
+    streams = timeline_queries.QUERIES["timecode_round_trip"](spark, "/root/testdata/sf0.01").select("stream_id").distinct().count()
+    assert streams == 150 and len(spark.read.text(made[0]).inputFiles()) <= 4
